@@ -28,20 +28,16 @@ class BpeCoder:
         return self._split_long(list(word))
 
     def _split_short(self, parts: list[str]) -> list[str]:
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(((rank.get(pair, 1 << 60), pair) for pair in zip(parts, parts[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 60:
-                break
-            (a, b), out, i = best[1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank, none = self.rank, 1 << 60
+        ranks = [rank.get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
         return parts
 
     def _split_long(self, parts: list[str]) -> list[str]:
