@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import clean_source
-from lexiloom.llm import tokens
-from lexiloom.tables import table
+from lexiloom.functions.text import clean_source, label_key
+from lexiloom.llm import mixing, packing, runs, tokens
+from lexiloom.llm.labels import language_names
+from lexiloom.tables import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,67 @@ def _counted(spark: SparkSession, folder: str) -> DataFrame:
 def p2_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each document under the project's tokenizer."""
     return tokens.document_tokens(table(spark, folder, "documents"), table(spark, folder, "tok_merges"))
+
+
+@query
+def p2_totals_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens by source, names cleaned."""
+    return tokens.totals(_counted(spark, folder), "source")
+
+
+@query
+def p2_totals_by_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens by web site."""
+    return tokens.totals(_counted(spark, folder), "domain")
+
+
+@query
+def p2_totals_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens by the language that the label names, whatever its spelling."""
+    named = _counted(spark, folder).withColumn("lang", label_key("lang"))
+    known = language_names(table(spark, folder, "languages"))
+    return tokens.totals(named.withColumnRenamed("lang", "key").join(F.broadcast(known), "key", "left"), "lang")
+
+
+@query
+def p2_consumed_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads, documents and tokens by Batch.lang of what the loader's log consumed; a repeated read_id counts once."""
+    counts = tokens.document_tokens(table(spark, folder, "documents"), table(spark, folder, "tok_merges"))
+    log = table(spark, folder, "batch_docs").where("read_id is not null").groupBy("read_id").agg(F.min_by(F.struct("lang", "doc_id"), F.struct("received_at", "logged_at")).alias("first"))
+    reads = log.select("first.lang", "first.doc_id").groupBy("lang", "doc_id").agg(F.count("*").alias("n"))
+    joined = reads.join(counts, "doc_id", "left")
+    return joined.groupBy("lang").agg(F.sum("n").alias("n_reads"), F.countDistinct("doc_id").alias("n_docs"), F.coalesce(F.sum(F.col("n") * F.col("n_tokens")), F.lit(0)).alias("n_tokens"))
+
+
+def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, list[runs.Run]]:
+    docs = table(spark, folder, "documents")
+    counts = tokens.document_tokens(docs, table(spark, folder, "tok_merges"))
+    return cut(runs.sized_documents(docs, counts)), runs.read_runs(table(spark, folder, "pretrain_runs"))
+
+
+@query
+def p1_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The records chosen for each run, with repeat counts."""
+    sized, configured = _sized(spark, folder)
+    return mixing.mix(sized, configured)[0]
+
+
+@query
+def p1_source_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of each run."""
+    sized, configured = _sized(spark, folder)
+    mixed, rates = mixing.mix(sized, configured)
+    return mixing.source_shares(cut(mixed), configured, rates)
+
+
+@query
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document or piece of each run, and its fill."""
+    return packing.pack(*_sized(spark, folder))
+
+
+@query
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and share of filled space of each run."""
+    sized, configured = _sized(spark, folder)
+    return packing.fill_report(packing.pack(sized, configured), configured)

@@ -107,6 +107,17 @@ def piece_lengths(pieces: DataFrame, rules: list[tuple[int, str, str]]) -> DataF
     return pieces.select("piece", "freq").mapInArrow(run, "piece string, freq long, n_tok int")
 
 
+def _head_threshold(lexicon: DataFrame, head: int) -> tuple[int, bool]:
+    """Least eighth of a power of two such that at most ``head`` pieces are as frequent; whether those are all pieces."""
+    rows = lexicon.groupBy(F.floor(F.log2("freq") * 8).alias("octave")).count().collect()  # at most 8 * 64 rows
+    taken, least = 0, 1 << 20
+    for r in sorted(rows, key=lambda r: -r.octave):
+        if taken + r["count"] > head:
+            return least, False
+        taken, least = taken + r["count"], r.octave
+    return least, True
+
+
 def document_tokens(docs: DataFrame, merges: DataFrame, head: int = HEAD_PIECES) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, n_tokens): one row for each doc_id that isn't null.
 
@@ -114,8 +125,8 @@ def document_tokens(docs: DataFrame, merges: DataFrame, head: int = HEAD_PIECES)
     """
     spark = docs.sparkSession
     lexicon = cut(piece_lengths(piece_frequencies(docs), read_merges(merges)))
-    whole = lexicon.count() <= head
-    hot = lexicon if whole else lexicon.orderBy(F.desc("freq"), "piece").limit(head)
+    least, whole = _head_threshold(lexicon, head)
+    hot = lexicon.where(F.floor(F.log2("freq") * 8) >= least)
     shared = spark.sparkContext.broadcast({r.piece: r.n_tok for r in hot.select("piece", "n_tok").collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
