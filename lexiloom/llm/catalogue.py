@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import clean_source, label_key
-from lexiloom.llm import mixing, packing, runs, tokens
+from lexiloom.llm import lexicon, mixing, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
 from lexiloom.tables import cut, table
 
@@ -99,3 +99,42 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers and share of filled space of each run."""
     sized, configured = _sized(spark, folder)
     return packing.fill_report(packing.pack(sized, configured), configured)
+
+
+def _models(spark: SparkSession, folder: str) -> tuple[lexicon.Lexicon, dict[str, list[str]]]:
+    words = lexicon.read_lexicon(table(spark, folder, "common_words"), table(spark, folder, "languages"))
+    return words, lexicon.labelled_texts(*(table(spark, folder, t) for t in ("heldout_items", "std_items", "parallel_items")))
+
+
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    words, texts = _models(spark, folder)
+    return cut(pages.profile_documents(table(spark, folder, "documents"), words, pages.prose_profiles(texts, words)))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of at least min_doc_chars of run 1 of which less than half is prose, keyword pages included."""
+    least = next((r.min_doc_chars for r in runs.read_runs(table(spark, folder, "pretrain_runs")) if r.run_id == 1), None) or 0
+    profiles = _profiles(spark, folder)
+    spam = pages.keyword_pages(profiles).where("is_keyword_page").select("doc_id", F.lit(True).alias("spam"))
+    long_ones = profiles.where(F.col("n_code_points") >= least).join(spam, "doc_id", "left")
+    return long_ones.where("spam or 2 * prose_chars < n_chars_dense or n_chars_dense = 0").select("doc_id").distinct()
+
+
+@query
+def p3_text_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, ratios and the nearest structural profile of each document of at least min_doc_chars of run 1."""
+    least = next((r.min_doc_chars for r in runs.read_runs(table(spark, folder, "pretrain_runs")) if r.run_id == 1), None) or 0
+    return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held")
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are mostly repeated keywords, links, hashtags or product labels."""
+    return pages.keyword_pages(_profiles(spark, folder)).where("is_keyword_page").select("doc_id").distinct()
+
+
+@query
+def p8_rank_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank-frequency curve and keyword share of each document with text."""
+    return pages.keyword_pages(_profiles(spark, folder))
