@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import clean_source, label_key
-from lexiloom.llm import lexicon, mixing, packing, pages, runs, tokens
+from lexiloom.llm import leaks, lexicon, mixing, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
 from lexiloom.tables import cut, table
 
@@ -138,3 +138,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_rank_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """The rank-frequency curve and keyword share of each document with text."""
     return pages.keyword_pages(_profiles(spark, folder))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+
+
+@query
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold a passage of it."""
+    items = table(spark, folder, "heldout_items")
+    found = leaks.find_leaks(table(spark, folder, "documents"), items).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return items.select("item_id", "task", "lang", "split").distinct().join(found, "item_id")
