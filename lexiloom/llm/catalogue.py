@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import clean_source, label_key
-from lexiloom.llm import leaks, lexicon, mixing, packing, pages, runs, tokens
+from lexiloom.llm import leaks, lexicon, mixing, overlaps, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
 from lexiloom.tables import cut, table
 
@@ -152,3 +152,25 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "heldout_items")
     found = leaks.find_leaks(table(spark, folder, "documents"), items).groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return items.select("item_id", "task", "lang", "split").distinct().join(found, "item_id")
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The three evaluation tables under one schema."""
+    parts = [
+        table(spark, folder, name).select(F.lit(name).alias("tab"), "rec_id", "split", "task", F.col(text).alias("text"))
+        for name, text in (("std_items", "question"), ("parallel_items", "question"), ("xlsum_items", "text"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training record and a record of another split with the same text, exactly or nearly."""
+    pairs = overlaps.cross_split_pairs(_records(spark, folder))
+    return pairs.select(F.least("id_train", "id_eval").alias("id_a"), F.greatest("id_train", "id_eval").alias("id_b")).distinct()
+
+
+@query
+def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping records by table, split and task."""
+    return overlaps.reports(overlaps.cross_split_pairs(_records(spark, folder)))
