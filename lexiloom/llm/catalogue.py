@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import clean_source, label_key
-from lexiloom.llm import leaks, lexicon, mixing, overlaps, packing, pages, runs, tokens
+from lexiloom.llm import contexts, leaks, lexicon, mixing, overlaps, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
 from lexiloom.tables import cut, table
 
@@ -174,3 +174,34 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping records by table, split and task."""
     return overlaps.reports(overlaps.cross_split_pairs(_records(spark, folder)))
+
+
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles with the languages of prose, its labels and whether the document is a keyword page."""
+    words, texts = _models(spark, folder)
+    listed: dict[str, list[str]] = {}
+    for r in table(spark, folder, "common_words").where("lang is not null and word is not null").limit(lexicon.MAX_WORDS).collect():
+        listed.setdefault(r.lang, []).append(r.word)
+    trees = contexts.ContextTrees(texts, listed, words.langs)
+    docs = table(spark, folder, "documents")
+    profiles = cut(pages.profile_documents(docs, words, pages.prose_profiles(texts, words), trees))
+    spam = pages.keyword_pages(profiles).where("is_keyword_page").select("doc_id", F.lit(True).alias("is_keyword_page"))
+    labels = docs.select("doc_id", label_key("lang").alias("key")).join(F.broadcast(language_names(table(spark, folder, "languages"))), "key", "left")
+    found = profiles.select("doc_id", "n_code_points", F.expr("n_chars_dense > 0 and 2 * prose_chars >= n_chars_dense").alias("is_prose"), "main_lang", "confidence", "line_langs").join(labels.select("doc_id", F.col("lang").alias("label")), "doc_id")
+    return found.join(spam, "doc_id", "left").withColumn("is_keyword_page", F.coalesce("is_keyword_page", F.lit(False)))
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Prose whose label is missing or wrong or that mixes languages: its main language (line 0) and, if mixed, those of its lines."""
+    prose = _languages(spark, folder).where("is_prose and main_lang is not null and n_code_points >= 20 and not is_keyword_page")
+    prose = prose.withColumn("mixed", F.exists("line_langs", lambda x: x["lang"] != F.col("main_lang")))
+    cases = prose.where("mixed or label is null or label != main_lang")
+    rows = F.concat(F.array(F.struct(F.lit(0).alias("line_no"), F.col("main_lang").alias("lang"))), F.when(F.col("mixed"), F.col("line_langs")).otherwise(F.array().cast("array<struct<line_no: int, lang: string>>")))
+    return cases.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.line_no", "x.lang").distinct()
+
+
+@query
+def p5_document_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main language of each document with confidence, beside the language its label names; null where a text has no words."""
+    return _languages(spark, folder).select("doc_id", "label", "is_prose", "main_lang", "confidence", F.array_size(F.array_distinct(F.transform("line_langs", lambda x: x["lang"]))).alias("n_langs"))

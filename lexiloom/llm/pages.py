@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.llm.contexts import ContextTrees, document_languages
 from lexiloom.llm.lexicon import CAPITAL, CLASSES, FUNCTION, LINK, LOWER, NUMBER, SINGLE, SYMBOL, Lexicon, words_of
 
 #: Shares of token classes in lines that aren't prose, in the order of ``CLASSES`` (parameters of the operator).
@@ -137,13 +138,14 @@ class Profiler:
         near[total[:, 0] == 0] = -1
         return near
 
-    def lines(self, texts: list[str]) -> tuple[list[int], list[str], list[str], np.ndarray, np.ndarray, np.ndarray, list]:
-        """(document, raw line, cleaned line, classes, languages, profile, words and codes) of each line that isn't blank."""
-        owner, raw, cleaned, counts, langs, tokens = [], [], [], [], [], []
+    def lines(self, texts: list[str]) -> tuple[list[int], list[str], list[str], np.ndarray, np.ndarray, np.ndarray, list, list[int]]:
+        """(document, raw line, cleaned line, classes, languages, profile, words and codes, number) of each line that isn't blank."""
+        owner, raw, cleaned, counts, langs, tokens, numbers = [], [], [], [], [], [], []
         for i, text in enumerate(texts):
-            for line in text.split("\n"):
+            for number, line in enumerate(text.split("\n"), 1):
                 if not line or line.isspace():
                     continue
+                numbers.append(number)
                 c = clean_line(line)
                 n, lang, words, codes = line_counts(c, self.lexicon)
                 owner.append(i)
@@ -158,7 +160,7 @@ class Profiler:
         for j in np.flatnonzero((matrix[:, FUNCTION : SINGLE + 1].sum(1) < 4) & (near > 0) & (matrix[:, LINK] == 0)):
             if j and owner[j - 1] == owner[j] and near[j - 1] == 0 and not raw[j - 1].rstrip().endswith(_PUNCT_END) and len(raw[j - 1]) > 30:
                 near[j] = 0
-        return owner, raw, cleaned, matrix, lang, near, tokens
+        return owner, raw, cleaned, matrix, lang, near, tokens, numbers
 
 
 def content_units(text: str, lexicon: Lexicon) -> list[str]:
@@ -185,9 +187,9 @@ def _listing(raw: str, counts: np.ndarray) -> bool:
     return bool(_PRODUCT.search(raw)) and not ("=" in raw or "{" in raw)
 
 
-def profile_block(ids: list[int], texts: list[str], profiler: Profiler) -> list[tuple]:
-    """A row of :data:`PROFILE` for each document."""
-    owner, raw, cleaned, counts, langs, near, tokens = profiler.lines(texts)
+def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: ContextTrees | None = None) -> list[tuple]:
+    """A row of :data:`PROFILE` for each document; with ``trees`` also its languages: of its lines of prose, or of all lines if those are less than half."""
+    owner, raw, cleaned, counts, langs, near, tokens, numbers = profiler.lines(texts)
     bounds = np.searchsorted(np.array(owner, int), np.arange(len(texts) + 1))
     unspaced = profiler.lexicon.unspaced if profiler.lexicon.unspaced >= 0 else None
     units = counts[:, FUNCTION : SINGLE + 1].sum(1)
@@ -244,10 +246,15 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler) -> list[
         n_tokens = int(counts[a:b].sum())
         odd = int(counts[a:b, SYMBOL].sum())
         lang = max(by_lang.items(), key=lambda x: x[1])[0] if by_lang else -1
+        main, confidence, segments = -1, 0.0, []
+        if trees is not None and whole:
+            is_prose = 2 * by_shape[0] >= whole
+            main, confidence, segments = document_languages([(numbers[j], cleaned[j]) for j in range(a, b) if near[j] == 0 or not is_prose], trees)
         out.append((
             doc_id, len(text), n_words, letters / n_words if n_words else 0.0, odd / n_tokens if n_tokens else 0.0, ends / (b - a) if b > a else 0.0,
             function / max(1, n_tokens - odd), int(units[a:b].sum()), whole, by_shape[0], listed, profiler.names[max(range(len(by_shape)), key=lambda k: by_shape[k])] if whole else "empty",
-            profiler.lexicon.langs[lang] if lang >= 0 else None, sorted(spectrum.items(), reverse=True), [(n, p, chars) for (n, p), chars in sorted(held.items(), reverse=True)],
+            profiler.lexicon.langs[lang] if lang >= 0 else None, trees.langs[main] if main >= 0 else None, confidence, sorted(spectrum.items(), reverse=True), [(n, p, chars) for (n, p), chars in sorted(held.items(), reverse=True)],
+            [(number, trees.langs[k]) for number, k in segments],
         ))
     return out
 
@@ -256,12 +263,14 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler) -> list[
 PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("n_code_points", pa.int32()), ("n_words", pa.int32()), ("mean_word_len", pa.float64()), ("symbol_ratio", pa.float64()),
     ("line_end_punct", pa.float64()), ("common_word_share", pa.float64()), ("n_units", pa.int32()), ("n_chars_dense", pa.int32()), ("prose_chars", pa.int32()), ("listed_chars", pa.int32()),
-    ("structure", pa.string()), ("prose_lang", pa.string()),
+    ("structure", pa.string()), ("prose_lang", pa.string()), ("main_lang", pa.string()), ("confidence", pa.float64()),
     ("spectrum", pa.list_(pa.struct([("n", pa.int32()), ("words", pa.int32())]))), ("held", pa.list_(pa.struct([("n", pa.int32()), ("prose", pa.bool_()), ("chars", pa.int32())]))),
+    ("line_langs", pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string())]))),
 ])
 _DDL = (
     "doc_id long, n_code_points int, n_words int, mean_word_len double, symbol_ratio double, line_end_punct double, common_word_share double, n_units int, n_chars_dense int, "
-    "prose_chars int, listed_chars int, structure string, prose_lang string, spectrum array<struct<n: int, words: int>>, held array<struct<n: int, prose: boolean, chars: int>>"
+    "prose_chars int, listed_chars int, structure string, prose_lang string, main_lang string, confidence double, "
+    "spectrum array<struct<n: int, words: int>>, held array<struct<n: int, prose: boolean, chars: int>>, line_langs array<struct<line_no: int, lang: string>>"
 )
 
 
@@ -274,19 +283,23 @@ def _structs(lists: tuple, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields))
 
 
-def profile_documents(docs: DataFrame, lexicon: Lexicon, prose: np.ndarray) -> DataFrame:
-    """(doc_id, text, ...) -> :data:`PROFILE`, a row for each doc_id that isn't null; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, prose))
+def profile_documents(docs: DataFrame, lexicon: Lexicon, prose: np.ndarray, trees: ContextTrees | None = None) -> DataFrame:
+    """(doc_id, text, ...) -> :data:`PROFILE`, a row for each doc_id that isn't null; a null text counts as empty.
+
+    Languages are filled in only with ``trees``, and only for documents with words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, prose, trees))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = Profiler(*shared.value)
+        *models, contexts = shared.value
+        profiler = Profiler(*models)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                rows = profile_block(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], profiler)
+                rows = profile_block(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], profiler, contexts)
                 cols = list(zip(*rows))
-                arrays = [pa.array(c, f.type) for c, f in zip(cols[:13], list(PROFILE)[:13])]
-                arrays += [_structs(c, f.type) for c, f in zip(cols[13:], list(PROFILE)[13:])]
+                arrays = [pa.array(c, f.type) for c, f in zip(cols[:15], list(PROFILE)[:15])]
+                arrays += [_structs(c, f.type) for c, f in zip(cols[15:], list(PROFILE)[15:])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=PROFILE)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DDL)
