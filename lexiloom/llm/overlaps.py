@@ -28,20 +28,22 @@ from lexiloom.tables import cut
 
 #: Share of the words of the longer text that a near copy keeps, and the least length of a case.
 SIMILAR, LEAST_WORDS = 0.8, 8
-#: A chunk ends after one word in so many.
-CUT_ONE_IN = 2
-#: Share of its chunks that a near copy keeps at least; measured on edits of one word in five.
+#: (words, one in): in texts of at least so many words a chunk ends after one word in so many.
+CUTS = ((0, 2), (32, 3), (96, 4))
+#: Share of its chunks that a near copy keeps at least; edits of one word in five keep about half of them.
 SHARED = 0.4
+#: Share of the words of the longer text that shared rare chunks have to cover before two texts are compared.
+COVERED = 0.04
 #: Texts are compared within classes of length of this ratio and their neighbours.
 LENGTH_STEP = 1 / SIMILAR
 
 _NUMBER = re.compile(r"\d+")
 
 
-def chunk_ends(words: np.ndarray) -> np.ndarray:
+def chunk_ends(words: np.ndarray, one_in: int) -> np.ndarray:
     """Ends of the content-defined chunks of hashed words; the hash rolls over one word and the last chunk may be open."""
     mixed = words * np.uint64(0x9E3779B97F4A7C15)
-    ends = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(CUT_ONE_IN) == 0) + 1
+    ends = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(one_in) == 0) + 1
     return ends if len(ends) and ends[-1] == len(words) else np.append(ends, len(words))
 
 
@@ -87,28 +89,39 @@ def digests(records: DataFrame) -> DataFrame:
     return out.withColumn("train", F.col("split") == "train")
 
 
+def cuts_of(n: int) -> set[int]:
+    """The chunk sizes of a text of ``n`` words: that of its length and those of all lengths it can be similar to."""
+    return {max((least, one_in) for least, one_in in CUTS if least <= m)[1] for m in (n, int(n * SIMILAR), int(n / SIMILAR) + 1)}
+
+
 def chunk_rows(classes: DataFrame) -> DataFrame:
-    """(tab, same, numbers, n, words, ...) -> a row for each distinct chunk: (tab, same, numbers, n, chunk, chunk_words, in_train, in_eval)."""
+    """(tab, same, numbers, n, words, ...) -> a row for each distinct chunk: (tab, same, numbers, n, chunk, chunk_words, n_chunks, ...).
+
+    A text near a change of the chunk size is cut in both ways; ``n_chunks`` counts those of one way.
+    """
+    carried = ["tab", "same", "numbers", "n", "in_train", "in_eval"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, chunk, length = [], [], []
-            for k, words in enumerate(batch.column(batch.schema.get_field_index("words")).to_pylist()):
+            source, chunk, length, whole = [], [], [], []
+            for k, words in enumerate(batch.column(len(carried)).to_pylist()):
                 hashed = np.array(words, np.int64).astype(np.uint64)
-                start, sizes = 0, {}
-                for end in chunk_ends(hashed).tolist():
-                    if end > start:
-                        digest = xxhash.xxh64_intdigest(hashed[start:end].tobytes()) >> 1
-                        sizes[digest] = sizes.get(digest, 0) + end - start
-                    start = end
-                source += [k] * len(sizes)
-                chunk += sizes
-                length += sizes.values()
-            picked = batch.select(["tab", "same", "numbers", "n", "in_train", "in_eval"]).take(pa.array(source, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(chunk, pa.int64()), pa.array(length, pa.int32())], [*picked.schema.names, "chunk", "chunk_words"])
-
-    schema = "tab string, same long, numbers long, n int, in_train boolean, in_eval boolean, chunk long, chunk_words int"
-    return classes.select("tab", "same", "numbers", "n", "in_train", "in_eval", "words").mapInArrow(run, schema)
+                for one_in in cuts_of(len(words)):
+                    start, sizes = 0, {}
+                    for end in chunk_ends(hashed, one_in).tolist():
+                        if end > start:
+                            digest = xxhash.xxh64_intdigest(hashed[start:end].tobytes(), one_in) >> 1
+                            sizes[digest] = sizes.get(digest, 0) + end - start
+                        start = end
+                    source += [k] * len(sizes)
+                    chunk += sizes
+                    length += sizes.values()
+                    whole += [len(sizes)] * len(sizes)
+            picked = batch.select(carried).take(pa.array(source, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(chunk, pa.int64()), pa.array(length, pa.int32()), pa.array(whole, pa.int32())], [*carried, "chunk", "chunk_words", "n_chunks"])
+
+    schema = "tab string, same long, numbers long, n int, in_train boolean, in_eval boolean, chunk long, chunk_words int, n_chunks int"
+    return classes.select(*carried, "words").mapInArrow(run, schema)
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
@@ -117,19 +130,20 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     ``classes`` (tab, same, numbers, n, words, in_train, in_eval) has to be written already; ``overlap`` is the share of the
     longer text that joined chunks cover, at least.
     """
-    chunks = chunk_rows(classes)
+    chunks = cut(chunk_rows(classes))
     # Rarest chunks first; as many as leave fewer than SHARED of all. Only chunks of both sides can join.
     seen = chunks.groupBy("tab", "chunk", "numbers").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t and e and df > 1")
-    rare = Window.partitionBy("tab", "same").orderBy("df", "chunk")
-    of_all = chunks.groupBy("tab", "same").agg(F.count("*").alias("n_chunks"))
-    kept = chunks.join(seen.select("tab", "chunk", "numbers", "df"), ["tab", "chunk", "numbers"]).join(of_all, ["tab", "same"])
-    kept = kept.withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.floor((1 - SHARED) * F.col("n_chunks")) + 1)
+    rare = Window.partitionBy("tab", "same", "n_chunks").orderBy("df", "chunk")
+    kept = chunks.join(seen.select("tab", "chunk", "numbers", "df"), ["tab", "chunk", "numbers"])
+    missing = F.col("n_chunks") - F.count("*").over(Window.partitionBy("tab", "same", "n_chunks"))
+    kept = kept.withColumn("k", F.row_number().over(rare) + missing).where(F.col("k") <= F.floor((1 - SHARED) * F.col("n_chunks")) + 1)
     kept = kept.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int"))
     left = kept.where("in_train").select("tab", "chunk", "numbers", "size_class", F.col("same").alias("a"), F.col("n").alias("n_a"), F.col("chunk_words").alias("w_a"))
     right = kept.where("in_eval").withColumn("size_class", F.explode(F.expr("array(size_class - 1, size_class, size_class + 1)")))
     right = right.select("tab", "chunk", "numbers", "size_class", F.col("same").alias("b"), F.col("n").alias("n_b"), F.col("chunk_words").alias("w_b"))
     met = left.join(right, ["tab", "chunk", "numbers", "size_class"]).where(f"a != b and least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)")
     pairs = met.groupBy("tab", "a", "b", "n_a", "n_b").agg(F.sum(F.least("w_a", "w_b")).alias("shared"))
+    pairs = pairs.where(F.col("shared") >= COVERED * F.greatest("n_a", "n_b"))
     texts = classes.select("tab", F.col("same").alias("id"), "words")
     both = pairs.join(texts.select("tab", F.col("id").alias("a"), F.col("words").alias("x")), ["tab", "a"]).join(texts.select("tab", F.col("id").alias("b"), F.col("words").alias("y")), ["tab", "b"])
     # Words that are in both texts bound the common subsequence from above; built in, and most pairs end here.
