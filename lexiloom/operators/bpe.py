@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions.bpe import BpeCoder
 from lexiloom.functions.text import byte_alphabet, py_to_bytes_alphabet
@@ -158,7 +159,7 @@ def encode_words(words: DataFrame, merges: Sequence[Merge]) -> DataFrame:
             pieces = [coder.split(py_to_bytes_alphabet(w)) for w in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.list_(pa.string()))], [*names, "pieces"])
 
-    schema = words.schema.add("pieces", "array<string>")
+    schema = T.StructType([*words.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))])
     return words.mapInArrow(run, schema)
 
 

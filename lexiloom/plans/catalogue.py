@@ -9,15 +9,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexiloom.functions.text import pretokens
-from lexiloom.tables import table
+from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
+from lexiloom.operators import batches, bpe, documents, metrics, modular, sampling, unigram, vocab, words
+from lexiloom.plans import oracles as O
+from lexiloom.streaming.batches import tumbling_counts
+from lexiloom.tables import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _shipped: set[str] = set()
 
+#: Parameters of the catalogue's queries.
+WORLD, MERGES, EXTENSION, MASK, N_TARGET, BATCH, CONTEXT = 8, 8, 6, 600, 64 * 129, 64, 128
+
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once for each application."""
@@ -33,10 +40,655 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its own name, with SQL where there is any."""
+
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def _byte_words(spark: SparkSession, folder: str, *by: str) -> DataFrame:
+    return words.byte_words(words.word_frequencies(_docs(spark, folder), *by))
+
+
+def _merges(spark: SparkSession, folder: str) -> list[bpe.Merge]:
+    return _model(spark, folder).merges
+
+
+def _model(spark: SparkSession, folder: str) -> bpe.BpeModel:
+    return bpe.read_model(spark, table(spark, folder, "tok_vocab"), table(spark, folder, "tok_merges"))
+
+
+# Documents
+
+
+@query(
+    f"SELECT lang, count(*) AS n_docs, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes, "
+    f"coalesce(sum(len({O.WORDS_OF})), 0)::BIGINT AS n_words FROM documents GROUP BY lang"
+)
+def doc_stats_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, characters, bytes and words by language label."""
+    return documents.statistics(_docs(spark, folder), "lang")
+
+
+@query("SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) BETWEEN 200 AND 4000")
+def docs_length_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of 200 to 4000 characters."""
+    return documents.length_filter(_docs(spark, folder), 200, 4000).select("doc_id", F.length("text").alias("n"))
+
+
+@query(
+    "SELECT doc_id, line_no::INT AS line_no, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) "
+    f"WHERE regexp_replace(line, '[{O.WHITE}]+', '', 'g') <> ''"
+)
+def nonblank_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by line, blank ones left out."""
+    return documents.nonblank_lines(_docs(spark, folder))
+
+
+@query(
+    "WITH l AS (SELECT doc_id, line_no, line, trim(line) = '' AS blank FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), "
+    "s AS (SELECT *, CASE WHEN NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY line_no), TRUE) THEN 1 ELSE 0 END AS start FROM l), "
+    "p AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM s) "
+    "SELECT doc_id AS source, paragraph, string_agg(line, chr(10) ORDER BY line_no) AS text FROM p WHERE paragraph > 0 GROUP BY doc_id, paragraph"
+)
+def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each document joined up to the next blank line."""
+    lines = _docs(spark, folder).select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return documents.paragraphs(lines)
+
+
+@query(f"SELECT {O.SOURCE} AS source, file_id, line_id, (((line_id % {WORLD}) + {WORLD}) % {WORLD})::INT AS rank FROM documents")
+def shard_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank that reads each line."""
+    return documents.shards(_docs(spark, folder).withColumn("source", clean_source("source")), WORLD)
+
+
+@query(
+    f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY wrap, file_id, line_id, doc_id) - 1 AS pos, wrap::INT AS wrap, file_id, line_id, doc_id "
+    f"FROM (SELECT coalesce({O.SOURCE}, '') AS source, * EXCLUDE (source) FROM documents), (SELECT range AS wrap FROM range(2)) WHERE line_id % 4 = 1"
+)
+def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """The order in which rank 1 of 4 reads each source twice."""
+    docs = _docs(spark, folder).withColumn("source", F.coalesce(clean_source("source"), F.lit("")))
+    return documents.stream_positions(docs, 1, 4, 2)
+
+
+@query(
+    "SELECT line, count(*) AS weight FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) "
+    f"WHERE regexp_replace(line, '[{O.WHITE}]+', '', 'g') <> '' GROUP BY line"
+)
+def dedup_sentences_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct lines with the number of times they occur."""
+    return documents.sentence_weights(_docs(spark, folder))
+
+
+@query()
+def interleaved(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of all sources in the order of a weighted interleaving."""
+    docs = _docs(spark, folder).withColumn("source", F.coalesce(clean_source("source"), F.lit("none"))).drop("text")
+    names = sorted(r.source for r in docs.select("source").distinct().collect())
+    return documents.interleave(docs, names, [1.0 + k for k in range(len(names))], 7).select("doc_id", "source", "pos")
+
+
+@query(
+    "WITH l AS (SELECT run_id, weights, unnest(map_keys(sources)) AS source FROM pretrain_runs), w AS (SELECT run_id, source, coalesce(weights[source], 1.0) AS w FROM l) "
+    "SELECT run_id, source, CASE WHEN sum(w) OVER (PARTITION BY run_id) > 0 THEN w / sum(w) OVER (PARTITION BY run_id) ELSE 0.0 END AS share FROM w"
+)
+def mixture_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The normalized weight of each source of each run."""
+    return sampling.normalized_weights(table(spark, folder, "pretrain_runs"))
+
+
+# Words and byte pairs
+
+
+@query(f"WITH {O.WORDS} SELECT lang, word, freq FROM words")
 def word_freq(spark: SparkSession, folder: str) -> DataFrame:
-    """Occurrences of each pre-token by language."""
-    docs = table(spark, folder, "documents")
-    return docs.select("lang", F.explode(pretokens("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("freq"))
+    """Occurrences of each pre-token by language label."""
+    return words.word_frequencies(_docs(spark, folder), "lang")
+
+
+@query(f"{O.byte_words(O.WORDS, 'lang, freq')} SELECT lang, symbol, sum(freq)::BIGINT AS freq FROM (SELECT lang, freq, unnest({O.SYMBOLS}) AS symbol FROM bw) GROUP BY ALL")
+def byte_symbol_freq(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of each byte symbol by language label."""
+    return words.symbol_frequencies(_byte_words(spark, folder, "lang"), "lang")
+
+
+@query(f"{O.byte_words(O.WORDS, 'lang, freq')} {O.pairs('bw', 'lang')}")
+def pair_freq(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of neighbouring byte symbols by language label."""
+    return words.pair_frequencies(_byte_words(spark, folder, "lang"), "lang")
+
+
+@query(f"{O.byte_words(O.WORDS, 'lang, freq')} SELECT lang, split[2:-2] AS symbol, sum(freq)::BIGINT AS freq FROM bw WHERE len({O.SYMBOLS}) = 1 GROUP BY ALL")
+def unigram_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of one symbol by language label."""
+    return words.unigram_candidates(_byte_words(spark, folder, "lang"), "lang")
+
+
+@query(
+    f"{O.byte_words(O.WORDS, 'lang, freq')}, p AS ({O.pairs('bw', 'lang')}) "
+    "SELECT lang, \"left\", \"right\", freq FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, \"left\", \"right\") AS k FROM p) WHERE k = 1"
+)
+def top_pair_per_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """The most frequent pair of each language label."""
+    return words.top_pairs(words.pair_frequencies(_byte_words(spark, folder, "lang"), "lang"), "lang")
+
+
+def _trained(spark: SparkSession, folder: str) -> bpe.BpeModel:
+    return bpe.train(_docs(spark, folder), len(bpe.base_vocabulary()) + MERGES)
+
+
+@query(f"{O.bpe_merges(MERGES)} " + " UNION ALL ".join(f'SELECT {k} AS merge_no, "left" AS a, "right" AS b FROM m{k}' for k in range(MERGES)))
+def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """The first merges of BPE trained from scratch on all documents."""
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(_trained(spark, folder).merges)], "merge_no int, a string, b string")
+
+
+@query(f"{O.bpe_merges(MERGES)} SELECT id::INT AS token_id, token AS piece FROM v{MERGES} UNION ALL SELECT * FROM (VALUES (0, '<s>'), (1, '</s>'), (2, '<pad>'), (3, '<unk>'))")
+def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary of BPE trained from scratch on all documents."""
+    return spark.createDataFrame([(i, t) for t, i in _trained(spark, folder).vocab.items()], "token_id int, piece string")
+
+
+@query()
+def continued_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The first tokens found when training goes on over the project's tokenizer."""
+    tokens, _ = bpe.continue_training(_docs(spark, folder), _model(spark, folder), EXTENSION)
+    return spark.createDataFrame(list(enumerate(tokens)), "ord int, piece string")
+
+
+@query()
+def sequential_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids by language after sequential training: English from scratch, then French and Russian on top."""
+    known = _languages(spark, folder)
+    docs = _docs(spark, folder).withColumn("key", label_key("lang")).drop("lang").join(F.broadcast(known), "key")
+    size = len(bpe.base_vocabulary()) + 3
+    _, by_lang = bpe.train_sequential([(x, docs.where(F.col("lang") == x)) for x in ("en", "fr", "ru")], size, 3)
+    return spark.createDataFrame([(x, t, i) for x, v in by_lang.items() for t, i in v.items()], "lang string, piece string, token_id int")
+
+
+@query(f"{O.encoded(O.WORDS, 'lang, freq')} SELECT lang, sum(freq * n_tok)::BIGINT AS n_tokens FROM enc GROUP BY lang")
+def bpe_token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens under the project's tokenizer by language label."""
+    return bpe.token_totals(words.word_frequencies(_docs(spark, folder), "lang"), _merges(spark, folder), "lang")
+
+
+@query(
+    f"{O.encoded(O.ALL_WORDS, 'freq')}, c AS (SELECT piece, sum(freq)::BIGINT AS n FROM (SELECT freq, unnest(string_split(done[2:-2], chr(2) || chr(1))) AS piece FROM enc) GROUP BY piece) "
+    "SELECT token_id, piece, coalesce(n, 0) AS n FROM tok_vocab LEFT JOIN c USING (piece)"
+)
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of every token of the vocabulary, zeros included."""
+    return bpe.token_counts(words.word_frequencies(_docs(spark, folder)), _merges(spark, folder), table(spark, folder, "tok_vocab").select("token_id", "piece"))
+
+
+def _nsl_sql() -> str:
+    ours = O.encoded(O.WORDS, "lang, freq")
+    theirs = """,
+ruleset2 AS MATERIALIZED (SELECT list({'p': chr(1) || a || chr(2) || chr(1) || b || chr(2), 'r': chr(1) || a || b || chr(2)} ORDER BY merge_no) AS rules FROM tok_merges WHERE merge_no < 1000),
+folded2 AS MATERIALIZED (SELECT split, list_reduce(list_prepend({'p': '', 'r': split}, rules), lambda acc, m: {'p': '', 'r': replace(acc.r, m.p, m.r)}).r AS done2 FROM distinct_splits, ruleset2)
+SELECT lang, sum(freq * n_tok)::BIGINT AS n_tokens, sum(freq * (len(done2) - len(replace(done2, chr(1), ''))))::BIGINT AS n_tokens_ref,
+  sum(freq * n_tok) / sum(freq * (len(done2) - len(replace(done2, chr(1), '')))) AS nsl FROM enc JOIN folded2 USING (split) WHERE lang IS NOT NULL GROUP BY lang"""
+    return ours + theirs
+
+
+@query(_nsl_sql())
+def nsl_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """Normalized sequence length by language label: the project's tokenizer against its first thousand merges."""
+    merges = _merges(spark, folder)
+    return bpe.nsl(words.word_frequencies(_docs(spark, folder).where("lang is not null"), "lang"), merges, merges[:1000], "lang")
+
+
+# Vocabularies
+
+
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, lang): lower-case codes and names of languages."""
+    rows = table(spark, folder, "languages").select("lang", F.explode(F.array("lang", "iso3", "lang_name")).alias("key"))
+    return rows.select(F.lower("key").alias("key"), "lang").distinct()
+
+
+def _word_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """(lang, position, own_id, piece): the word list of each language as a vocabulary."""
+    rows = table(spark, folder, "common_words").select("lang", F.col("word").alias("piece")).distinct()
+    return rows.withColumn("position", F.dense_rank().over(Window.orderBy("lang"))).withColumn("own_id", F.row_number().over(Window.partitionBy("lang").orderBy("piece")))
+
+
+_LISTS = (
+    "lists AS MATERIALIZED (SELECT lang, word AS piece, dense_rank() OVER (ORDER BY lang) AS position, row_number() OVER (PARTITION BY lang ORDER BY word) AS own_id FROM (SELECT DISTINCT lang, word FROM common_words)), "
+    "merged AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY position, own_id) - 1)::INT AS token_id, piece FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY position, own_id) AS k FROM lists) WHERE k = 1)"
+)
+
+
+@query(f"WITH {_LISTS} SELECT token_id, piece FROM merged")
+def vocab_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Union of the languages' vocabularies, numbered by first occurrence."""
+    return vocab.union(_word_lists(spark, folder))
+
+
+@query(f"WITH {_LISTS} SELECT DISTINCT lang, token_id FROM lists JOIN merged USING (piece)")
+def lang_to_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each language's pieces in the union."""
+    lists = _word_lists(spark, folder)
+    return vocab.language_ids(lists, vocab.union(lists))
+
+
+def _source_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder).select(F.coalesce(clean_source("source"), F.lit("none")).alias("lang"), "text")
+    return bpe.token_counts(words.word_frequencies(docs, "lang"), _merges(spark, folder), table(spark, folder, "tok_vocab").select("token_id", "piece"), "lang")
+
+
+_SOURCE_WORDS = f"words AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT coalesce({O.SOURCE}, 'none') AS lang, unnest({O.WORDS_OF}) AS word FROM documents) GROUP BY ALL)"
+_MASK_SQL = (
+    f"{O.encoded(_SOURCE_WORDS, 'lang, freq')}, c AS (SELECT lang, piece, sum(freq)::BIGINT AS n FROM (SELECT lang, freq, unnest(string_split(done[2:-2], chr(2) || chr(1))) AS piece FROM enc) GROUP BY ALL), "
+    "counts AS MATERIALIZED (SELECT g.lang, v.token_id, v.is_special, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM words) g, tok_vocab v LEFT JOIN c ON c.lang = g.lang AND c.piece = v.piece), "
+    f"mask AS MATERIALIZED (SELECT lang, token_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token_id) AS k FROM counts WHERE NOT is_special) WHERE k <= greatest(0, {MASK} - (SELECT count(*) FROM tok_vocab WHERE is_special)) "
+    "UNION ALL SELECT lang, token_id FROM counts WHERE is_special)"
+)
+
+
+def _mask(spark: SparkSession, folder: str) -> DataFrame:
+    return vocab.common_mask(_source_counts(spark, folder), table(spark, folder, "tok_vocab"), MASK)
+
+
+@query(f"{_MASK_SQL} SELECT lang, token_id FROM mask")
+def mask_common_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Special tokens and the most frequent others of each source."""
+    return _mask(spark, folder)
+
+
+@query(f"{_MASK_SQL} SELECT DISTINCT token_id FROM (SELECT token_id FROM mask WHERE lang IN ('news_feed', 'wiki_dump') UNION ALL SELECT token_id FROM tok_vocab WHERE is_special)")
+def mask_union_pair(spark: SparkSession, folder: str) -> DataFrame:
+    """The mask of a subtokenizer of two sources; an unknown one adds nothing."""
+    return vocab.subtokenizer_mask(_mask(spark, folder), table(spark, folder, "tok_vocab"), "wiki_dump,news_feed,unknown")
+
+
+@query(f"{_MASK_SQL} SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY token_id) - 1)::INT AS sub_id, token_id AS global_id FROM mask")
+def subtok_id_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids inside of each source's subtokenizer."""
+    return vocab.id_map(_mask(spark, folder), "lang")
+
+
+@query(
+    f"{_MASK_SQL}, m AS (SELECT row_number() OVER (ORDER BY token_id) - 1 AS sub_id, token_id FROM mask WHERE lang = 'news_feed') "
+    "SELECT v.token_id AS global_id, coalesce(sub_id, -1)::INT AS sub_id FROM tok_vocab v LEFT JOIN m USING (token_id)"
+)
+def dense_id_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Id inside of one subtokenizer for every global id, -1 for holes."""
+    mapping = vocab.id_map(_mask(spark, folder).where("lang = 'news_feed'"))
+    return vocab.dense_map(mapping, table(spark, folder, "tok_vocab").count())
+
+
+@query(
+    f"{_MASK_SQL}, p AS (SELECT piece FROM mask JOIN tok_vocab USING (token_id) WHERE lang = 'news_feed') SELECT (row_number() OVER (ORDER BY merge_no) - 1)::INT AS merge_no, a, b FROM tok_merges "
+    "WHERE a IN (FROM p) AND b IN (FROM p) AND a || b IN (FROM p)"
+)
+def subtok_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """Merges that one subtokenizer keeps."""
+    tokens = table(spark, folder, "tok_vocab")
+    kept = _mask(spark, folder).where("lang = 'news_feed'").join(tokens, "token_id").select("piece")
+    return vocab.restrict_merges(table(spark, folder, "tok_merges"), kept)
+
+
+@query(
+    f"WITH {O.ALPHABET}, t AS (SELECT lang, word, {O.AS_BYTES} AS piece FROM (SELECT DISTINCT lang, word FROM common_words), alphabet), o AS (SELECT piece, min((lang, word)) AS ord FROM t GROUP BY piece) "
+    "SELECT (row_number() OVER (ORDER BY ord) - 1 + (SELECT count(*) FROM tok_vocab))::INT AS token_id, piece FROM o WHERE piece NOT IN (SELECT piece FROM tok_vocab)"
+)
+def vocab_new_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the word lists that the vocabulary lacks, numbered after it."""
+    rows = table(spark, folder, "common_words").select("lang", "word", to_bytes_alphabet("word").alias("piece"))
+    return vocab.new_tokens(rows.groupBy("piece").agg(F.min(F.struct("lang", "word")).alias("ord")), table(spark, folder, "tok_vocab"))
+
+
+@query(
+    f"WITH {_LISTS}, ids AS (SELECT lang, token_id FROM lists JOIN tok_vocab v USING (piece)) SELECT 'duplicate_id' AS rule, count(*) AS n FROM (SELECT token_id FROM tok_vocab GROUP BY 1 HAVING count(*) > 1) "
+    "UNION ALL SELECT 'duplicate_piece', count(*) FROM (SELECT piece FROM tok_vocab GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'id_out_of_range', count(*) FROM tok_vocab WHERE token_id < 0 OR token_id >= (SELECT count(*) FROM tok_vocab) "
+    "UNION ALL SELECT 'language_id_unknown', count(*) FROM ids WHERE token_id NOT IN (SELECT token_id FROM tok_vocab) "
+    "UNION ALL SELECT 'merge_not_buildable', count(*) FROM (SELECT DISTINCT merge_no, p FROM (SELECT merge_no, unnest([a, b, a || b]) AS p FROM tok_merges) WHERE p NOT IN (SELECT piece FROM tok_vocab))"
+)
+def validate_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations of the rules of a tokenizer directory."""
+    tokens = table(spark, folder, "tok_vocab")
+    return vocab.validate(tokens, table(spark, folder, "tok_merges"), vocab.monolingual_mask(_word_lists(spark, folder), tokens))
+
+
+@query("SELECT token_id, piece FROM tok_vocab WHERE piece NOT IN (SELECT a || b FROM tok_merges)")
+def underived_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens that no merge builds."""
+    return vocab.underived(table(spark, folder, "tok_vocab"), table(spark, folder, "tok_merges"))
+
+
+@query("SELECT token_id, piece IN ('<s>', '</s>', '<pad>', '<unk>') OR regexp_matches(piece, '^<0x[0-9A-Fa-f]{2}>$') AS special FROM tok_vocab")
+def special_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Which tokens are special."""
+    return table(spark, folder, "tok_vocab").select("token_id", vocab.is_special("piece").alias("special"))
+
+
+@query("SELECT count(*) AS n_docs, count(*) AS n_equal FROM documents")
+def encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text comes back from its tokens."""
+    docs = _docs(spark, folder).select("doc_id", "text")
+    tokenizer = modular.ModularTokenizer(_model(spark, folder), {})
+    back = tokenizer.decode(tokenizer.encode(docs)).withColumnRenamed("text", "decoded")
+    joined = docs.join(back, "doc_id")
+    return joined.agg(F.count("*").alias("n_docs"), F.sum((F.coalesce("text", F.lit("")) == F.col("decoded")).cast("long")).alias("n_equal"))
+
+
+# Unigram models
+
+
+def _titles(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "xlsum_items").select("rec_id", F.col("title").alias("text")).distinct()
+    return unigram.usable_sentences(titles, 512).select(F.col("rec_id").alias("sent_id"), "sentence")
+
+
+def _pieces(sentences: DataFrame, lists: DataFrame) -> DataFrame:
+    """Single characters of the sentences and the words of the word lists, bare and with a blank mark."""
+    letters = sentences.select(F.explode(F.split("sentence", "")).alias("piece")).where("piece != ''")
+    listed = lists.select("piece").union(lists.select(F.concat(F.lit(unigram.META), "piece").alias("piece")))
+    return letters.union(listed).distinct()
+
+
+_LATTICE = (
+    "s AS MATERIALIZED (SELECT rec_id AS sent_id, '▁' || replace(title, ' ', '▁') AS sentence FROM (SELECT DISTINCT rec_id, title FROM xlsum_items) WHERE length(title) BETWEEN 1 AND 512), "
+    "pieces AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(sentence, '(?s).')) AS piece FROM s UNION SELECT word FROM common_words UNION SELECT '▁' || word FROM common_words)"
+)
+
+
+@query(
+    f"WITH {_LATTICE}, c AS (SELECT sent_id, i, unnest(range(i + 1, least(i + (SELECT max(length(piece)) FROM pieces), length(sentence)) + 1)) AS j, sentence FROM (SELECT sent_id, sentence, unnest(range(length(sentence))) AS i FROM s)) "
+    "SELECT sent_id, i::INT AS i, j::INT AS j, piece FROM (SELECT sent_id, i, j, sentence[i + 1:j] AS p FROM c) JOIN pieces ON piece = p"
+)
+def unigram_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece at every place of the titles."""
+    sentences = _titles(spark, folder)
+    pieces = cut(_pieces(sentences, _word_lists(spark, folder)))
+    return unigram.lattice(sentences, pieces, pieces.agg(F.max(F.length("piece"))).first()[0] or 1)
+
+
+def _piece_list(sentences: DataFrame, lists: DataFrame) -> list[str]:
+    return sorted(r.piece for r in _pieces(sentences, lists).collect())
+
+
+@query()
+def em_estep(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected counts of pieces in the titles under equal scores; the null piece has the log-likelihood."""
+    sentences = _titles(spark, folder)
+    scores = unigram.start_scores(_piece_list(sentences, _word_lists(spark, folder)))
+    return unigram.e_step(sentences.withColumn("weight", F.lit(1.0)), scores).select("piece", F.round("n", 6).alias("n"))
+
+
+@query()
+def em_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of pieces after four rounds of expectation-maximization over the titles."""
+    sentences = _titles(spark, folder)
+    logp, _ = unigram.fit(sentences.withColumn("weight", F.lit(1.0)), _piece_list(sentences, _word_lists(spark, folder)), 4)
+    return spark.createDataFrame([(p, round(x, 6)) for p, x in logp.items()], "piece string, score double")
+
+
+@query()
+def viterbi_segment(spark: SparkSession, folder: str) -> DataFrame:
+    """The likeliest pieces of each title under scores fitted to them."""
+    sentences = _titles(spark, folder)
+    logp, _ = unigram.fit(sentences.withColumn("weight", F.lit(1.0)), _piece_list(sentences, _word_lists(spark, folder)), 2)
+    return unigram.segment(sentences, logp)
+
+
+# Batches
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each source in reading order, two buffers a source; a token is a word here."""
+    docs = _docs(spark, folder).select(
+        F.coalesce(clean_source("source"), F.lit("none")).alias("lang"), "doc_id", "file_id", "line_id", F.size(words.pretokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    )
+    pos = F.row_number().over(Window.partitionBy("lang").orderBy("file_id", "line_id", "doc_id")) - 1
+    return docs.select("lang", pos.alias("pos"), "doc_id", "n_tokens", "n_bytes").withColumn("subtok", F.when(F.col("pos") % 3 == 0, F.lit("all")).otherwise(F.col("lang")))
+
+
+_STREAM = (
+    f"st AS MATERIALIZED (SELECT *, CASE WHEN pos % 3 = 0 THEN 'all' ELSE lang END AS subtok FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY file_id, line_id, doc_id) - 1 AS pos, doc_id, n_tokens, n_bytes "
+    f"FROM (SELECT coalesce({O.SOURCE}, 'none') AS lang, doc_id, file_id, line_id, coalesce(len({O.WORDS_OF}), 0) AS n_tokens, coalesce(strlen(text), 0) AS n_bytes FROM documents))), "
+    "ends AS (SELECT *, stop - n_tokens AS start FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY lang, subtok ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM st WHERE n_tokens > 0)), "
+    f"ex AS (SELECT *, unnest(range(start // {N_TARGET}, (stop - 1) // {N_TARGET} + 1)) AS b FROM ends), "
+    f"gr AS (SELECT *, greatest(0, b * {N_TARGET} - start) AS first, least(stop, (b + 1) * {N_TARGET}) - greatest(start, b * {N_TARGET}) AS grab FROM ex), "
+    f"parts AS MATERIALIZED (SELECT lang, subtok, b, pos, doc_id, first, grab, n_bytes * grab / n_tokens AS share_bytes FROM (SELECT *, sum(grab) OVER (PARTITION BY lang, subtok, b) AS filled FROM gr) WHERE filled = {N_TARGET}), "
+    "factors AS MATERIALIZED (SELECT lang, subtok, b, sum(grab)::BIGINT AS n_tokens, count(*) AS n_docs, max(pos) AS ready_pos, CASE WHEN sum(share_bytes) > 0 THEN sum(grab) / sum(share_bytes) / ln(2) ELSE 0.0 END AS c_bpb FROM parts GROUP BY ALL)"
+)
+
+
+@query(f"WITH {_STREAM} SELECT lang, subtok, b, pos, doc_id, first, grab, round(share_bytes, 6) AS share_bytes FROM parts")
+def pack_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of each document in each full batch of its buffer."""
+    return batches.spans(_stream(spark, folder), N_TARGET).withColumn("share_bytes", F.round("share_bytes", 6))
+
+
+@query(f"WITH {_STREAM} SELECT lang, subtok, b, n_tokens, n_docs, round(c_bpb, 9) AS c_bpb FROM factors")
+def batch_bpb(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens over bytes of each batch."""
+    return batches.batch_factors(batches.spans(_stream(spark, folder), N_TARGET)).select("lang", "subtok", "b", "n_tokens", "n_docs", F.round("c_bpb", 9).alias("c_bpb"))
+
+
+@query(f"WITH {_STREAM} SELECT lang, subtok, b, (row_number() OVER (PARTITION BY lang ORDER BY ready_pos, b) - 1)::INT AS nth FROM factors")
+def batch_emission_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The order in which batches of a source come out."""
+    return batches.emission_order(batches.batch_factors(batches.spans(_stream(spark, folder), N_TARGET))).select("lang", "subtok", "b", "nth")
+
+
+@query()
+def batch_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of each of 64 steps, sources drawn by weight."""
+    factors = batches.batch_factors(batches.spans(_stream(spark, folder), N_TARGET))
+    names = {r.lang: float(r.n) for r in factors.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    return batches.scheduled(factors, sampling.language_schedule(spark, names, 64, 41)) if names else factors.withColumn("step", F.lit(0))
+
+
+@query()
+def batch_xy(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of inputs and targets of all full batches, in tokens of the project's tokenizer."""
+    tokens = cut(modular.ModularTokenizer(_model(spark, folder), {}).encode(_docs(spark, folder)))
+    stream = _stream(spark, folder).drop("n_tokens").join(tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens")), "doc_id")
+    return batches.batch_rows(batches.spans(stream, N_TARGET), tokens, BATCH, CONTEXT)
+
+
+@query(
+    f"WITH {_STREAM}, used AS (SELECT lang, subtok, pos, sum(grab)::BIGINT AS used FROM parts WHERE b < 1 GROUP BY ALL), l AS (SELECT lang, subtok, max(pos) AS last_pos, arg_max(used, pos) AS last_n_tokens FROM used GROUP BY ALL), "
+    "a AS (SELECT lang, subtok, min(pos) AS anchor_pos FROM st LEFT JOIN used USING (lang, subtok, pos) WHERE n_tokens > 0 AND coalesce(used, 0) < n_tokens GROUP BY ALL) "
+    "SELECT lang, subtok, last_pos, last_n_tokens, anchor_pos FROM a FULL JOIN l USING (lang, subtok)"
+)
+def snapshot_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each buffer stands after its first batch."""
+    stream = _stream(spark, folder)
+    parts = batches.spans(stream, N_TARGET)
+    return batches.snapshot(stream, parts, parts.select("lang", "subtok").distinct().withColumn("n_batches", F.lit(1)))
+
+
+@query()
+def subtokenizer_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """The subtokenizer of each document, drawn from its source's chain."""
+    stream = _stream(spark, folder).drop("subtok")
+    names = sorted(r.lang for r in stream.select("lang").distinct().collect())
+    table_ = sampling.SamplingConfig(sampling.Strategy.UNIFORM, 0.5, 4, 1).table(spark, names, 41).collect()
+    choices = {x: ([r.subtok for r in table_ if r.lang == x], [r.p for r in table_ if r.lang == x]) for x in names}
+    return sampling.draw_subtokenizers(stream, choices, 41).select("lang", "pos", "doc_id", "subtok")
+
+
+# Metrics
+
+
+_XL = "x AS MATERIALIZED (SELECT DISTINCT rec_id AS id, title, summary FROM xlsum_items)"
+
+
+def _titles_and_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "xlsum_items").select(F.col("rec_id").alias("id"), F.coalesce("title", F.lit("")).alias("hypothesis"), F.coalesce("summary", F.lit("")).alias("reference")).distinct()
+
+
+@query(f"SELECT DISTINCT rec_id, array_to_string({O.answer_words('question')}, ' ') AS normal FROM std_items WHERE question IS NOT NULL")
+def normalize_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions as answers are compared."""
+    return table(spark, folder, "std_items").where("question is not null").select("rec_id", metrics.normalize_answer("question").alias("normal")).distinct()
+
+
+@query(
+    f"WITH {_XL}, p AS (SELECT id, {O.answer_words('title')} AS p, {O.answer_words('summary')} AS g FROM x WHERE title IS NOT NULL AND summary IS NOT NULL), "
+    "c AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(p) AS w FROM p) GROUP BY ALL), d AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(g) AS w FROM p) GROUP BY ALL), "
+    "s AS (SELECT c.id, sum(least(c.n, d.n)) AS same FROM c JOIN d ON c.id = d.id AND c.w = d.w GROUP BY c.id) "
+    "SELECT p.id, round(coalesce(2.0 * same / (len(p) + len(g)), 0.0), 9) AS f1 FROM p LEFT JOIN s USING (id)"
+)
+def answer_f1(spark: SparkSession, folder: str) -> DataFrame:
+    """Word F1 of titles against summaries."""
+    rows = table(spark, folder, "xlsum_items").where("title is not null and summary is not null").select(F.col("rec_id").alias("id"), F.col("title").alias("prediction"), F.array("summary").alias("golds")).distinct()
+    return metrics.token_f1(rows).select("id", F.round("f1", 9).alias("f1"))
+
+
+@query(
+    f"WITH q AS (SELECT DISTINCT rec_id, question, choices FROM std_items WHERE question IS NOT NULL AND choices IS NOT NULL) SELECT rec_id, "
+    f"list_contains(list_transform(choices, lambda c: array_to_string({O.answer_words('c')}, ' ')), array_to_string({O.answer_words('choices[1]')}, ' '))::INT::DOUBLE AS em FROM q WHERE len(choices) > 0"
+)
+def answer_exact_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the first choice is among the choices after normalization."""
+    rows = table(spark, folder, "std_items").where("question is not null and size(choices) > 0").select("rec_id", "question", "choices").distinct()
+    return rows.select("rec_id", metrics.exact_match(F.col("choices")[0], "choices").alias("em"))
+
+
+def _bleu_sql(n: int) -> str:
+    gram = f"unnest(CASE WHEN len({{0}}) < {n} THEN [] ELSE list_transform(range(1, len({{0}}) - {n} + 2), lambda i: array_to_string({{0}}[i:i + {n - 1}], ' ')) END)"
+    count = "SELECT id, g, count(*) AS n FROM (SELECT id, {1} AS g FROM w) GROUP BY ALL"
+    return (
+        f"SELECT {n} AS n, coalesce(sum(least(a.n, b.n)), 0)::BIGINT AS matched, coalesce(sum(a.n), 0)::BIGINT AS total FROM ({count.format(0, gram.format('h'))}) a LEFT JOIN ({count.format(0, gram.format('r'))}) b ON a.id = b.id AND a.g = b.g"
+    )
+
+
+_BLEU = f"WITH {_XL}, w AS MATERIALIZED (SELECT id, {O.bleu_words('title')} AS h, {O.bleu_words('summary')} AS r FROM (SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary FROM x))"
+
+
+@query(f"{_BLEU} " + " UNION ALL ".join(_bleu_sql(n) for n in range(1, 5)))
+def bleu_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Clipped matches of n-grams of titles in summaries."""
+    return metrics.bleu_counts(_titles_and_summaries(spark, folder))
+
+
+@query(
+    f"{_BLEU}, c AS ({' UNION ALL '.join(_bleu_sql(n) for n in range(1, 5))}), l AS (SELECT coalesce(sum(len(h)), 0)::BIGINT AS hyp_len, coalesce(sum(len(r)), 0)::BIGINT AS ref_len FROM w) "
+    "SELECT hyp_len, ref_len, round(CASE WHEN (SELECT min(matched) FROM c) > 0 THEN 100 * exp((SELECT avg(ln(matched / total)) FROM c) + CASE WHEN hyp_len >= ref_len THEN 0 ELSE 1 - ref_len / hyp_len END) ELSE 0.0 END, 9) AS bleu FROM l"
+)
+def corpus_bleu(spark: SparkSession, folder: str) -> DataFrame:
+    """BLEU of titles against summaries."""
+    return metrics.bleu(_titles_and_summaries(spark, folder)).withColumn("bleu", F.round("bleu", 9))
+
+
+def _rouge_sql(n: int) -> str:
+    words_ = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+    gram = f"CASE WHEN len({{0}}) < {n} THEN [] ELSE list_transform(range(1, len({{0}}) - {n} + 2), lambda i: array_to_string({{0}}[i:i + {n - 1}], ' ')) END"
+    return (
+        f"WITH {_XL}, w AS (SELECT id, {words_.format('title')} AS h, {words_.format('summary')} AS r FROM x), g AS MATERIALIZED (SELECT id, {gram.format('h')} AS h, {gram.format('r')} AS r FROM w), "
+        "a AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(h) AS t FROM g) GROUP BY ALL), b AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(r) AS t FROM g) GROUP BY ALL), "
+        "s AS (SELECT a.id, sum(least(a.n, b.n)) AS same FROM a JOIN b ON a.id = b.id AND a.t = b.t GROUP BY a.id) SELECT g.id, round(coalesce(2.0 * same / (len(h) + len(r)), 0.0), 9) AS f FROM g LEFT JOIN s USING (id)"
+    )
+
+
+@query(_rouge_sql(1))
+def rouge_1(spark: SparkSession, folder: str) -> DataFrame:
+    """ROUGE-1 of titles against summaries."""
+    return metrics.rouge_n(_titles_and_summaries(spark, folder), 1).select("id", F.round("f", 9).alias("f"))
+
+
+@query(_rouge_sql(2))
+def rouge_2(spark: SparkSession, folder: str) -> DataFrame:
+    """ROUGE-2 of titles against summaries."""
+    return metrics.rouge_n(_titles_and_summaries(spark, folder), 2).select("id", F.round("f", 9).alias("f"))
+
+
+@query()
+def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
+    """ROUGE-L of titles against summaries, words stemmed."""
+    return metrics.rouge_l(_titles_and_summaries(spark, folder)).select("id", F.round("f", 9).alias("f"))
+
+
+@query(
+    f"WITH {O.ALL_WORDS}, t AS (SELECT ln(sum(freq) + count(*)) AS z FROM words), q AS MATERIALIZED (SELECT DISTINCT rec_id AS id, coalesce(question, '') AS question, choices, answer AS gold FROM std_items WHERE len(choices) > 0), "
+    "e AS MATERIALIZED (SELECT id, unnest(range(len(choices))) AS choice, unnest(choices) AS text, gold FROM q), "
+    f"ce AS (SELECT id, choice, sum(z - ln(coalesce(freq, 0) + 1)) AS c FROM (SELECT id, choice, unnest({O.WORDS_OF}) AS word FROM e) LEFT JOIN words USING (word), t GROUP BY ALL), "
+    f"qe AS (SELECT id, sum(z - ln(coalesce(freq, 0) + 1)) AS c FROM (SELECT id, unnest(regexp_extract_all(question, '{O.PRETOKEN}')) AS word FROM q) LEFT JOIN words USING (word), t GROUP BY ALL), "
+    "s AS (SELECT e.id, e.choice, gold, round(coalesce(qe.c, 0), 6) AS p, round(coalesce(ce.c, 0), 6) AS a, length(text) AS n FROM e LEFT JOIN ce ON ce.id = e.id AND ce.choice = e.choice LEFT JOIN qe ON qe.id = e.id), "
+    "b AS (SELECT id, any_value(gold) AS gold, min(row(round(p + a, 6), choice)) AS u, min(row(round(a / n, 9), choice)) FILTER (n > 0) AS l FROM s GROUP BY id) "
+    "SELECT count(*) AS n_examples, round(avg((u[2] = gold)::INT), 9) AS unnormalized, round(avg(coalesce((l[2] = gold)::INT, 0)), 9) AS length_normalized FROM b"
+)
+def mcq_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of choices scored by a word model of the documents."""
+    freq = cut(words.word_frequencies(_docs(spark, folder)))
+    z = freq.agg(F.log(F.sum("freq") + F.count("*")).alias("z")).first().z or 0.0
+    items = table(spark, folder, "std_items").where("size(choices) > 0").select(F.col("rec_id").alias("id"), F.coalesce("question", F.lit("")).alias("question"), "choices", F.col("answer").alias("gold")).distinct()
+
+    def cost(rows: DataFrame, *key: str) -> DataFrame:
+        parts = rows.select(*key, F.explode(words.pretokens("text")).alias("word")).join(freq, "word", "left")
+        return parts.groupBy(*key).agg(F.round(F.sum(F.lit(z) - F.log(F.coalesce("freq", F.lit(0)) + 1)), 6).alias("c"))
+
+    each = items.select("id", "gold", F.posexplode("choices").alias("choice", "text"))
+    prompt = cost(items.select("id", F.col("question").alias("text")), "id").withColumnRenamed("c", "p")
+    answer = cost(each, "id", "choice").withColumnRenamed("c", "a")
+    scored = each.join(answer, ["id", "choice"], "left").join(prompt, "id", "left").na.fill(0.0, ["a", "p"])
+    n = F.when(F.length("text") > 0, F.length("text"))
+    rows = scored.select("id", "choice", F.round(F.col("p") + F.col("a"), 6).alias("full_ce"), F.col("a").alias("answer_ce"), F.col("p").alias("prompt_ce"), n.alias("n_chars"), "gold")
+    # Differences of rounded sums are rounded again, so that ties are ties on either engine.
+    exact = rows.withColumn("full_ce", F.col("full_ce")).withColumn("length", F.round(F.col("answer_ce") / F.col("n_chars"), 9))
+    best = exact.groupBy("id").agg(F.first("gold").alias("gold"), F.min(F.struct("full_ce", "choice")).alias("u"), F.min(F.when(F.col("length").isNotNull(), F.struct("length", "choice"))).alias("l"))
+    hit = lambda c: F.coalesce((F.col(f"{c}.choice") == F.col("gold")).cast("int"), F.lit(0))
+    return best.agg(F.count("*").alias("n_examples"), F.round(F.avg(hit("u")), 9).alias("unnormalized"), F.round(F.avg(hit("l")), 9).alias("length_normalized"))
+
+
+def _rates_sql() -> str:
+    warm = "CASE WHEN s < 500 THEN 0.0005 * s / 500 WHEN s < {0} THEN 0.0005 ELSE {1} END"
+    done = "least(1.0, (s - {0}) / {1})"
+    linear = warm.format(4000, f"0.00005 + 0.00045 * (1 - {done.format(4000, 1000)})")
+    cosine = warm.format(500, f"0.00005 + 0.00045 * (1 + cos(pi() * {done.format(500, 4500)})) / 2")
+    root = warm.format(4000, f"0.00005 + 0.00045 * (1 - sqrt(greatest(0.0, {done.format(4000, 1000)})))")
+    return " UNION ALL ".join(f"SELECT '{name}' AS shape, range AS step, round({sql.replace('s <', 'range <').replace('* s /', '* range /').replace('(s -', '(range -')}, 12) AS lr FROM range(5000)" for name, sql in (("linear", linear), ("cosine", cosine), ("1-sqrt", root)))
+
+
+@query(_rates_sql())
+def lr_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Learning rates of three schedules over 5000 steps."""
+    shapes = {"linear": (4000, 1000), "cosine": (500, 4500), "1-sqrt": (4000, 1000)}
+    parts = [metrics.learning_rates(spark, 5000, 0.0005, 500, start, length, 0.1, shape).select(F.lit(shape).alias("shape"), "step", F.round("lr", 12).alias("lr")) for shape, (start, length) in shapes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "SELECT \"window\", CASE WHEN g = 1 THEN '*' ELSE lang END AS lang, n, round(mean, 9) AS mean FROM (SELECT \"window\", lang, grouping(lang) AS g, count(v) AS n, avg(v) AS mean FROM "
+    "(SELECT step // 100 AS \"window\", coalesce(lang, '') AS lang, c_bpb AS v FROM batch_docs) GROUP BY GROUPING SETS ((\"window\", lang), (\"window\"))) WHERE n > 0"
+)
+def loss_by_lang_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean bits-per-byte factor for each hundred steps, by language and overall."""
+    return metrics.window_means(table(spark, folder, "batch_docs"), "step", "c_bpb", 100).withColumn("mean", F.round("mean", 9))
+
+
+@query(
+    "WITH e AS MATERIALIZED (SELECT DISTINCT task, rec_id AS id, split = 'train' AS is_shot, question, CASE WHEN answer BETWEEN 0 AND len(choices) - 1 THEN choices[answer + 1] END AS answer, context FROM std_items WHERE task IS NOT NULL AND split IS NOT NULL), "
+    "t AS (SELECT *, (CASE WHEN context IS NULL THEN '' ELSE context || chr(10) END) || 'Question: ' || coalesce(question, '') || ' Answer: ' AS q FROM e), "
+    "h AS (SELECT task, string_agg(q || coalesce(answer, ''), chr(10) ORDER BY id) AS s FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY id) AS k FROM t WHERE is_shot) WHERE k <= 2 GROUP BY task) "
+    "SELECT task, id, 'Questions and answers.' || chr(10) || coalesce(s, '') || chr(10) || rtrim(q) AS prompt FROM t LEFT JOIN h USING (task) WHERE NOT is_shot"
+)
+def prompt_fewshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts with two solved examples of the same task."""
+    items = table(spark, folder, "std_items").where("task is not null and split is not null")
+    answer = F.when((F.col("answer") >= 0) & (F.col("answer") < F.size("choices")), F.get("choices", F.col("answer")))
+    rows = items.select("task", F.col("rec_id").alias("id"), (F.col("split") == "train").alias("is_shot"), "question", answer.alias("answer"), "context").distinct()
+    return metrics.few_shot_prompts(rows, 2, "Questions and answers.", "Question: {q} Answer: {a}", "task")
 
 
-QUERIES["word_freq"] = word_freq
+@query("SELECT time_bucket(INTERVAL 60 MINUTE, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by hour and type; an extra on event time."""
+    return tumbling_counts(table(spark, folder, "events"), 60).withColumn("total", F.round("total", 4))
