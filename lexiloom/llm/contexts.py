@@ -32,11 +32,11 @@ class ContextTrees:
         self.langs = langs
         counts: list[dict[bytes, Counter[int]]] = []
         for lang in langs:
-            words = Counter(units(" ".join(listed.get(lang, [])), []))
+            words = Counter(units(" ".join(listed.get(lang, []))))
             for word in words:
                 words[word] = LISTED
             for text in texts.get(lang, []):
-                words.update(units(text, []))
+                words.update(units(text))
             tree: dict[bytes, Counter[int]] = {}
             for word, n in words.items():
                 code = _bytes(word)
@@ -138,23 +138,27 @@ class ContextTrees:
         self.rows[word] = row
         return row
 
-    def bits(self, words: list[str]) -> np.ndarray:
-        """Code length of words under each language."""
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """A row for each word, its code length under each language."""
         if len(self.rows) > KEPT_WORDS:
             self.reset()
         rows = list(map(self.rows.get, words))
         if None in rows:
             rows = [self.rows[w] if r is None and w in self.rows else self._add(w) if r is None else r for w, r in zip(words, rows)]
-        return self.known[rows].sum(0)
+        return self.known[rows]
+
+    def bits(self, words: list[str]) -> np.ndarray:
+        """Code length of words under each language."""
+        return self.word_rows(words).sum(0)
 
 
 def _bytes(word: str) -> bytes:
     return b" " + fold(word).encode("utf-8", "replace")[:200] + b" "
 
 
-def units(text: str, words: list[str]) -> list[str]:
-    """The words of a text; where it has no blanks, its single characters. ``words``, if not empty, are its words already."""
-    words = words or words_of(text)
+def units(text: str, words: list[str] | None = None) -> list[str]:
+    """The words of a text, or ``words`` if they are known; where it has no blanks, its single characters."""
+    words = words_of(text) if words is None else words
     if text.isascii() or not _HAN.search(text):
         return words
     out = []
@@ -167,7 +171,7 @@ def units(text: str, words: list[str]) -> list[str]:
 
 
 #: A sentence of less is not told apart from the text around it: words (characters where there are no blanks), bits ahead of the next language.
-SENTENCE_WORDS, SENTENCE_BITS = 5, 12.0
+SENTENCE_WORDS, SENTENCE_BITS = 5, 20.0
 _SENTENCE = re.compile(r"[^.!?…।。！？]+[.!?…।。！？]*[\"”'»’)\]]*")
 _QUOTE = re.compile(r"[“«„][^“”«»„]{25,}[”»“]")
 _TERMINATED = tuple(".!?…।。！？")
@@ -208,33 +212,40 @@ def _split_quotes(text: str) -> list[str]:
     return [x for x in [*out, text[at:]] if x]
 
 
-def document_languages(lines: list[tuple[int, str]], trees: ContextTrees) -> tuple[int, float, list[tuple[int, int]]]:
-    """(main language or -1, confidence, (line, language) of the full sentences) of the lines of prose of a document.
+def greatest_gain(bits: np.ndarray, whole: int) -> float:
+    """The most that any run of words is shorter under another language than under ``whole``."""
+    ahead = np.zeros((len(bits) + 1, bits.shape[1]))
+    np.cumsum(bits[:, whole : whole + 1] - bits, axis=0, out=ahead[1:])
+    return float((ahead - np.minimum.accumulate(ahead, axis=0)).max())
+
+
+def document_languages(lines: list[tuple[int, str, list[str]]], trees: ContextTrees) -> tuple[int, float, list[tuple[int, int]]]:
+    """(main language or -1, confidence, (line, language) of the full sentences) of the lines (number, text, words) of a document.
 
     The confidence is the share of the text's probability that the main language has among all languages, a byte of text
-    taken for an eighth of a byte so that long texts don't all have 1.0.
+    taken for a 64th so that long texts don't all have 1.0, times its share of the characters. Where no run of words can
+    make a sentence of another language, the text isn't cut into sentences and no lines are given.
     """
-    parts = sentences(lines)
-    found: list[tuple[int, int, int, int, bool, np.ndarray]] = []
-    total = np.zeros(len(trees.langs))
-    for number, text, full in parts:
-        words = units(text, [])
-        if not words:
-            continue
-        bits = trees.bits(words)
-        total += bits
-        found.append((number, int(bits.argmin()), len(text), len(words), full, bits))
-    if not found:
+    words = [w for _, text, found in lines for w in units(text, found)]
+    if not words:
         return -1, 0.0, []
-    chars = np.zeros(len(trees.langs))
+    each = trees.word_rows(words)
+    total = each.sum(0, dtype=float)
     whole = int(total.argmin())
-    settled = []
-    for number, lang, size, n_words, full, bits in found:
-        sure = n_words >= SENTENCE_WORDS and bits[whole] - bits[lang] >= SENTENCE_BITS
-        lang = lang if lang == whole or sure else whole
-        chars[lang] += size
-        settled.append((number, lang, n_words, full))
-    main = int(chars.argmax())
     spread = np.exp2(-(total - total.min()) / 64)
-    confidence = float(spread[whole] / spread.sum()) * float(chars[main] / chars.sum())
-    return main, confidence, sorted({(number, lang) for number, lang, n_words, full in settled if full and n_words >= SENTENCE_WORDS})
+    confidence = float(spread[whole] / spread.sum())
+    if greatest_gain(each, whole) < SENTENCE_BITS:
+        return whole, confidence, []
+    parts = [(number, len(text), full, words) for number, text, full in sentences([x[:2] for x in lines]) if (words := units(text))]
+    if not parts:
+        return whole, confidence, []
+    n_words = np.array([len(words) for *_, words in parts])
+    bits = np.add.reduceat(trees.word_rows([w for *_, words in parts for w in words]), np.cumsum(n_words) - n_words, axis=0)
+    lang = bits.argmin(1)
+    sure = (n_words >= SENTENCE_WORDS) & (bits[:, whole] - bits.min(1) >= SENTENCE_BITS)
+    lang = np.where(sure, lang, whole)
+    chars = np.bincount(lang, weights=[size for _, size, *_ in parts], minlength=len(trees.langs))
+    main = int(chars.argmax())
+    confidence *= float(chars[main] / chars.sum())
+    kept = {(number, k) for (number, _, full, _), k, n in zip(parts, lang.tolist(), n_words.tolist()) if full and n >= SENTENCE_WORDS}
+    return main, confidence, sorted(kept)

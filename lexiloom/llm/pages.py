@@ -249,7 +249,7 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         main, confidence, segments = -1, 0.0, []
         if trees is not None and whole:
             is_prose = 2 * by_shape[0] >= whole
-            main, confidence, segments = document_languages([(numbers[j], cleaned[j]) for j in range(a, b) if near[j] == 0 or not is_prose], trees)
+            main, confidence, segments = document_languages([(numbers[j], cleaned[j], tokens[j][0]) for j in range(a, b) if near[j] == 0 or not is_prose], trees)
         out.append((
             doc_id, len(text), n_words, letters / n_words if n_words else 0.0, odd / n_tokens if n_tokens else 0.0, ends / (b - a) if b > a else 0.0,
             function / max(1, n_tokens - odd), int(units[a:b].sum()), whole, by_shape[0], listed, profiler.names[max(range(len(by_shape)), key=lambda k: by_shape[k])] if whole else "empty",
