@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import clean_source, label_key
 from lexiloom.llm import contexts, leaks, lexicon, mixing, overlaps, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
+from lexiloom.plans import oracles
 from lexiloom.tables import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,26 @@ def query(run: Query) -> Query:
     return run
 
 
+_DOC_WORDS = f"words AS MATERIALIZED (SELECT doc_id, word, count(*) AS freq FROM (SELECT doc_id, unnest({oracles.WORDS_OF}) AS word FROM documents) GROUP BY ALL)"
+_COUNTED = f"{oracles.encoded(_DOC_WORDS, 'doc_id, freq')}, counted AS MATERIALIZED (SELECT d.doc_id, coalesce(sum(freq * n_tok), 0)::BIGINT AS n_tokens FROM documents d LEFT JOIN enc USING (doc_id) GROUP BY d.doc_id)"
+_NAMES = "names AS (SELECT lower(trim(k)) AS k, min(lang) AS name FROM (SELECT lang, unnest([lang, iso3, lang_name]) AS k FROM languages) WHERE k IS NOT NULL GROUP BY ALL)"
+_KEY = "nullif(split_part(replace(lower(trim(lang)), '_', '-'), '-', 1), '')"
+
+
+def _totals_sql(by: str, name: str) -> str:
+    return f"SELECT {by} AS {name}, count(*) AS n_docs, sum(n_tokens)::BIGINT AS n_tokens"
+
+
+ORACLES["p2_document_tokens"] = f"{_COUNTED} SELECT doc_id, n_tokens FROM counted"
+ORACLES["p2_totals_by_source"] = f"{_COUNTED} {_totals_sql(oracles.SOURCE, 'source')} FROM documents JOIN counted USING (doc_id) GROUP BY ALL"
+ORACLES["p2_totals_by_domain"] = f"{_COUNTED} {_totals_sql('domain', 'domain')} FROM documents JOIN counted USING (doc_id) GROUP BY ALL"
+ORACLES["p2_totals_by_lang"] = f"{_COUNTED}, {_NAMES} {_totals_sql('name', 'lang')} FROM (SELECT doc_id, {_KEY} AS k FROM documents) JOIN counted USING (doc_id) LEFT JOIN names USING (k) GROUP BY ALL"
+ORACLES["p2_consumed_by_lang"] = (
+    f"{_COUNTED}, log AS (SELECT arg_min({{'l': lang, 'd': doc_id}}, {{'r': received_at, 'g': logged_at}}) AS f FROM batch_docs WHERE read_id IS NOT NULL GROUP BY read_id) "
+    "SELECT f.l AS lang, count(*) AS n_reads, count(DISTINCT f.d) AS n_docs, coalesce(sum(n_tokens), 0)::BIGINT AS n_tokens FROM log LEFT JOIN counted ON counted.doc_id = f.d GROUP BY ALL"
+)
+
+
 def _counted(spark: SparkSession, folder: str) -> DataFrame:
     """documents with n_tokens and cleaned source."""
     docs = table(spark, folder, "documents")
