@@ -47,6 +47,7 @@ _LINK_MARK = "\x01"
 _SYMBOLS = re.compile(r"[^\w\s.,!?;:'\"()“”‘’«»„।。，、！？：；\-–—\x01̀-ͯऀ-෿​-‏]+|[.,;:'\"()!?\-]{2,}")
 _HASHTAG = re.compile(r"#\w[^\s#]*")
 _PRODUCT = re.compile(r"\b[A-Z]{2,6}-\d{3,}\b|\b\d+[.,]\d\d ?(?:EUR|USD|GBP|CHF|SEK|PLN|RUB|INR|CNY|[€$£])|[€$£] ?\d+[.,]\d\d")
+_CODE = re.compile(r"\w\(|[{}]|\s[-+*/!<>=]?=\s|=>|->|::|</")
 _SPEAKER = re.compile(r"\s*[^\s:]{1,40}(?: [^\s:]{1,40})?:\s")
 _HAN_FROM = "\u3400"
 _HAN_CHARS = re.compile("[㐀-鿿]")
@@ -221,7 +222,7 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
             elif _listing(raw[j], counts[j]):
                 listed += size[j - a]
                 continue
-            if counts[j][NUMBER] > 0.25 * len(words):
+            if counts[j][NUMBER] > 0.25 * len(words) or shape and _CODE.search(cleaned[j]):
                 continue
             skip = 0
             if shape == 0 and (speaker := _SPEAKER.match(cleaned[j])):

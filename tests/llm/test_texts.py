@@ -41,7 +41,7 @@ def documents(models=None):
     rng = random.Random(9)
     table = "\n".join(f"| {rng.randint(1, 999)} | {rng.random() * 100:.2f} | house | {rng.randint(1, 30)}% |" for _ in range(20))
     code = "\n".join(f"    river = garden(market, {k});" for k in range(20))
-    listing = "\n".join(f"- {w} {v}" for w in "alder birch cedar dogwood elm fir ginkgo hazel".split() for v in "bark leaf root".split())
+    listing = "\n".join(f"- {''.join(rng.choice('abcdefgh') for _ in range(7))} {w}" for w in "bark leaf root stem bud seed cone twig".split() for _ in "xx")
     keywords = ", ".join(rng.choice(["cheap lantern", "lantern", "lantern shop", "buy lantern"]) for _ in range(60))
     links = "\n".join(f"https://site{k}.example/page » offer" for k in range(15))
     shop = "\n".join(f"Lantern | red | XL | SKU-{10000 + k} | {k + 0.5:.2f} EUR" for k in range(12))
@@ -218,13 +218,14 @@ def test_common_words_and_plain_text():
 
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(8)
-    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(8, 60))] for _ in range(120)]
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    base = [["w" + name(rng.randint(0, 400)) for _ in range(rng.randint(8, 60))] for _ in range(120)]
     records = []
     for k, words in enumerate(base):
         records.append((2 * k, "train", " ".join(words)))
         copy = list(words)
         for _ in range(rng.randint(0, len(words) // 6)):
-            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 999)}"
+            copy[rng.randrange(len(copy))] = "e" + name(rng.randint(0, 999))
         records.append((2 * k + 1, rng.choice(["val", "test"]), " ".join(copy).upper()))
     records += [(1000, "train", None), (1001, "test", ""), (1002, "test", "too short"), (1003, "train", "Numbers 1 2 3 " + " ".join(base[0])), (1004, "test", "Numbers 1 2 4 " + " ".join(base[0])), (1004, "test", "Numbers 1 2 4 " + " ".join(base[0]))]
     df = spark.createDataFrame([("t", i, s, "task", t, "x") for i, s, t in records], "tab string, rec_id long, split string, task string, text string, words string")
