@@ -179,7 +179,13 @@ def token_counts(words: DataFrame, merges: Sequence[Merge], vocab: DataFrame, *b
     tokens = vocab.agg(F.collect_list(F.struct("token_id", "piece")).alias("tokens")).first().tokens  # tokenizer-sized
     listed = F.broadcast(words.sparkSession.createDataFrame([(tokens,)], "tokens array<struct<token_id: int, piece: string>>"))
     groups = words.select(*by).distinct().withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one").select(*by, F.inline("tokens"))
-    return groups.join(counts, [*by, "piece"], "left").select(*by, "token_id", "piece", F.coalesce("n", F.lit(0)).alias("n"))
+    return null_safe_join(groups, counts, [*by, "piece"], "left").select(*by, "token_id", "piece", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns in which null equals null; the keys are those of ``left``."""
+    renamed = right.select(*(F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns))
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how).drop(*(f"_right_{k}" for k in keys))
 
 
 def token_totals(words: DataFrame, merges: Sequence[Merge], *by: str) -> DataFrame:
@@ -190,5 +196,5 @@ def token_totals(words: DataFrame, merges: Sequence[Merge], *by: str) -> DataFra
 def nsl(words: DataFrame, merges: Sequence[Merge], reference: Sequence[Merge], *by: str) -> DataFrame:
     """(by..., n_tokens, n_tokens_ref, nsl): tokens over those of a reference tokenizer, for each group."""
     ours, theirs = token_totals(words, merges, *by), token_totals(words, reference, *by).withColumnRenamed("n_tokens", "n_tokens_ref")
-    joined = ours.join(theirs, [*by])
+    joined = null_safe_join(ours, theirs, by)
     return joined.select(*by, "n_tokens", "n_tokens_ref", (F.col("n_tokens") / F.col("n_tokens_ref")).alias("nsl"))

