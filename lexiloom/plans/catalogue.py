@@ -15,7 +15,7 @@ from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
 from lexiloom.operators import batches, bpe, documents, metrics, modular, sampling, unigram, vocab, words
 from lexiloom.plans import oracles as O
 from lexiloom.streaming.batches import tumbling_counts
-from lexiloom.tables import cut, table
+from lexiloom.tables import corpus, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +53,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return corpus(spark, folder)
 
 
 def _byte_words(spark: SparkSession, folder: str, *by: str) -> DataFrame:

@@ -22,3 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if its files can't occupy them; else as it is, so a large table is never shuffled for this."""
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a data folder."""
+    return spread(table(spark, folder, "documents"), "doc_id")
