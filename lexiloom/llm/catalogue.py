@@ -11,7 +11,7 @@ from lexiloom.functions.text import clean_source, label_key
 from lexiloom.llm import contexts, leaks, lexicon, mixing, overlaps, packing, pages, runs, tokens
 from lexiloom.llm.labels import language_names
 from lexiloom.plans import oracles
-from lexiloom.tables import cut, table
+from lexiloom.tables import corpus, cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +46,7 @@ ORACLES["p2_consumed_by_lang"] = (
 
 def _counted(spark: SparkSession, folder: str) -> DataFrame:
     """documents with n_tokens and cleaned source."""
-    docs = table(spark, folder, "documents")
+    docs = corpus(spark, folder)
     counts = tokens.document_tokens(docs, table(spark, folder, "tok_merges"))
     facts = docs.select("doc_id", clean_source("source").alias("source"), "lang", "domain")
     return facts.join(counts, "doc_id")
@@ -55,7 +55,7 @@ def _counted(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each document under the project's tokenizer."""
-    return tokens.document_tokens(table(spark, folder, "documents"), table(spark, folder, "tok_merges"))
+    return tokens.document_tokens(corpus(spark, folder), table(spark, folder, "tok_merges"))
 
 
 @query
@@ -81,7 +81,7 @@ def p2_totals_by_lang(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_consumed_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     """Reads, documents and tokens by Batch.lang of what the loader's log consumed; a repeated read_id counts once."""
-    counts = tokens.document_tokens(table(spark, folder, "documents"), table(spark, folder, "tok_merges"))
+    counts = tokens.document_tokens(corpus(spark, folder), table(spark, folder, "tok_merges"))
     log = table(spark, folder, "batch_docs").where("read_id is not null").groupBy("read_id").agg(F.min_by(F.struct("lang", "doc_id"), F.struct("received_at", "logged_at")).alias("first"))
     reads = log.select("first.lang", "first.doc_id").groupBy("lang", "doc_id").agg(F.count("*").alias("n"))
     joined = reads.join(counts, "doc_id", "left")
@@ -89,7 +89,7 @@ def p2_consumed_by_lang(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, list[runs.Run]]:
-    docs = table(spark, folder, "documents")
+    docs = corpus(spark, folder)
     counts = tokens.document_tokens(docs, table(spark, folder, "tok_merges"))
     return cut(runs.sized_documents(docs, counts)), runs.read_runs(table(spark, folder, "pretrain_runs"))
 
@@ -129,7 +129,7 @@ def _models(spark: SparkSession, folder: str) -> tuple[lexicon.Lexicon, dict[str
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     words, texts = _models(spark, folder)
-    return cut(pages.profile_documents(table(spark, folder, "documents"), words, pages.prose_profiles(texts, words)))
+    return cut(pages.profile_documents(corpus(spark, folder), words, pages.prose_profiles(texts, words)))
 
 
 @query
@@ -164,14 +164,14 @@ def p8_rank_frequency(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+    return leaks.find_leaks(corpus(spark, folder), table(spark, folder, "heldout_items"))
 
 
 @query
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Each leaked item with the number of documents that hold a passage of it."""
     items = table(spark, folder, "heldout_items")
-    found = leaks.find_leaks(table(spark, folder, "documents"), items).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    found = leaks.find_leaks(corpus(spark, folder), items).groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return items.select("item_id", "task", "lang", "split").distinct().join(found, "item_id")
 
 
@@ -181,7 +181,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, name).select(F.lit(name).alias("tab"), "rec_id", "split", "task", F.col(text).alias("text"))
         for name, text in (("std_items", "question"), ("parallel_items", "question"), ("xlsum_items", "text"))
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return spread(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rec_id")
 
 
 @query
@@ -204,7 +204,7 @@ def _languages(spark: SparkSession, folder: str) -> DataFrame:
     for r in table(spark, folder, "common_words").where("lang is not null and word is not null").limit(lexicon.MAX_WORDS).collect():
         listed.setdefault(r.lang, []).append(r.word)
     trees = contexts.ContextTrees(texts, listed, words.langs)
-    docs = table(spark, folder, "documents")
+    docs = corpus(spark, folder)
     profiles = cut(pages.profile_documents(docs, words, pages.prose_profiles(texts, words), trees))
     spam = pages.keyword_pages(profiles).where("is_keyword_page").select("doc_id", F.lit(True).alias("is_keyword_page"))
     labels = docs.select("doc_id", label_key("lang").alias("key")).join(F.broadcast(language_names(table(spark, folder, "languages"))), "key", "left")
