@@ -132,3 +132,32 @@ def test_windows(spark):
     assert [r.n for r in S.tumbling_counts(events, 60).orderBy("window_start").collect()] == [2, 1]
     log = spark.createDataFrame([(5, "en", 1.0), (150, None, 3.0)], "step long, lang string, v double")
     assert rows(M.window_means(log, "step", "v", 100)) == [(0, "*", 1, 1.0), (0, "en", 1, 1.0), (1, "", 1, 3.0), (1, "*", 1, 3.0)]
+
+
+def test_latency_batches_and_small_facts(spark):
+    from lexiloom.operators import reports as R
+
+    tokens = spark.createDataFrame([(2, [4, 5, 6]), (1, [1, 2, 3])], "doc_id long, tokens array<int>")
+    assert rows(R.latency_batches(tokens, 2, 2)) == [(0, 0, [1, 2]), (0, 1, [3, 4])]
+    assert rows(R.latency_batches(tokens, 2, 4)) == [(0, 0, [1, 2, 3, 4]), (0, 1, [5, 6, 0, 0])]
+    assert R.latency_batches(tokens.where("false"), 2, 4).count() == 0
+    assert tokens.agg(R.padded_length("tokens", 8)).first()[0] == 8
+    numbers = spark.createDataFrame([(5,), (1500,), (2_500_000,), (3 * 10**9,)], "n long")
+    assert [r[0] for r in numbers.select(R.short_number("n")).collect()] == ["5", "1.50K", "2.50M", "3.00B"]
+    times = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "name string, seconds double")
+    assert rows(R.mean_times(times, "name")) == [("a", 2, 2.0)]
+    assert R.kept_steps([10, 20, 30, 40, 50], 1, 20, rewind_to=40) == [20, 40]
+
+
+def test_prompts(spark):
+    from lexiloom.operators import prompts as P
+
+    ex = spark.createDataFrame([("winogrande", 1, " end", ["x", "yy"], 0, None), ("boolq", 2, "q", None, 0, "c"), ("other", 3, "q", ["a"], 0, None)], "task string, id long, question string, choices array<string>, gold int, context string")
+    got = rows(P.cloze_sequences(ex).select("id", "choice", "full", "answer", "n_chars"))
+    assert got == [(1, -1, "end", "", 0), (1, 0, "x end", "x", 1), (1, 1, "yy end", "yy", 2), (2, -1, "c\nQuestion: q Answer:", "Answer:", 0)]
+    letters = ex.where("id = 1").select(P.letter_prompt(F.col("question"), F.col("choices"), F.lit("ctx"), F.lit(1))).first()[0]
+    assert letters == "ctx\n end\nA. x\nB. yy\nAnswer: B"
+    pairs = spark.createDataFrame([(1, True, "a", ["b"]), (2, False, "c", None)], "id long, is_shot boolean, question string, answer array<string>")
+    assert P.translation_prompts(pairs, 3, "en", "fr").first().prompt == "en: a fr: b\nen: c fr:"
+    sums = spark.createDataFrame([(1, True, "s", "t"), (2, False, "u", "v")], "id long, is_shot boolean, source string, summary string")
+    assert P.summary_prompts(sums, 1, "Text", "Summary").first().prompt == "Text: s\nSummary: t\n\nText: u\nSummary:"

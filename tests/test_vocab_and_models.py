@@ -141,3 +141,22 @@ def test_config_layers(tmp_path):
     with pytest.raises(ValueError):
         config.parse(sampling.SamplingConfig, {"nope": 1})
     assert config.names("a, b,") == ["a", "b"]
+
+
+def test_masks_by_strategy(spark):
+    from lexiloom.operators import masks as K
+
+    v = spark.createDataFrame([(0, "<s>", True, 0.0), (1, "a", False, -1.0), (2, "b", False, -2.0)], "token_id int, piece string, is_special boolean, score double")
+    counts = spark.createDataFrame([("x", 1, 1), ("x", 2, 5), ("z", 1, 9)], "lang string, token_id int, n long")
+    assert rows(K.language_masks(K.Extraction.NONE, v, ["x"])) == [("x", 0), ("x", 1), ("x", 2)]
+    assert rows(K.language_masks(K.Extraction.COMMON, v, ["x"], counts=counts, size=2)) == [("x", 0), ("x", 2)]
+    ids = spark.createDataFrame([("x", 1)], "lang string, token_id int")
+    assert rows(K.language_masks(K.Extraction.MERGED_SEQ_BPE, v, ["x"], lang_ids=ids)) == [("x", 0), ("x", 1)]
+    own = spark.createDataFrame([("x", "b"), ("x", "nope")], "lang string, piece string")
+    assert rows(K.language_masks(K.Extraction.MERGED_UNNORM, v, ["x", "y"], own_vocabs=own)) == [("x", 0), ("x", 2), ("y", 0)]
+    with pytest.raises(ValueError):
+        K.language_masks(K.Extraction.COMMON, v, ["x"])
+    assert rows(K.restrict_unigram(v, ids)) == [(0, "a", -1.0)]
+    assert rows(K.logit_mask(ids, 3)) == [(0, -math.inf), (1, 0.0), (2, -math.inf)]
+    assert rows(K.pieces_by_language(ids, v)) == [("x", "a", 1)]
+    assert rows(K.missing_languages(counts, ids)) == [("z",)]
