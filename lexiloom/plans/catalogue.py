@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
-from lexiloom.operators import batches, bpe, documents, metrics, modular, sampling, unigram, vocab, words
+from lexiloom.operators import batches, bpe, documents, masks, metrics, modular, prompts, reports, sampling, unigram, vocab, words
 from lexiloom.plans import oracles as O
 from lexiloom.streaming.batches import tumbling_counts
 from lexiloom.tables import corpus, cut, table
@@ -201,7 +201,7 @@ def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(i, t) for t, i in _trained(spark, folder).vocab.items()], "token_id int, piece string")
 
 
-@query()
+@query(f"{O.continued_bpe(EXTENSION)} " + " UNION ALL ".join(f'SELECT {k} AS ord, "left" || "right" AS piece FROM m{k}' for k in range(EXTENSION)))
 def continued_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The first tokens found when training goes on over the project's tokenizer."""
     tokens, _ = bpe.continue_training(_docs(spark, folder), _model(spark, folder), EXTENSION)
@@ -692,3 +692,74 @@ def prompt_fewshot(spark: SparkSession, folder: str) -> DataFrame:
 def events_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     """Events by hour and type; an extra on event time."""
     return tumbling_counts(table(spark, folder, "events"), 60).withColumn("total", F.round("total", 4))
+
+
+# Prompts and edges of models
+
+
+_TASK = "CASE task WHEN 'std_yesno' THEN 'boolq' WHEN 'std_science' THEN 'sciq' ELSE 'obqa' END"
+
+
+@query(
+    "WITH e AS (SELECT DISTINCT rec_id AS id, question, choices, context FROM std_items WHERE question IS NOT NULL AND len(choices) > 0) SELECT id, CASE WHEN context IS NULL THEN '' ELSE context || chr(10) END || question || chr(10) || "
+    "array_to_string(list_transform(choices[1:8], lambda c, k: 'ABCDEFGH'[k] || '. ' || c), chr(10)) || chr(10) || 'Answer:' AS prompt FROM e"
+)
+def letter_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions with lettered choices."""
+    rows = table(spark, folder, "std_items").where("question is not null and size(choices) > 0").select(F.col("rec_id").alias("id"), "question", "choices", "context").distinct()
+    return rows.select("id", prompts.letter_prompt(F.col("question"), F.col("choices"), F.col("context")).alias("prompt"))
+
+
+@query(
+    f"WITH e AS MATERIALIZED (SELECT DISTINCT {_TASK} AS task, rec_id AS id, coalesce(question, '') AS q, choices, answer AS gold, context FROM std_items), "
+    "x AS (SELECT *, unnest(list_concat([{'k': -1, 't': ''}], list_transform(coalesce(choices, []), lambda c, k: {'k': k - 1, 't': c}))) AS x FROM e) "
+    "SELECT task, id, x.k::INT AS choice, trim(CASE WHEN context IS NULL THEN '' ELSE context || chr(10) END || CASE WHEN task = 'obqa' THEN 'Question: ' || q || ' ' || x.t ELSE 'Question: ' || q || ' Answer: ' || x.t END) AS \"full\", "
+    "trim('Answer: ' || x.t) AS answer, length(x.t)::INT AS n_chars, gold FROM x"
+)
+def cloze_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """What a scorer has to score of each question."""
+    rows = table(spark, folder, "std_items").select(F.expr(_TASK).alias("task"), F.col("rec_id").alias("id"), "question", "choices", F.col("answer").alias("gold"), "context").distinct()
+    return prompts.cloze_sequences(rows)
+
+
+@query(
+    "WITH e AS MATERIALIZED (SELECT DISTINCT rec_id AS id, split = 'train' AS shot, 'en: ' || coalesce(question, '') || ' out:' AS line, coalesce(answer[1], '') AS a FROM parallel_items WHERE split IS NOT NULL), "
+    "h AS (SELECT string_agg(line || ' ' || a, chr(10) ORDER BY id) AS s FROM (SELECT * FROM e WHERE shot ORDER BY id LIMIT 3)) SELECT id, s || chr(10) || line AS prompt FROM e, h WHERE NOT shot"
+)
+def translation_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Translation prompts with three shots."""
+    rows = table(spark, folder, "parallel_items").where("split is not null").select(F.col("rec_id").alias("id"), (F.col("split") == "train").alias("is_shot"), "question", "answer").distinct()
+    return prompts.translation_prompts(rows, 3, "en", "out")
+
+
+@query(
+    "WITH e AS MATERIALIZED (SELECT DISTINCT rec_id AS id, split = 'train' AS shot, 'Text: ' || coalesce(text, '') || chr(10) || 'Summary: ' AS line, coalesce(summary, '') AS a FROM xlsum_items WHERE split IS NOT NULL), "
+    "h AS (SELECT string_agg(rtrim(line || a), chr(10) || chr(10) ORDER BY id) AS s FROM (SELECT * FROM e WHERE shot ORDER BY id LIMIT 2)) SELECT id, s || chr(10) || chr(10) || rtrim(line) AS prompt FROM e, h WHERE NOT shot"
+)
+def summary_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Summarization prompts with two shots."""
+    rows = table(spark, folder, "xlsum_items").where("split is not null").select(F.col("rec_id").alias("id"), (F.col("split") == "train").alias("is_shot"), F.col("text").alias("source"), "summary").distinct()
+    return prompts.summary_prompts(rows, 2, "Text", "Summary")
+
+
+@query(
+    f"WITH {_LISTS} SELECT DISTINCT lang, token_id FROM (SELECT lang, v.token_id FROM lists JOIN tok_vocab v USING (piece) UNION ALL SELECT l.lang, v.token_id FROM (SELECT DISTINCT lang FROM lists) l, tok_vocab v WHERE v.is_special)"
+)
+def mask_own_vocabularies(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens each language sees by its own vocabulary."""
+    lists = _word_lists(spark, folder)
+    langs = sorted(r.lang for r in table(spark, folder, "languages").collect())
+    return masks.language_masks(masks.Extraction.MERGED_UNNORM, table(spark, folder, "tok_vocab"), langs, own_vocabs=lists.select("lang", "piece"))
+
+
+@query(f"{_MASK_SQL}, m AS (SELECT token_id FROM mask WHERE lang = 'news_feed') SELECT token_id, CASE WHEN token_id IN (FROM m) THEN 0.0::DOUBLE ELSE '-inf'::DOUBLE END AS add FROM tok_vocab")
+def logit_mask(spark: SparkSession, folder: str) -> DataFrame:
+    """0 for tokens one subtokenizer sees and minus infinity for the others."""
+    return masks.logit_mask(_mask(spark, folder).where("lang = 'news_feed'"), table(spark, folder, "tok_vocab").count())
+
+
+@query()
+def latency_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The token stream of the evaluation texts in batches for timing."""
+    texts = table(spark, folder, "heldout_items").select(F.col("item_id").alias("doc_id"), "text")
+    return reports.latency_batches(modular.ModularTokenizer(_model(spark, folder), {}).encode(texts, bos=False, eos=False), 8, 1024)
