@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.operators.order import block_of, rank_from_zero, running_sum
+
 
 def spans(stream: DataFrame, n_target: int) -> DataFrame:
     """(lang, subtok, b, pos, doc_id, first, grab, share_bytes): the part of each document in each full batch.
@@ -20,8 +22,8 @@ def spans(stream: DataFrame, n_target: int) -> DataFrame:
     ``stream`` is (lang, subtok, pos, doc_id, n_tokens, n_bytes); documents without tokens are skipped. ``first`` is the place of
     the part in the document, from 0.
     """
-    order = Window.partitionBy("lang", "subtok").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = stream.where("n_tokens > 0").withColumn("stop", F.sum("n_tokens").over(order)).withColumn("start", F.col("stop") - F.col("n_tokens"))
+    blocks = stream.where("n_tokens > 0").withColumn("block", block_of("pos"))
+    ends = running_sum(blocks, ["lang", "subtok"], ["block"], ["pos"], F.col("n_tokens"), "stop").withColumn("start", F.col("stop") - F.col("n_tokens"))
     parts = ends.withColumn("b", F.explode(F.expr(f"sequence(start div {n_target}, (stop - 1) div {n_target})")))
     parts = parts.withColumn("first", F.greatest(F.lit(0), F.col("b") * n_target - F.col("start")))
     parts = parts.withColumn("grab", F.least("stop", (F.col("b") + 1) * n_target) - F.greatest("start", F.col("b") * n_target))
@@ -39,8 +41,7 @@ def batch_factors(parts: DataFrame) -> DataFrame:
 
 def emission_order(factors: DataFrame) -> DataFrame:
     """``factors`` with ``nth``, the place of each batch among those of its language."""
-    order = Window.partitionBy("lang").orderBy("ready_pos", "b")
-    return factors.withColumn("nth", F.row_number().over(order) - 1)
+    return rank_from_zero(factors.withColumn("block", block_of("ready_pos")), ["lang"], ["block"], ["ready_pos", "b"], "nth").drop("block")
 
 
 def scheduled(factors: DataFrame, schedule: DataFrame) -> DataFrame:

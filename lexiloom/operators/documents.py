@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import pretokens
+from lexiloom.operators.order import rank_from_zero
 
 
 def nonblank_lines(docs: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ def stream_positions(docs: DataFrame, rank: int, world_size: int, wraps: int) ->
     """
     mine = docs.where(F.pmod("line_id", F.lit(world_size)) == rank)
     cycled = mine.withColumn("wrap", F.explode(F.sequence(F.lit(0), F.lit(wraps - 1))))
-    order = Window.partitionBy("source").orderBy("wrap", "file_id", "line_id")
-    return cycled.select("source", (F.row_number().over(order) - 1).alias("pos"), "wrap", "file_id", "line_id", "doc_id")
+    placed = rank_from_zero(cycled, ["source"], ["wrap", "file_id"], ["line_id", "doc_id"], "pos")
+    return placed.select("source", "pos", "wrap", "file_id", "line_id", "doc_id")
 
 
 def statistics(docs: DataFrame, by: str = "lang") -> DataFrame:
@@ -94,5 +95,5 @@ def interleave(docs: DataFrame, sources: Sequence[str], weights: Sequence[float]
         seen[k] += 1
         rows.append((sources[k], seen[k], pos))
     place = docs.sparkSession.createDataFrame(rows, "source string, nth int, pos int")
-    order = Window.partitionBy("source").orderBy("file_id", "line_id")
-    return docs.withColumn("nth", F.row_number().over(order)).join(place, ["source", "nth"]).drop("nth")
+    numbered = rank_from_zero(docs, ["source"], ["file_id"], ["line_id"], "nth").withColumn("nth", F.col("nth") + 1)
+    return numbered.join(place, ["source", "nth"]).drop("nth")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
 from lexiloom.operators import batches, bpe, documents, masks, metrics, modular, prompts, reports, sampling, unigram, vocab, words
+from lexiloom.operators.order import rank_from_zero
 from lexiloom.plans import oracles as O
 from lexiloom.streaming.batches import tumbling_counts
 from lexiloom.tables import corpus, cut, table
@@ -453,8 +454,8 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder).select(
         F.coalesce(clean_source("source"), F.lit("none")).alias("lang"), "doc_id", "file_id", "line_id", F.size(words.pretokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("file_id", "line_id", "doc_id")) - 1
-    return docs.select("lang", pos.alias("pos"), "doc_id", "n_tokens", "n_bytes").withColumn("subtok", F.when(F.col("pos") % 3 == 0, F.lit("all")).otherwise(F.col("lang")))
+    placed = rank_from_zero(docs, ["lang"], ["file_id"], ["line_id", "doc_id"], "pos")
+    return placed.select("lang", "pos", "doc_id", "n_tokens", "n_bytes").withColumn("subtok", F.when(F.col("pos") % 3 == 0, F.lit("all")).otherwise(F.col("lang")))
 
 
 _STREAM = (
