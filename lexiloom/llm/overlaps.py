@@ -48,11 +48,14 @@ def chunk_ends(words: np.ndarray, one_in: int) -> np.ndarray:
 
 
 def digest_text(text: str, hashes: WordHashes) -> tuple[list[int], int, int]:
-    """(hashed words, hash of the sequence of numbers, hash of the letters without spacing)."""
+    """(hashed words, hash of the digits of its numbers in order, hash of the letters without spacing).
+
+    Digits are taken without what separates them, so that 1,234 and 1234 are the same number apart from form.
+    """
     words = words_of(plain(text))
     hashed = hashes.of(words)
     joined = "".join(map(fold, words))
-    numbers = " ".join(_NUMBER.findall(" ".join(w for w in words if any(map(str.isdigit, w)))))
+    numbers = "".join(_NUMBER.findall(joined))
     return hashed, xxhash.xxh64_intdigest(numbers) >> 1, xxhash.xxh64_intdigest(joined) >> 1
 
 
