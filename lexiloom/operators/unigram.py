@@ -14,6 +14,8 @@ from lexiloom.operators.vocab import is_special
 
 #: Fixed value: stands for a blank.
 META = "▁"
+#: A digit, a word with or without its blank mark, or a blank mark before a digit.
+WORDS = rf"\p{{N}}|{META}?[^{META}\p{{N}}]+|{META}"
 
 
 def normalize(text: Column | str) -> Column:
@@ -22,6 +24,11 @@ def normalize(text: Column | str) -> Column:
     return F.concat(F.lit(META), F.replace(text, F.lit(" "), F.lit(META)))
 
 
+def pretokens(text: Column | str) -> Column:
+    """Words that begin with the blank mark, every digit on its own."""
+    return F.regexp_extract_all(normalize(text), F.lit(WORDS), F.lit(0))
+
+
 def usable_sentences(texts: DataFrame, longest: int) -> DataFrame:
     """Non-empty texts of at most ``longest`` characters, tested before normalization; ``sentence`` is the normalized form."""
     return texts.where((F.length("text") > 0) & (F.length("text") <= longest)).withColumn("sentence", normalize("text"))

@@ -389,6 +389,12 @@ def encode_decode(spark: SparkSession, folder: str) -> DataFrame:
 # Unigram models
 
 
+@query(f"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all('{unigram.META}' || replace(text, ' ', '{unigram.META}'), '{unigram.WORDS}')) AS word FROM documents) GROUP BY word")
+def unigram_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of words as unigram training splits them."""
+    return _docs(spark, folder).select(F.explode(unigram.pretokens("text")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+
+
 def _titles(spark: SparkSession, folder: str) -> DataFrame:
     titles = table(spark, folder, "xlsum_items").select("rec_id", F.col("title").alias("text")).distinct()
     return unigram.usable_sentences(titles, 512).select(F.col("rec_id").alias("sent_id"), "sentence")

@@ -160,3 +160,9 @@ def test_masks_by_strategy(spark):
     assert rows(K.logit_mask(ids, 3)) == [(0, -math.inf), (1, 0.0), (2, -math.inf)]
     assert rows(K.pieces_by_language(ids, v)) == [("x", "a", 1)]
     assert rows(K.missing_languages(counts, ids)) == [("z",)]
+
+
+def test_unigram_words(spark):
+    df = spark.createDataFrame([("a1 b  22\n",), ("",)], "text string")
+    got = [r[0] for r in df.select(unigram.pretokens("text")).collect()]
+    assert got == [["▁a", "1", "▁b", "▁", "▁", "2", "2", "\n"], ["▁"]]
