@@ -1,13 +1,13 @@
 """Records of evaluation splits that also stand in the training split, exactly or nearly (problem 4).
 
-Texts apart from form that are equal make a class. A representative of each class is cut into content-defined chunks: a
-chunk ends after a word whose rolling hash says so, so an edit changes only the chunks it touches. Digests of chunks are joined
-across splits and the lengths of shared chunks are summed to overlap fractions; pairs of classes with enough overlap are
-compared word by word.
-
-Each record joins with its rarest chunks only: two records that share ``SHARED`` of the chunks of the longer one share one of
-the others (prefix filtering), so no frequent chunk has to be paired and none is dropped by a cap. Numbers in order and
-neighbouring length are part of the key, since a pair has to agree in them.
+Texts apart from form that are equal make a class. The chunks of a representative of each class are its words: with edits of one word in five
+anywhere, no longer chunk is sure to be kept. Digests of chunks are joined across splits; pairs of classes that can be similar are
+compared word by word, and the share of the longer text that they have in common in the same order is the overlap fraction.
+
+Each record joins with its rarest words only. Two similar records have ``SIMILAR`` of the words of the longer one in common, so
+the rarest of these is among the ``n - ceil(SIMILAR * n) + 1`` rarest words of either (prefix filtering). What else drops a pair before
+the comparison is a bound that follows from ``SIMILAR`` as well, so no pair is lost. Numbers in order and neighbouring length
+are part of the key, since a pair has to agree in them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,23 +28,23 @@ from lexiloom.tables import cut
 
 #: Share of the words of the longer text that a near copy keeps, and the least length of a case.
 SIMILAR, LEAST_WORDS = 0.8, 8
-#: (words, one in): in texts of at least so many words a chunk ends after one word in so many.
-CUTS = ((0, 2), (32, 3), (96, 4))
-#: Share of its chunks that a near copy keeps at least; edits of one word in five keep about half of them.
-SHARED = 0.4
-#: Share of the words of the longer text that shared rare chunks have to cover before two texts are compared.
-COVERED = 0.04
+#: Bits of the sketch of a record's words, a multiple of 64.
+SKETCH = 256
 #: Texts are compared within classes of length of this ratio and their neighbours.
 LENGTH_STEP = 1 / SIMILAR
 
 _NUMBER = re.compile(r"\d+")
 
 
-def chunk_ends(words: np.ndarray, one_in: int) -> np.ndarray:
-    """Ends of the content-defined chunks of hashed words; the hash rolls over one word and the last chunk may be open."""
-    mixed = words * np.uint64(0x9E3779B97F4A7C15)
-    ends = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(one_in) == 0) + 1
-    return ends if len(ends) and ends[-1] == len(words) else np.append(ends, len(words))
+def least_common(n: Column) -> Column:
+    """Words that a near copy has in common with a text of ``n`` words, where that is the longer one."""
+    return F.ceil(SIMILAR * n - 1e-9).cast("int")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def digest_text(text: str, hashes: WordHashes) -> tuple[list[int], int, int]:
@@ -92,74 +92,75 @@ def digests(records: DataFrame) -> DataFrame:
     return out.withColumn("train", F.col("split") == "train")
 
 
-def cuts_of(n: int) -> set[int]:
-    """The chunk sizes of a text of ``n`` words: that of its length and those of all lengths it can be similar to."""
-    return {max((least, one_in) for least, one_in in CUTS if least <= m)[1] for m in (n, int(n * SIMILAR), int(n / SIMILAR) + 1)}
-
-
-def chunk_rows(classes: DataFrame) -> DataFrame:
-    """(tab, same, numbers, n, words, ...) -> a row for each distinct chunk: (tab, same, numbers, n, chunk, chunk_words, n_chunks, ...).
+def word_rows(classes: DataFrame) -> DataFrame:
+    """(tab, same, numbers, n, words, ...) -> a row for each distinct word: (id, n, in_train, in_eval, sketch..., word, times, first, last).
 
-    A text near a change of the chunk size is cut in both ways; ``n_chunks`` counts those of one way.
+    ``id`` stands for (tab, same) and ``word`` is a digest of the word with tab and numbers. ``first`` and ``last`` are its positions. A bit of the
+    sketch tells whether an odd number of words falls on it, so two records differ in at most as many bits as in words.
     """
-    carried = ["tab", "same", "numbers", "n", "in_train", "in_eval"]
+    carried = ["id", "n", "in_train", "in_eval"]
+    sketch = [f"s{k}" for k in range(SKETCH // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, chunk, length, whole = [], [], [], []
-            for k, words in enumerate(batch.column(len(carried)).to_pylist()):
-                hashed = np.array(words, np.int64).astype(np.uint64)
-                for one_in in cuts_of(len(words)):
-                    start, sizes = 0, {}
-                    for end in chunk_ends(hashed, one_in).tolist():
-                        if end > start:
-                            digest = xxhash.xxh64_intdigest(hashed[start:end].tobytes(), one_in) >> 1
-                            sizes[digest] = sizes.get(digest, 0) + end - start
-                        start = end
-                    source += [k] * len(sizes)
-                    chunk += sizes
-                    length += sizes.values()
-                    whole += [len(sizes)] * len(sizes)
-            picked = batch.select(carried).take(pa.array(source, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(chunk, pa.int64()), pa.array(length, pa.int32()), pa.array(whole, pa.int32())], [*carried, "chunk", "chunk_words", "n_chunks"])
-
-    schema = "tab string, same long, numbers long, n int, in_train boolean, in_eval boolean, chunk long, chunk_words int, n_chunks int"
-    return classes.select(*carried, "words").mapInArrow(run, schema)
+            lists = batch.column(len(carried) + 1).to_pylist()
+            sizes = np.array([len(x) for x in lists], np.int64)
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            words = _mixed(np.array([w for x in lists for w in x], np.int64).astype(np.uint64))
+            bits = np.bincount(owner * SKETCH + (words % np.uint64(SKETCH)).astype(np.int64), minlength=len(lists) * SKETCH) & 1
+            sketches = np.packbits(bits.astype(np.uint8).reshape(len(lists), SKETCH), axis=1).view(np.int64)
+            group = batch.column(len(carried)).to_numpy(zero_copy_only=False).astype(np.uint64)
+            words = _mixed(words + np.repeat(_mixed(group), sizes)) >> np.uint64(1)
+            order = np.lexsort((words, owner))
+            owner, words, at = owner[order], words[order], order - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            start = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+            ends = np.append(start[1:], len(words))
+            picked = batch.select(carried).take(pa.array(owner[start]))
+            columns = [*picked.columns, *(pa.array(sketches[owner[start], k]) for k in range(len(sketch))), pa.array(words[start].astype(np.int64))]
+            columns += [pa.array(x.astype(np.int32)) for x in (ends - start, at[start], at[ends - 1] if len(words) else start)]
+            yield pa.RecordBatch.from_arrays(columns, [*carried, *sketch, "word", "times", "first", "last"])
+
+    schema = f"id long, n int, in_train boolean, in_eval boolean, {', '.join(f'{c} long' for c in sketch)}, word long, times int, first int, last int"
+    return classes.select(*carried, F.xxhash64("tab", "numbers"), "words").mapInArrow(run, schema)
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
-    """(tab, a, b, overlap): classes a != b, a with a training record and b with another, of near-equal texts.
+    """(tab, a, b, overlap): classes a != b, a with a training record and b with another, of near-equal texts; every such pair.
 
     ``classes`` (tab, same, numbers, n, words, in_train, in_eval) has to be written already; ``overlap`` is the share of the
-    longer text that joined chunks cover, at least.
+    longer text that is in the other in the same order.
     """
-    chunks = cut(chunk_rows(classes))
-    # Rarest chunks first; as many as leave fewer than SHARED of all. Only chunks of both sides can join.
-    seen = chunks.groupBy("tab", "chunk", "numbers").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t and e and df > 1")
-    rare = Window.partitionBy("tab", "same", "n_chunks").orderBy("df", "chunk")
-    kept = chunks.join(seen.select("tab", "chunk", "numbers", "df"), ["tab", "chunk", "numbers"])
-    missing = F.col("n_chunks") - F.count("*").over(Window.partitionBy("tab", "same", "n_chunks"))
-    kept = kept.withColumn("k", F.row_number().over(rare) + missing).where(F.col("k") <= F.floor((1 - SHARED) * F.col("n_chunks")) + 1)
+    classes = classes.withColumn("id", F.xxhash64("tab", "same"))
+    rows = cut(word_rows(classes))
+    # Rarest words first; as many as leave fewer than have to be in common. Only words of both sides can join.
+    seen = rows.groupBy("word").agg(F.count("*").alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t and e and df > 1")
+    kept = rows.join(seen.select("word", "df"), "word")
+    record = Window.partitionBy("id")
+    before = F.sum("times").over(record.orderBy("df", "word")) - F.col("times") + F.col("n") - F.sum("times").over(record)
+    kept = kept.withColumn("before", before).where(F.col("before") <= F.col("n") - least_common(F.col("n")))
     kept = kept.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int"))
-    left = kept.where("in_train").select("tab", "chunk", "numbers", "size_class", F.col("same").alias("a"), F.col("n").alias("n_a"), F.col("chunk_words").alias("w_a"))
+    sketch = [f"s{k}" for k in range(SKETCH // 64)]
+    side = lambda df, end: df.select("word", "size_class", *(F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "first", "last", *sketch)))
     right = kept.where("in_eval").withColumn("size_class", F.explode(F.expr("array(size_class - 1, size_class, size_class + 1)")))
-    right = right.select("tab", "chunk", "numbers", "size_class", F.col("same").alias("b"), F.col("n").alias("n_b"), F.col("chunk_words").alias("w_b"))
-    met = left.join(right, ["tab", "chunk", "numbers", "size_class"]).where(f"a != b and least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)")
-    pairs = met.groupBy("tab", "a", "b", "n_a", "n_b").agg(F.sum(F.least("w_a", "w_b")).alias("shared"))
-    pairs = pairs.where(F.col("shared") >= COVERED * F.greatest("n_a", "n_b"))
-    texts = classes.select("tab", F.col("same").alias("id"), "words")
-    both = pairs.join(texts.select("tab", F.col("id").alias("a"), F.col("words").alias("x")), ["tab", "a"]).join(texts.select("tab", F.col("id").alias("b"), F.col("words").alias("y")), ["tab", "b"])
-    # Words that are in both texts bound the common subsequence from above; built in, and most pairs end here.
-    enough = F.ceil(SIMILAR * F.greatest("n_a", "n_b") - 1e-9)
-    both = both.where(F.greatest("n_a", "n_b") - F.size(F.array_except(F.when(F.col("n_a") >= F.col("n_b"), F.col("x")).otherwise(F.col("y")), F.when(F.col("n_a") >= F.col("n_b"), F.col("y")).otherwise(F.col("x")))) >= enough)
+    met = side(kept.where("in_train"), "a").join(side(right, "b"), ["word", "size_class"])
+    common = least_common(F.greatest("n_a", "n_b"))
+    met = met.where((F.col("id_a") != F.col("id_b")) & (F.least("n_a", "n_b") >= common))
+    # Words before a common one that aren't in common are at most all of those; nor can more words differ than these of both.
+    met = met.where((F.col("first_a") - F.col("last_b") <= F.col("n_a") - common) & (F.col("first_b") - F.col("last_a") <= F.col("n_b") - common))
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in sketch), F.lit(0))
+    pairs = met.where(differing <= F.col("n_a") + F.col("n_b") - 2 * common).select("id_a", "id_b").distinct()
+    texts = classes.select("id", "tab", "numbers", "same", "n", "words")
+    ends = [texts.select(*(F.col(c).alias(f"{c}_{end}") for c in texts.columns)) for end in "ab"]
+    both = pairs.join(ends[0], "id_a").join(ends[1], "id_b").where("tab_a = tab_b and numbers_a = numbers_b")
+    both = both.select(F.col("tab_a").alias("tab"), F.col("same_a").alias("a"), F.col("same_b").alias("b"), F.col("words_a").alias("x"), F.col("words_b").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [common_words(x, y) >= SIMILAR * max(len(x), len(y)) - 1e-9 for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["tab", "a", "b", "overlap"]).filter(pa.array(keep, pa.bool_()))
+            share = [common_words(x, y) / max(len(x), len(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            keep = pa.array([s >= SIMILAR - 1e-9 for s in share], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64())], ["tab", "a", "b", "overlap"]).filter(keep)
 
-    overlap = (F.col("shared") / F.greatest("n_a", "n_b")).alias("overlap")
-    return both.select("tab", "a", "b", overlap, "x", "y").mapInArrow(run, "tab string, a long, b long, overlap double")
+    return both.mapInArrow(run, "tab string, a long, b long, overlap double")
 
 
 def cross_split_pairs(records: DataFrame) -> DataFrame:

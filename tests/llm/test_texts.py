@@ -243,6 +243,28 @@ def test_overlaps_equal_brute_force(spark):
     assert overlaps.cross_split_pairs(df.where("false")).count() == 0
 
 
+def test_edits_of_one_word_in_five_equal_brute_force(spark):
+    rng = random.Random(12)
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    records = []
+    for k in range(60):
+        words = ["w" + name(int(rng.paretovariate(0.7)) % 5000) for _ in range(rng.randint(100, 600))]
+        copy, share = list(words), rng.choice([0.15, 0.18, 0.2])
+        for n, at in enumerate(sorted(rng.sample(range(len(words)), int(share * len(words))) if k % 2 else range(2, int(share * len(words)) * 5, 5), reverse=True)):
+            # Words changed, or in each third copy one left out and another put elsewhere.
+            copy[at : at + 1] = ["e" + name(rng.randint(0, 999))] if k % 3 or n % 2 else []
+            if k % 3 == 0 and n % 2 == 0:
+                copy.insert(at // 2, "f" + name(n))
+        records += [(2 * k, "train", " ".join(words)), (2 * k + 1, "test", " ".join(copy))]
+    df = spark.createDataFrame([("t", i, s, "task", t) for i, s, t in records], "tab string, rec_id long, split string, task string, text string")
+    got = {(r.id_train, r.id_eval): r.overlap for r in overlaps.cross_split_pairs(df).collect()}
+    words = {i: t.split() for i, _, t in records}
+    common = {(i, j): naive_lcs(words[i], words[j]) / max(len(words[i]), len(words[j])) for i in words for j in words if i % 2 == 0 and j % 2 and (i + 1 == j or i % 20 == 0)}
+    want = {pair: c for pair, c in common.items() if c >= 0.8}
+    assert len(want) >= 50 and set(got) == set(want)
+    assert got == pytest.approx(want)
+
+
 def test_a_hot_group_of_copies(spark):
     text = " ".join(f"word{k}" for k in range(20))
     df = spark.createDataFrame([("t", k, "train" if k % 2 else "test", "task", text) for k in range(60)], "tab string, rec_id long, split string, task string, text string")
