@@ -2,8 +2,8 @@
 
 Winnowing: of each window of ``WINDOW`` consecutive hashes of ``GRAM`` words the least is a fingerprint, so every shared run of
 ``GRAM + WINDOW - 1`` words shares one. A passage of ``PASSAGE`` words of which at most one in ten is changed, left out or added has
-such a run. Fingerprints of the items are joined in the workers, in blocks of items of bounded size; hits are extended to
-both sides over single edits and accepted when the passage is long enough. Nothing of the corpus is shuffled.
+such a run. Fingerprints of the items are joined in the workers, in blocks of items of bounded size; hits are aligned to
+both sides in a band of all allowed edits and accepted when the passage is long enough. Nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from lexiloom.llm.normal import WordHashes
 GRAM, WINDOW = 5, 4
 #: Least length of a passage in words of the item, and the words for each edit.
 PASSAGE, WORDS_AN_EDIT = 32, 10
+#: Words and edits of the longest passage to look for: one with at least 2 * PASSAGE + 1 words beside its edits falls into two parts of
+#: at least PASSAGE words, of which one has at most its share of the edits.
+LONGEST = (2 * PASSAGE + 1) * WORDS_AN_EDIT // (WORDS_AN_EDIT - 1)
+MOST_EDITS = LONGEST // WORDS_AN_EDIT
 #: Words of the items that are broadcast at once (8 bytes each and as much again for fingerprints); more items take more passes.
 BLOCK_WORDS = 2_000_000
 #: An opening line that at least so many items share and that has at most so many words is an instruction.
@@ -66,43 +70,38 @@ def passage(doc: list[int], item: list[int], i: int, j: int) -> tuple[bool, int]
     end = e
     if e - a < GRAM + WINDOW - 1:
         return False, end
-    # Runs of equal words as (start, end) in the item with the edits before each, to the right and then to the left.
-    right = _extend(doc, item, e, f, 1)
-    left = _extend(doc, item, a - 1, b - 1, -1)
-    runs = [(lo, hi, 0) for lo, hi, _ in reversed(left)] + [(b, f, 0)] + [(lo, hi, 0) for lo, hi, _ in right]
-    costs = [c for *_, c in reversed(left)] + [c for *_, c in right]
-    for p in range(len(runs)):
-        edits = 0
-        for q in range(p, len(runs)):
-            edits += costs[q - 1] if q > p else 0
-            span = runs[q][1] - runs[p][0]
-            if span >= PASSAGE and edits * WORDS_AN_EDIT <= span:
+    right = _reach(doc[e : e + LONGEST + MOST_EDITS], item[f : f + LONGEST])
+    left = _reach(doc[max(0, a - LONGEST - MOST_EDITS) : a][::-1], item[max(0, b - LONGEST) : b][::-1])
+    for before, x in enumerate(left):
+        for after, y in enumerate(right):
+            if x >= 0 and y >= 0 and f - b + x + y >= max(PASSAGE, WORDS_AN_EDIT * (before + after)):
                 return True, end
     return False, end
 
 
-#: Ways over an edit as (document words, item words), the cheapest first.
-_STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda s: (max(s), abs(s[0] - s[1])))
-
-
-def _extend(doc: list[int], item: list[int], i: int, j: int, way: int) -> list[tuple[int, int, int]]:
-    """Runs beyond the unequal words at doc[i], item[j], going ``way``: (first, end in the item, edits before it)."""
-    out, total, n, m = [], 0, len(doc), len(item)
-    while total <= max(3, m // WORDS_AN_EDIT):
-        best: tuple[int, int, int, int] | None = None
-        for x, y in _STEPS:
-            a, b, run = i + way * x, j + way * y, 0
-            while 0 <= a < n and 0 <= b < m and doc[a] == item[b]:
-                a, b, run = a + way, b + way, run + 1
-            if run >= 2 and (best is None or run > 3 * best[0]):
-                best = (run, a, b, max(x, y))
-                if run >= 4:
-                    break
-        if best is None:
-            return out
-        run, i, j, cost = best
-        total += cost
-        out.append((j - run, j, cost) if way > 0 else (j + 1, j + 1 + run, cost))
+def _reach(doc: list[int], item: list[int]) -> list[int]:
+    """For each number of edits the most words of the item, the last one equal, that align with a start of ``doc``; -1 where none do."""
+    out = [0] + [-1] * MOST_EDITS
+    # Least edits for the first y words of the item and y + k - MOST_EDITS of the document.
+    width, far = 2 * MOST_EDITS + 1, MOST_EDITS + 1
+    row = [k - MOST_EDITS if k >= MOST_EDITS else far for k in range(width)] + [far]
+    for y, word in enumerate(item):
+        last, new = far, []
+        for k in range(width):
+            x = y + k - MOST_EDITS
+            cost = row[k + 1] + 1
+            if 0 <= x < len(doc):
+                equal = doc[x] == word
+                if equal and row[k] < far:
+                    out[row[k]] = y + 1
+                cost = min(cost, last + 1, row[k] if equal else row[k] + 1)
+            elif x >= len(doc):
+                cost = far
+            last = min(cost, far)
+            new.append(last)
+        if min(new) == far:
+            break
+        row = [*new, far]
     return out
 
 

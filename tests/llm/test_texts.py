@@ -179,6 +179,41 @@ def test_leaks(spark):
     assert leaks.find_leaks(corpus, items.where("false")).count() == 0
 
 
+def test_leaks_with_neighbouring_edits(spark):
+    item, noise = passage_words(1, 90), passage_words(3, 120)
+    near = item[:32]
+    near[10:13] = ["one", near[11], "two"]
+    docs = {
+        1: item[:29] + ["changed"] * 6 + item[35:64],  # 64 words, 6 edits
+        2: item[:29] + item[35:64],
+        3: item[:29] + ["added"] * 5 + item[29:60],
+        4: near[:31] + ["added"] + near[31:],  # 32 words, 3 edits, one equal word between two of them and one at the end
+        5: item[:29] + ["changed"] * 6 + item[35:63],  # 63 words, 6 edits
+        6: item[:29] + ["changed"] * 7 + item[36:64],
+        7: near[:20] + ["added"] + near[20:25] + ["more"] + near[25:],  # 32 words, 4 edits
+    }
+    corpus = spark.createDataFrame([(k, " ".join(noise[:60] + v + noise[60:])) for k, v in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = [k for k, _ in rows(leaks.find_leaks(corpus, items))]
+    assert found == [1, 2, 3, 4, 5]
+
+
+def test_passages_equal_alignment():
+    rng = random.Random(6)
+    for _ in range(150):
+        doc, item = ([rng.randint(0, 3) for _ in range(rng.randint(0, 16))] for _ in range(2))
+        want = [0] + [-1] * leaks.MOST_EDITS
+        cost = {(0, 0): 0}
+        for y in range(len(item) + 1):
+            for x in range(len(doc) + 1):
+                if x or y:
+                    ways = [cost[p] + c for p, c in (((x - 1, y), 1), ((x, y - 1), 1), ((x - 1, y - 1), int(x > 0 < y and doc[x - 1] != item[y - 1]))) if p in cost]
+                    cost[x, y] = min(ways)
+                if x and y and doc[x - 1] == item[y - 1] and cost[x - 1, y - 1] <= leaks.MOST_EDITS:
+                    want[cost[x - 1, y - 1]] = y
+        assert leaks._reach(doc, item) == want
+
+
 def test_leaks_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_WORDS", 70)
     texts = [" ".join(passage_words(k)) for k in range(4)]
