@@ -146,7 +146,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_text_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, ratios and the nearest structural profile of each document of at least min_doc_chars of run 1."""
     least = next((r.min_doc_chars for r in runs.read_runs(table(spark, folder, "pretrain_runs")) if r.run_id == 1), None) or 0
-    return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held")
+    return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held", "words_lang")
 
 
 @query

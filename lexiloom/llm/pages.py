@@ -202,6 +202,7 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         by_shape = [0] * len(profiler.names)
         listed, ends, n_words, letters, odd = 0, 0, 0, 0, 0
         by_lang: Counter[int] = Counter()
+        by_words: Counter[int] = Counter()
         content: Counter[str] = Counter()
         seen: set[str] = set()
         parts: list[int] = []
@@ -214,6 +215,8 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
             if shape < 0:
                 shape = profiler.names.index("symbols")
             by_shape[shape] += size[j - a]
+            if langs[j] >= 0:
+                by_words[int(langs[j])] += size[j - a]
             if shape == 0:
                 by_lang[int(langs[j])] += size[j - a]
                 if raw[j] in seen:  # refrains
@@ -235,8 +238,8 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         spectrum = Counter(content.values())
         held: Counter[tuple[int, bool]] = Counter()
         most = max(spectrum, default=0)
-        # Inside of sentences only a word that rules can be a keyword, so most pages of prose end here.
-        if most >= LEAST and (any(near[j] for j in parts) or most > LEAST and most >= RULING_SENTENCES * units[a:b].sum()):
+        # Inside of sentences a keyword occurs more than LEAST times, so most short pages of prose end here.
+        if most >= LEAST and (most > LEAST or any(near[j] for j in parts)):
             for j in parts:
                 for part in _SEGMENTS.split(cleaned[j]):
                     if part and not part.isspace():
@@ -247,6 +250,7 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         n_tokens = int(counts[a:b].sum())
         odd = int(counts[a:b, SYMBOL].sum())
         lang = max(by_lang.items(), key=lambda x: x[1])[0] if by_lang else -1
+        words_lang = lang if lang >= 0 else max(by_words.items(), key=lambda x: x[1])[0] if by_words else -1
         main, confidence, segments = -1, 0.0, []
         if trees is not None and whole:
             is_prose = 2 * by_shape[0] >= whole
@@ -254,23 +258,23 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         out.append((
             doc_id, len(text), n_words, letters / n_words if n_words else 0.0, odd / n_tokens if n_tokens else 0.0, ends / (b - a) if b > a else 0.0,
             function / max(1, n_tokens - odd), int(units[a:b].sum()), whole, by_shape[0], listed, profiler.names[max(range(len(by_shape)), key=lambda k: by_shape[k])] if whole else "empty",
-            profiler.lexicon.langs[lang] if lang >= 0 else None, trees.langs[main] if main >= 0 else None, confidence, sorted(spectrum.items(), reverse=True), [(n, p, chars) for (n, p), chars in sorted(held.items(), reverse=True)],
+            profiler.lexicon.langs[lang] if lang >= 0 else None, profiler.lexicon.langs[words_lang] if words_lang >= 0 else None, trees.langs[main] if main >= 0 else None, confidence, sorted(spectrum.items(), reverse=True), [(n, p, chars) for (n, p), chars in sorted(held.items(), reverse=True)],
             [(number, trees.langs[k]) for number, k in segments],
         ))
     return out
 
 
-#: One row a document. ``spectrum``: how many content words occur how often; ``held``: characters of segments by their most frequent word.
+#: One row a document. ``words_lang``: the language of its prose or, without prose, of all its lines; ``spectrum``: how many content words occur how often; ``held``: characters of segments by their most frequent word.
 PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("n_code_points", pa.int32()), ("n_words", pa.int32()), ("mean_word_len", pa.float64()), ("symbol_ratio", pa.float64()),
     ("line_end_punct", pa.float64()), ("common_word_share", pa.float64()), ("n_units", pa.int32()), ("n_chars_dense", pa.int32()), ("prose_chars", pa.int32()), ("listed_chars", pa.int32()),
-    ("structure", pa.string()), ("prose_lang", pa.string()), ("main_lang", pa.string()), ("confidence", pa.float64()),
+    ("structure", pa.string()), ("prose_lang", pa.string()), ("words_lang", pa.string()), ("main_lang", pa.string()), ("confidence", pa.float64()),
     ("spectrum", pa.list_(pa.struct([("n", pa.int32()), ("words", pa.int32())]))), ("held", pa.list_(pa.struct([("n", pa.int32()), ("prose", pa.bool_()), ("chars", pa.int32())]))),
     ("line_langs", pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string())]))),
 ])
 _DDL = (
     "doc_id long, n_code_points int, n_words int, mean_word_len double, symbol_ratio double, line_end_punct double, common_word_share double, n_units int, n_chars_dense int, "
-    "prose_chars int, listed_chars int, structure string, prose_lang string, main_lang string, confidence double, "
+    "prose_chars int, listed_chars int, structure string, prose_lang string, words_lang string, main_lang string, confidence double, "
     "spectrum array<struct<n: int, words: int>>, held array<struct<n: int, prose: boolean, chars: int>>, line_langs array<struct<line_no: int, lang: string>>"
 )
 
@@ -299,8 +303,8 @@ def profile_documents(docs: DataFrame, lexicon: Lexicon, prose: np.ndarray, tree
                 part = batch.slice(at, BLOCK)
                 rows = profile_block(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], profiler, contexts)
                 cols = list(zip(*rows))
-                arrays = [pa.array(c, f.type) for c, f in zip(cols[:15], list(PROFILE)[:15])]
-                arrays += [_structs(c, f.type) for c, f in zip(cols[15:], list(PROFILE)[15:])]
+                arrays = [pa.array(c, f.type) for c, f in zip(cols[:16], list(PROFILE)[:16])]
+                arrays += [_structs(c, f.type) for c, f in zip(cols[16:], list(PROFILE)[16:])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=PROFILE)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DDL)
@@ -325,7 +329,7 @@ def rank_frequency(profiles: DataFrame) -> DataFrame:
     return points.groupBy("doc_id").agg(F.max("n").alias("top"), F.first("slope").alias("slope"), F.max(off).alias("residual"))
 
 
-#: A page's most frequent content word is extreme beyond this multiple of what 95 of 100 prose pages of like length reach.
+#: A page's most frequent content word, slope or residual is extreme beyond this multiple of what 95 of 100 prose pages of like length reach.
 EXTREME = 1.5
 #: Least number of occurrences that can make a keyword.
 LEAST = 3
@@ -341,23 +345,34 @@ def keyword_pages(profiles: DataFrame) -> DataFrame:
     """(doc_id, top, slope, residual, prose_top, spam_share, is_keyword_page) for each document with text.
 
     ``profiles`` has to be written already. Keywords are the content words that occur more often than ``EXTREME`` times what prose of
-    the language at comparable length (powers of two of the words) reaches; the page is one if segments with keywords, link
-    lists, hashtags and product labels are more than half of its characters.
+    the language at comparable length (powers of two of the words) reaches. Where the curve is flatter than that of such prose by ``EXTREME``,
+    words that occur at least half as often as the most frequent one are keywords too (in sentences, more than that); where it is steeper or
+    further from its line, words of lists that occur more often than in prose. The page is one if segments with keywords, link lists, hashtags and product labels are more than half of its characters.
     """
     curves = rank_frequency(profiles)
     pages = profiles.where("n_chars_dense > 0").join(curves, "doc_id", "left").withColumn("length_class", F.floor(F.log2(F.col("n_units") + 1)).cast("int"))
     prose = pages.where("prose_chars > 0.8 * n_chars_dense and top is not null")
-    near_own = prose.groupBy("prose_lang", "length_class").agg(F.count("*").alias("pages"), F.percentile_approx("top", 0.95).alias("own_top"))
-    near_any = prose.groupBy("length_class").agg(F.percentile_approx("top", 0.95).alias("any_top"))
+    reached = [("top", "top", 0.95), ("steep", "slope", 0.05), ("flat", "slope", 0.95), ("off", "residual", 0.95)]
+    # Only pages that repeat words have a curve to compare.
+    measure = lambda c: F.col(c) if c == "top" else F.when(F.col("top") >= LEAST, F.col(c))
+    limits = lambda of: [F.percentile_approx(measure(c), share).alias(f"{of}_{name}") for name, c, share in reached]
+    near_own = prose.groupBy(F.col("prose_lang").alias("words_lang"), "length_class").agg(F.count("*").alias("pages"), F.count(measure("slope")).alias("curved"), *limits("own"))
+    near_any = prose.groupBy("length_class").agg(*limits("any"))
     # References: at most languages x 31 rows.
-    pages = pages.join(F.broadcast(near_own), ["prose_lang", "length_class"], "left").join(F.broadcast(near_any), "length_class", "left")
-    own = F.when(F.col("pages") >= LEAST_PAGES, F.col("own_top"))
-    pages = pages.withColumn("prose_top", F.coalesce(own, "any_top", F.lit(2)))
+    pages = pages.join(F.broadcast(near_own), ["words_lang", "length_class"], "left").join(F.broadcast(near_any), "length_class", "left")
+    own = lambda name, n: F.coalesce(F.when(F.col(n) >= LEAST_PAGES, F.col(f"own_{name}")), f"any_{name}")
+    pages = pages.withColumn("prose_top", F.coalesce(own("top", "pages"), F.lit(2)))
+    pages = pages.withColumns({name: own(name, "curved") for name in ("steep", "flat", "off")})
     pages = pages.withColumn("least", F.greatest(F.lit(LEAST), F.ceil(F.col("prose_top") * EXTREME)).cast("int"))
     # On a page that one word rules, other repeated words of its lists are keywords as well; in sentences a keyword has to rule.
     ruled = F.expr(f"top >= least and top >= {RULING} * n_units")
-    pages = pages.withColumn("in_lists", F.when(ruled, F.lit(2)).otherwise(F.col("least")))
-    pages = pages.withColumn("in_sentences", F.greatest(F.lit(LEAST + 1), "least", F.ceil(F.col("n_units") * RULING_SENTENCES)))
+    is_flat = F.expr(f"top >= {LEAST} and slope > flat / {EXTREME}")
+    is_off = F.expr(f"top >= {LEAST} and (slope < steep * {EXTREME} or residual > off * {EXTREME})")
+    plateau = F.when(is_flat, F.greatest(F.lit(LEAST), F.ceil(F.col("top") / 2)))
+    peak = F.when(is_off, F.greatest(F.lit(LEAST), F.col("prose_top") + 1))
+    pages = pages.withColumn("in_lists", F.when(ruled, F.lit(2)).otherwise(F.least("least", plateau, peak)))
+    in_sentences = F.greatest(F.lit(LEAST + 1), "least", F.ceil(F.col("n_units") * RULING_SENTENCES))
+    pages = pages.withColumn("in_sentences", F.least(in_sentences, plateau + 1))
     kept = F.expr("aggregate(filter(held, x -> x.n >= if(x.prose, in_sentences, in_lists)), 0, (acc, x) -> acc + x.chars)")
     pages = pages.withColumn("spam_share", (F.col("listed_chars") + kept) / F.col("n_chars_dense"))
     return pages.select("doc_id", "top", "slope", "residual", "prose_top", "spam_share", (F.col("spam_share") > 0.5).alias("is_keyword_page"))

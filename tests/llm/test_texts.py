@@ -70,6 +70,31 @@ def test_structures_and_keyword_pages(spark, models):
     assert pages.keyword_pages(cut(profiles.where("false"))).count() == 0
 
 
+def test_pages_of_equally_frequent_keywords(spark, models):
+    from lexiloom.tables import cut
+
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    order = stems * 10
+    rng.shuffle(order)
+    # Prose of 300 words in which the most frequent content words occur up to 7 times.
+    def page(seed):
+        r = random.Random(seed)
+        nouns = [x for k in range(9) for x in ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))] * max(1, 7 - k)]
+        return " ".join(" ".join(r.choice(EN) if k % 3 else r.choice(nouns) if r.random() < 0.3 else "x" + "".join(r.choice("aeioulmnr") for _ in range(6)) for k in range(15)).capitalize() + "." for _ in range(20))
+
+    docs = {1: ", ".join(order), 2: "\n".join(order)} | {100 + k: page(k) for k in range(60)}
+    profiles = cut(pages.profile_documents(frame(spark, docs), *models[:2]))
+    found = {r.doc_id: r for r in pages.keyword_pages(profiles).collect()}
+    assert found[1].top == 10 < pages.EXTREME * found[1].prose_top
+    assert {k for k, r in found.items() if r.is_keyword_page} == {1, 2}
+
+
+def test_language_of_pages_without_prose(spark, models):
+    profile = pages.profile_documents(frame(spark, {1: "| die | 5 | 7 | 9 |\n| und | 4 | 8 | 2 |", 2: "\n".join(prose())}), *models[:2])
+    assert {r.doc_id: (r.prose_lang, r.words_lang) for r in profile.collect()} == {1: (None, "de"), 2: ("en", "en")}
+
+
 def test_curve_is_the_least_squares_line(spark):
     df = spark.createDataFrame([(1, [(8, 1), (4, 1), (2, 2), (1, 4)])], "doc_id long, spectrum array<struct<n: int, words: int>>")
     got = pages.rank_frequency(df).first()
