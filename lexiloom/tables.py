@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,20 +13,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all workers share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, one machine (a local master) takes a folder of its own; a cluster raises ValueError.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
+    return str(Path(tempfile.gettempdir()) / "lexiloom-shared")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so later reads neither recompute nor depend on executors.
+    """``df`` written once to the shared folder, so later reads neither recompute nor depend on executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is made.
+    Spark deletes the files when the result is no longer referred to, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores if its files can't occupy them; else as it is, so a large table is never shuffled for this."""
+    """``df`` over all cores if its files can't occupy them; else as it is, so a large table is never shuffled for this.
+
+    Only the layout differs; no result depends on it.
+    """
     context = df.sparkSession.sparkContext
     cores = context.defaultParallelism
     if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
