@@ -109,6 +109,31 @@ def test_mixture_meets_targets(spark, parts):
     assert report["a"].actual_tokens == total["a"] and abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9
 
 
+def test_mixture_depends_on_no_layout(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF_DOCUMENTS", 3)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rng = random.Random(4)
+    docs = [(i, "a" if i % 3 else "b", 10, rng.randint(1, 9)) for i in range(300)]
+    configured = [run(), run(run_id=2, seed=8, token_budget=150)]
+    got = [rows(mixing.mix(sized(spark, rng.sample(docs, len(docs)), parts), configured)[0]) for parts in (1, 3, 17)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {1, 2}
+    assert rows(mixing.mix(sized(spark, docs), [run(seed=9)])[0]) != [r for r in got[0] if r[0] == 1]
+
+
+def test_inclusion_keeps_expectations(spark):
+    docs = [(i, "a", 10, 1 + i % 4) for i in range(40)]
+    runs_ = [run(run_id=k, seed=k, shares={"a": 1.0}, token_budget=33) for k in range(400)]
+    for draw_last in (False, True):
+        got = mixing.mix(sized(spark, docs), runs_, draw_last)[0].collect()
+        mean = sum(r.n_tokens * r.n_copies for r in got) / 400
+        # Rounded down, the last document costs less than half of the largest on average; drawn, nothing.
+        assert (33 - 2 < mean <= 33) if not draw_last else abs(mean - 33) < 0.3
+    share = defaultdict(float)
+    for r in got:
+        share[r.n_tokens] += r.n_copies / 400 / 10
+    assert all(abs(share[n] - 0.33) < 0.05 for n in (1, 2, 3, 4))
+
+
 def test_repeats_are_capped_and_small_sources_fall_short(spark):
     docs = [(i, "a", 10, 2) for i in range(4)] + [(10 + i, "b", 10, 5) for i in range(100)]
     chosen, _ = mixing.mix(sized(spark, docs), [run(), run(run_id=2, token_budget=0)])
