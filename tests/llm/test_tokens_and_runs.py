@@ -149,16 +149,19 @@ def test_length_bounds(spark):
 
 
 @given(st.lists(st.integers(1, 20), max_size=80))
-def test_plan_fills_bins(sizes):
-    histogram = {s: sizes.count(s) for s in set(sizes)}
-    bins = defaultdict(int)
-    for size, first, last, start, each, _ in packing.plan_bins(histogram, 20):
-        for rank in range(first, last + 1):
-            bins[start + (rank - first) // each] += size
-    assert all(v <= 20 for v in bins.values()) and sum(bins.values()) == sum(sizes)
-    assert sorted(bins) == list(range(len(bins))) and len(bins) <= 1.25 * -(-sum(sizes) // 20) + 2 + sum(2 * s > 20 for s in sizes)
-    fills = {start + k: fill for _, first, last, start, each, fill in packing.plan_bins(histogram, 20) for k in range((last - first) // each + 1)}
-    assert fills == dict(bins)
+def test_bins_of_classes(sizes):
+    sizes = sorted(sizes, reverse=True)
+    bins = defaultdict(list)
+    for size, b in zip(sizes, packing.fill_bins(sizes, 20)):
+        bins[b].append(size)
+    assert sorted(bins) == list(range(len(bins))) and all(sum(x) <= 20 for x in bins.values())
+    assert len(bins) <= 1.25 * -(-sum(sizes) // 20) + 2 + sum(2 * s > 20 for s in sizes)
+    # Each bin is of the class of its largest document and holds as many of it as the class says, but for the last one of a class.
+    short = defaultdict(int)
+    for x in bins.values():
+        k = 20 // x[0]
+        short[k] += sum(20 // s == k for s in x) < k
+    assert all(n <= 1 for n in short.values())
 
 
 def test_packing_keeps_documents_whole(spark):
@@ -182,7 +185,14 @@ def test_packing_keeps_documents_whole(spark):
         packing.pack(sized(spark, docs), [run(context_size=0)])
 
 
-def test_one_size_in_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_ROWS", 10)
-    got = packing.pack(sized(spark, [(i, "a", 1, 5) for i in range(100)]), [run()]).collect()
-    assert sorted(len([r for r in got if r.container == c]) for c in {r.container for r in got})[1:] == [3] * 33
+def test_packing_in_many_parts_depends_on_no_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 10)
+    docs = [(i, "a", 1, 5) for i in range(100)]
+    got = [rows(packing.pack(sized(spark, docs, parts), [run()])) for parts in (1, 4)]
+    assert got[0] == got[1]
+    bins = defaultdict(int)
+    for r in got[0]:
+        bins[r[4]] += 1
+    assert sorted(bins) == list(range(len(bins))) and max(bins.values()) == 3
+    # At most one bin of each part is short.
+    assert sum(n < 3 for n in bins.values()) <= 10
