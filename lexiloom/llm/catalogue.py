@@ -193,8 +193,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlapping records by table, split and task."""
-    return overlaps.reports(overlaps.cross_split_pairs(_records(spark, folder)))
+    """Overlapping records and pairs by table, split and task, with their mean overlap fraction."""
+    return overlaps.reports(*overlaps.cross_split_classes(_records(spark, folder)))
+
+
+@query
+def p4_record_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each evaluation record that stands in the training split, by content-defined chunks."""
+    return overlaps.chunk_overlaps(_records(spark, folder))
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:

@@ -298,8 +298,10 @@ def test_overlaps_equal_brute_force(spark):
         if a[0] == "train" != b[0] and min(len(a[1]), len(b[1])) >= 8 and (a[3] == b[3] or a[2] == b[2] and naive_lcs(a[1], b[1]) >= 0.8 * max(len(a[1]), len(b[1])))
     }
     assert len(want) > 100 and got <= want and len(want - got) <= 0.01 * len(want)
-    report = overlaps.reports(pairs).collect()
-    assert sum(r.n_pairs for r in report) == len(got)
+    assert all(0.8 - 1e-9 <= r.overlap <= 1 for r in pairs.collect())
+    report = overlaps.reports(*overlaps.cross_split_classes(df)).collect()
+    assert sum(r.n_pairs for r in report) == len(got) and sum(r.n_records for r in report) == len({j for _, j in got})
+    assert all(0.8 <= r.mean_overlap <= 1 for r in report)
     assert overlaps.cross_split_pairs(df.where("false")).count() == 0
 
 
@@ -330,3 +332,58 @@ def test_a_hot_group_of_copies(spark):
     df = spark.createDataFrame([("t", k, "train" if k % 2 else "test", "task", text) for k in range(60)], "tab string, rec_id long, split string, task string, text string")
     got = overlaps.cross_split_pairs(df)
     assert got.count() == 900 and {r.overlap for r in got.collect()} == {1.0}
+
+
+def test_numbers_are_told_apart():
+    hashes = normal.WordHashes()
+    numbers = lambda t: overlaps.digest_text(t, hashes)[1]
+    assert numbers("1 red and 23 blue") != numbers("12 red and 3 blue")
+    assert numbers("1,234 red") == numbers("1234 RED") == numbers("1\u202f234 red") != numbers("1 234 red")
+    assert numbers("no number") == numbers("") != numbers("0")
+
+
+def naive_chunks(text):
+    base, out, start = int(overlaps._BASE), [], 0
+    for i in range(len(text)):
+        rolled = sum(ord(text[i - k]) * pow(base, k, 2**64) for k in range(min(i + 1, overlaps.CHUNK_WINDOW))) % 2**64
+        mixed = int(overlaps._mixed(np.array([rolled], np.uint64))[0])
+        if i == len(text) - 1 or i >= overlaps.CHUNK_WINDOW - 1 and mixed % overlaps.CHUNK_CHARS == 0:
+            out.append(text[start : i + 1])
+            start = i + 1
+    return out
+
+
+def test_chunks_equal_plain_cuts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeé中") for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    owner, digest, length = overlaps.cut_chunks(texts)
+    seen = {}
+    at = 0
+    for k, text in enumerate(texts):
+        for chunk in naive_chunks(text):
+            assert owner[at] == k and length[at] == len(chunk) and seen.setdefault(chunk, digest[at]) == digest[at]
+            at += 1
+    assert at == len(owner) and len(set(seen.values())) == len(seen)
+    # Cuts follow the content: after an insertion they fall in the same places again.
+    assert naive_chunks("x" * 7 + texts[0])[-3:] == naive_chunks(texts[0])[-3:]
+    assert len(overlaps.cut_chunks([])[0]) == len(overlaps.cut_chunks(["", ""])[0]) == 0
+
+
+def test_chunk_overlaps_equal_brute_force(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    base = [text(30) for _ in range(10)]
+    records = [(k, "train", b) for k, b in enumerate(base)]
+    records += [(100 + k, "test", " ".join(b.upper().split()[: 5 * k // 2] + text(12).split())) for k, b in enumerate(base)]
+    records += [(105, "test", records[15][2]), (200, "test", None), (201, "val", ""), (202, "val", base[0]), (None, "val", base[0])]
+    df = spark.createDataFrame([("t", i, s, "task", t, 1) for i, s, t in records], "tab string, rec_id long, split string, task string, text string, overlap int")
+    got = {r.rec_id: r for r in overlaps.chunk_overlaps(df).collect()}
+    form = lambda t: t.lower().replace(" ", "")
+    known = {c for b in base for c in naive_chunks(form(b))}
+    assert set(got) == {*range(100, 110), 202}
+    for i, _, t in records:
+        if i in got:
+            parts = naive_chunks(form(t))
+            assert got[i].n_chars == len(form(t)) and got[i].shared_chars == sum(len(c) for c in parts if c in known) and 0 <= got[i].overlap <= 1
+    assert got[202].overlap == 1.0 and got[109].overlap > 0.4
+    assert overlaps.chunk_overlaps(df.where("false")).count() == 0
