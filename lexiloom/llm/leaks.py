@@ -2,13 +2,14 @@
 
 Winnowing: of each window of ``WINDOW`` consecutive hashes of ``GRAM`` words the least is a fingerprint, so every shared run of
 ``GRAM + WINDOW - 1`` words shares one. A passage of ``PASSAGE`` words of which at most one in ten is changed, left out or added has
-such a run. Fingerprints of the items are joined in the workers, in blocks of items of bounded size; hits are aligned to
-both sides in a band of all allowed edits and accepted when the passage is long enough. Nothing of the corpus is shuffled.
+such a run. Fingerprints of corpus and items are joined, and hits are aligned to both sides in a band of all allowed edits and accepted
+when the passage is long enough. Items of at most ``BROADCAST_CHARS`` characters, as a checked sum, are joined in the workers, so nothing
+of the corpus is shuffled; more of them are joined as tables of fingerprints, and only documents with a hit meet the items' words.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.normal import WordHashes
+from lexiloom.tables import cut
 
 GRAM, WINDOW = 5, 4
 #: Least length of a passage in words of the item, and the words for each edit.
@@ -25,8 +27,8 @@ PASSAGE, WORDS_AN_EDIT = 32, 10
 #: at least PASSAGE words, of which one has at most its share of the edits.
 LONGEST = (2 * PASSAGE + 1) * WORDS_AN_EDIT // (WORDS_AN_EDIT - 1)
 MOST_EDITS = LONGEST // WORDS_AN_EDIT
-#: Words of the items that are broadcast at once (8 bytes each and as much again for fingerprints); more items take more passes.
-BLOCK_WORDS = 2_000_000
+#: Characters of the items that are broadcast at most; their words and fingerprints take about 5 bytes for each.
+BROADCAST_CHARS = 16_000_000
 #: An opening line that at least so many items share and that has at most so many words is an instruction.
 INSTRUCTION_ITEMS, INSTRUCTION_WORDS = 3, 25
 #: Documents that a worker fingerprints at once.
@@ -142,56 +144,87 @@ class ItemIndex:
         return sorted(out)
 
 
-def item_words(rows: list[tuple[int, str | None]]) -> list[tuple[int, list[int]]]:
-    """(item_id, hashed words) of each item that is long enough, without an instruction line at its start."""
-    hashes = WordHashes()
-    first = Counter(text.split("\n", 1)[0].strip() for _, text in rows if text and "\n" in text)
-    out = []
-    for item_id, text in rows:
-        if not text:
-            continue
-        head, line, rest = text.partition("\n")
-        if line and first[head.strip()] >= INSTRUCTION_ITEMS and len(hashes.of_text(head)) <= INSTRUCTION_WORDS:
-            text = rest
-        words = hashes.of_text(text)
-        if len(words) >= PASSAGE:
-            out.append((item_id, words))
-    return out
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words): hashed words of each item that is long enough, without an instruction line at its start; repeated rows once."""
+    rows = items.where("item_id is not null and length(text) > 0").select(F.col("item_id").cast("long"), "text").distinct()
+    head = F.when(F.instr("text", "\n") > 0, F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
+    rows = rows.withColumn("head", head)
+    shared = rows.where("head is not null").groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= INSTRUCTION_ITEMS)
+    rows = rows.join(shared, "head", "left").select("item_id", "text", F.col("n").isNotNull().alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids, lists = [], []
+            for item_id, text, is_shared in zip(*(c.to_pylist() for c in batch.columns)):
+                head, _, rest = text.partition("\n")
+                words = hashes.of_text(rest if is_shared and len(hashes.of_text(head)) <= INSTRUCTION_WORDS else text)
+                if len(words) >= PASSAGE:
+                    ids.append(item_id)
+                    lists.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["item_id", "words"])
+
+    return rows.mapInArrow(run, "item_id long, words array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each document that holds a passage of an item, each pair once.
 
-    Rows without id, null and short texts give none. Items are read on the driver in order of item_id, in blocks of at most
-    ``BLOCK_WORDS`` words; an item longer than that is a block of its own.
+    Rows without id, null and short texts give none. An item_id with several texts stands for all of them.
     """
-    blocks: list[list[tuple[int, list[int]]]] = [[]]
-    size = 0
-    rows = [(r.item_id, r.text) for r in items.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()]
-    for item in item_words(rows):
-        if size + len(item[1]) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += len(item[1])
-    found = [_search_block(docs, block) for block in blocks]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def _search_block(docs: DataFrame, block: list[tuple[int, list[int]]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    words = item_words(items)
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    if size <= BROADCAST_CHARS:
+        return _search(texts, [(r.item_id, r.words) for r in words.orderBy("item_id").collect()]).distinct()
+    return _search_by_join(texts, cut(words))
+
+
+def _search(texts: DataFrame, items: list[tuple[int, list[int]]]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, hashes = ItemIndex(shared.value), WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                pairs = index.search([hashes.of_text(t) for t in texts])
+                ids, found = part.column(0).to_pylist(), part.column(1).to_pylist()
+                pairs = index.search([hashes.of_text(t) for t in found])
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "item_id"])
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     return texts.mapInArrow(run, "doc_id long, item_id long")
+
+
+def _search_by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for items of any size: distinct fingerprints of documents and items are joined, then the words of the pairs that meet."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _fingerprints(batch.column(0).to_pylist(), batch.column(1).to_pylist(), "item_id")
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield _fingerprints(batch.column(0).to_pylist(), [hashes.of_text(t) for t in batch.column(1).to_pylist()], "doc_id")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            kept = [bool(ItemIndex([(i, w)]).search([hashes.of_text(t)])) for i, w, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    known = items.mapInArrow(of_items, "item_id long, print long")
+    prints = texts.mapInArrow(of_docs, "doc_id long, print long").join(known.select("print").distinct(), "print", "left_semi")
+    pairs = cut(prints.join(known, "print").select("doc_id", "item_id").distinct())
+    met = pairs.join(items, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "words", "text")
+    return met.mapInArrow(check, "doc_id long, item_id long").distinct()
+
+
+def _fingerprints(ids: list[int], lists: list[list[int]], name: str) -> pa.RecordBatch:
+    """(id, print): the distinct fingerprints of each list of hashed words."""
+    rows = []
+    for key, words in zip(ids, lists):
+        grams = gram_hashes(np.array(words, np.uint64), np.zeros(len(words), int))
+        rows += [(key, p) for p in np.unique(grams[winnow(grams)]).view(np.int64).tolist()]
+    keys, prints = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.int64())], [name, "print"])
