@@ -153,7 +153,7 @@ class ContextTrees:
 
 
 def _bytes(word: str) -> bytes:
-    return b" " + fold(word).encode("utf-8", "replace")[:200] + b" "
+    return b" " + fold(word).encode("utf-8", "replace") + b" "
 
 
 def units(text: str, words: list[str] | None = None) -> list[str]:
