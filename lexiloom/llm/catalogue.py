@@ -122,13 +122,15 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack(sized, configured), configured)
 
 
-def _models(spark: SparkSession, folder: str) -> tuple[lexicon.Lexicon, dict[str, list[str]]]:
-    words = lexicon.read_lexicon(table(spark, folder, "common_words"), table(spark, folder, "languages"))
-    return words, lexicon.labelled_texts(*(table(spark, folder, t) for t in ("heldout_items", "std_items", "parallel_items")))
+def _models(spark: SparkSession, folder: str) -> tuple[lexicon.Lexicon, dict[str, list[str]], dict[str, list[str]]]:
+    """The lexicon, labelled texts and word lists."""
+    listed = lexicon.listed_words(table(spark, folder, "common_words"))
+    words = lexicon.read_lexicon(listed, table(spark, folder, "languages"))
+    return words, lexicon.labelled_texts(*(table(spark, folder, t) for t in ("heldout_items", "std_items", "parallel_items"))), listed
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
-    words, texts = _models(spark, folder)
+    words, texts, _ = _models(spark, folder)
     return cut(pages.profile_documents(corpus(spark, folder), words, pages.prose_profiles(texts, words)))
 
 
@@ -146,7 +148,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_text_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, ratios and the nearest structural profile of each document of at least min_doc_chars of run 1."""
     least = next((r.min_doc_chars for r in runs.read_runs(table(spark, folder, "pretrain_runs")) if r.run_id == 1), None) or 0
-    return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held", "words_lang")
+    return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held", "words_lang", "n_marks")
 
 
 @query
@@ -205,10 +207,7 @@ def p4_record_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     """Profiles with the languages of prose, its labels and whether the document is a keyword page."""
-    words, texts = _models(spark, folder)
-    listed: dict[str, list[str]] = {}
-    for r in table(spark, folder, "common_words").where("lang is not null and word is not null").limit(lexicon.MAX_WORDS).collect():
-        listed.setdefault(r.lang, []).append(r.word)
+    words, texts, listed = _models(spark, folder)
     trees = contexts.ContextTrees(texts, listed, words.langs)
     docs = corpus(spark, folder)
     profiles = cut(pages.profile_documents(docs, words, pages.prose_profiles(texts, words), trees))

@@ -12,13 +12,12 @@ from pyspark.sql.window import Window
 
 #: Labelled texts of one language that models are fitted on, at most; taken in order of id.
 TEXTS_A_LANGUAGE = 300
-#: Most rows of the word list; a fixed table (checked).
-MAX_WORDS = 1_000_000
+#: Most rows of the word list and of the table of languages; fixed tables (checked).
+MAX_WORDS, MAX_LANGUAGES = 1_000_000, 10_000
 #: Most entries of a worker's word cache; it is emptied when full.
 CACHE_WORDS = 500_000
 
 
-
 def _mark_ranges() -> str:
     """Regex ranges of the combining marks below U+20000."""
     marks = [c for c in range(0x20000) if unicodedata.category(chr(c))[0] == "M"]
@@ -93,22 +92,30 @@ class Lexicon:
         return out
 
 
-def read_lexicon(common_words: DataFrame, languages: DataFrame) -> Lexicon:
-    """The word list on the driver; a fixed table. Null words are left out."""
-    langs = sorted(r.lang for r in languages.where("lang is not null").limit(100).collect())
-    rows = common_words.where("lang is not null and word is not null").limit(MAX_WORDS + 1).collect()
+def listed_words(common_words: DataFrame) -> dict[str, list[str]]:
+    """The word list of each language on the driver. Null words are left out; a list of more than ``MAX_WORDS`` rows raises ValueError."""
+    rows = common_words.where("lang is not null and word is not null").select("lang", "word").limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError("the word list is too long")
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r.lang, []).append(r.word)
+    return out
+
+
+def read_lexicon(listed: dict[str, list[str]], languages: DataFrame) -> Lexicon:
+    """The lexicon of the word lists. More than ``MAX_LANGUAGES`` languages raise ValueError."""
+    langs = sorted({r.lang for r in languages.where("lang is not null").select("lang").limit(MAX_LANGUAGES + 1).collect()})
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError("too many languages")
     masks: dict[str, int] = {}
     phrases = []
-    for r in rows:
-        if r.lang not in langs:
-            continue
-        if _HAN.search(r.word):
-            phrases.append(r.word)
-        for word in words_of(r.word):
-            if len(word) > 1:
-                masks[fold(word)] = masks.get(fold(word), 0) | 1 << langs.index(r.lang)
+    for k, lang in enumerate(langs):
+        for entry in listed.get(lang, []):
+            if _HAN.search(entry):
+                phrases.append(entry)
+            for word in words_of(entry):
+                masks[fold(word)] = masks.get(fold(word), 0) | 1 << k
     lexicon = Lexicon(langs, masks, phrases)
     lexicon.__setstate__(lexicon.__getstate__())
     return lexicon

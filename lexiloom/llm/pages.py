@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.llm.contexts import ContextTrees, document_languages
-from lexiloom.llm.lexicon import CAPITAL, CLASSES, FUNCTION, LINK, LOWER, NUMBER, SINGLE, SYMBOL, Lexicon, words_of
+from lexiloom.llm.lexicon import CAPITAL, CLASSES, FUNCTION, LINK, LOWER, NUMBER, SINGLE, SYMBOL, Lexicon, fold, words_of
 
 #: Shares of token classes in lines that aren't prose, in the order of ``CLASSES`` (parameters of the operator).
 STRUCTURES: dict[str, tuple[float, ...]] = {
@@ -66,8 +66,11 @@ def clean_line(line: str) -> str:
     return line
 
 
-def line_counts(line: str, lexicon: Lexicon) -> tuple[list[int], int, list[str], list[int]]:
-    """(tokens of each class, best language or -1, words, their codes) of a cleaned line."""
+def line_counts(line: str, lexicon: Lexicon) -> tuple[list[int], int, list[str], list[int], int, int]:
+    """(tokens of each class, best language or -1, words, their codes, words in any word list, words) of a cleaned line.
+
+    In text without blanks two characters count as a word, and those in listed phrases as listed.
+    """
     words = words_of(line)
     codes = lexicon.codes(words)
     counts = [0] * len(CLASSES)
@@ -91,13 +94,18 @@ def line_counts(line: str, lexicon: Lexicon) -> tuple[list[int], int, list[str],
         lang, best = max(tally.items(), key=lambda x: (x[1], -x[0]))
         counts[FUNCTION] = best
         counts[LOWER] += sum(votes.values()) - best
+    listed, n_words = sum(votes.values()), len(words)
+    if by_code.get(SINGLE):
+        listed += sum([fold(w) in lexicon.masks for w, c in zip(words, codes) if c == SINGLE])
     if not line.isascii() and lexicon.unspaced >= 0 and (han := len(_HAN_CHARS.findall(line))) > 0.3 * len(line.replace(" ", "")):
         covered = sum(map(len, lexicon.phrase.findall(line)))
         # Unspaced text: two characters count as a word.
         counts[FUNCTION], counts[LOWER], lang = covered // 2, (han - covered) // 2, lexicon.unspaced
+        spaced = [c for w, c in zip(words, codes) if not _HAN_CHARS.search(w)]
+        listed, n_words = covered // 2 + sum([c > 7 for c in spaced]), han // 2 + len(spaced)
     counts[SYMBOL] = len(_SYMBOLS.findall(line))
     counts[LINK] = line.count(_LINK_MARK)
-    return counts, lang, words, codes
+    return counts, lang, words, codes, listed, n_words
 
 
 def prose_profiles(texts: dict[str, list[str]], lexicon: Lexicon) -> np.ndarray:
@@ -140,7 +148,7 @@ class Profiler:
         return near
 
     def lines(self, texts: list[str]) -> tuple[list[int], list[str], list[str], np.ndarray, np.ndarray, np.ndarray, list, list[int]]:
-        """(document, raw line, cleaned line, classes, languages, profile, words and codes, number) of each line that isn't blank."""
+        """(document, raw line, cleaned line, classes, languages, profile, (words, codes, listed words, all words), number) of each line that isn't blank."""
         owner, raw, cleaned, counts, langs, tokens, numbers = [], [], [], [], [], [], []
         for i, text in enumerate(texts):
             for number, line in enumerate(text.split("\n"), 1):
@@ -148,13 +156,13 @@ class Profiler:
                     continue
                 numbers.append(number)
                 c = clean_line(line)
-                n, lang, words, codes = line_counts(c, self.lexicon)
+                n, lang, *found = line_counts(c, self.lexicon)
                 owner.append(i)
                 raw.append(line)
                 cleaned.append(c)
                 counts.append(n)
                 langs.append(lang)
-                tokens.append((words, codes))
+                tokens.append(tuple(found))
         matrix, lang = np.array(counts, float).reshape(-1, len(CLASSES)), np.array(langs, int)
         near = self.classify(matrix, lang)
         # A line of a few words doesn't tell; it goes with the line before it.
@@ -179,13 +187,15 @@ def content_units(text: str, lexicon: Lexicon) -> list[str]:
     return out
 
 
-def _listing(raw: str, counts: np.ndarray) -> bool:
-    """Whether a line that isn't prose is an entry of a list of links, hashtags, or a product label."""
+def list_marks(raw: str, counts: np.ndarray) -> int:
+    """Links, hashtags or product labels of a line that isn't prose, where it is an entry of a list of those; else 0."""
     if counts[LINK]:
-        return True
-    if "#" in raw and len("".join(_HASHTAG.findall(raw))) > 0.5 * len(raw.replace(" ", "")):
-        return True
-    return bool(_PRODUCT.search(raw)) and not ("=" in raw or "{" in raw)
+        return int(counts[LINK])
+    if "#" in raw:
+        tags = _HASHTAG.findall(raw)
+        if len("".join(tags)) > 0.5 * len(raw.replace(" ", "")):
+            return len(tags)
+    return 0 if "=" in raw or "{" in raw else len(_PRODUCT.findall(raw))
 
 
 def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: ContextTrees | None = None) -> list[tuple]:
@@ -200,15 +210,17 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
         size = [len(raw[j]) - raw[j].count(" ") for j in range(a, b)]
         whole = sum(size)
         by_shape = [0] * len(profiler.names)
-        listed, ends, n_words, letters, odd = 0, 0, 0, 0, 0
+        listed, marks, ends, n_words, letters, odd, common, spoken = 0, 0, 0, 0, 0, 0, 0, 0
         by_lang: Counter[int] = Counter()
         by_words: Counter[int] = Counter()
         content: Counter[str] = Counter()
         seen: set[str] = set()
         parts: list[int] = []
         for j in range(a, b):
-            words, codes = tokens[j]
+            words, codes, in_lists, of_line = tokens[j]
             n_words += len(words)
+            common += in_lists
+            spoken += of_line
             letters += sum(map(len, words))
             ends += raw[j].rstrip().endswith(_PUNCT_END)
             shape = near[j]
@@ -222,8 +234,9 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
                 if raw[j] in seen:  # refrains
                     continue
                 seen.add(raw[j])
-            elif _listing(raw[j], counts[j]):
+            elif in_line := list_marks(raw[j], counts[j]):
                 listed += size[j - a]
+                marks += in_line
                 continue
             if counts[j][NUMBER] > 0.25 * len(words) or shape and _CODE.search(cleaned[j]):
                 continue
@@ -246,7 +259,6 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
                         top = max([content.get(w, 0) for w in content_units(part, profiler.lexicon)], default=0)
                         if top >= 2:
                             held[top, bool(near[j] == 0)] += len(part) - part.count(" ")
-        function = int(counts[a:b, FUNCTION].sum())
         n_tokens = int(counts[a:b].sum())
         odd = int(counts[a:b, SYMBOL].sum())
         lang = max(by_lang.items(), key=lambda x: x[1])[0] if by_lang else -1
@@ -257,24 +269,24 @@ def profile_block(ids: list[int], texts: list[str], profiler: Profiler, trees: C
             main, confidence, segments = document_languages([(numbers[j], cleaned[j], tokens[j][0]) for j in range(a, b) if near[j] == 0 or not is_prose], trees)
         out.append((
             doc_id, len(text), n_words, letters / n_words if n_words else 0.0, odd / n_tokens if n_tokens else 0.0, ends / (b - a) if b > a else 0.0,
-            function / max(1, n_tokens - odd), int(units[a:b].sum()), whole, by_shape[0], listed, profiler.names[max(range(len(by_shape)), key=lambda k: by_shape[k])] if whole else "empty",
+            common / max(1, spoken), int(units[a:b].sum()), whole, by_shape[0], listed, marks, profiler.names[max(range(len(by_shape)), key=lambda k: by_shape[k])] if whole else "empty",
             profiler.lexicon.langs[lang] if lang >= 0 else None, profiler.lexicon.langs[words_lang] if words_lang >= 0 else None, trees.langs[main] if main >= 0 else None, confidence, sorted(spectrum.items(), reverse=True), [(n, p, chars) for (n, p), chars in sorted(held.items(), reverse=True)],
             [(number, trees.langs[k]) for number, k in segments],
         ))
     return out
 
 
-#: One row a document. ``words_lang``: the language of its prose or, without prose, of all its lines; ``spectrum``: how many content words occur how often; ``held``: characters of segments by their most frequent word.
+#: One row a document. ``common_word_share``: share of its words that stand in the word list of any language; ``words_lang``: the language of its prose or, without prose, of all its lines; ``spectrum``: how many content words occur how often; ``held``: characters of segments by their most frequent word.
 PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("n_code_points", pa.int32()), ("n_words", pa.int32()), ("mean_word_len", pa.float64()), ("symbol_ratio", pa.float64()),
-    ("line_end_punct", pa.float64()), ("common_word_share", pa.float64()), ("n_units", pa.int32()), ("n_chars_dense", pa.int32()), ("prose_chars", pa.int32()), ("listed_chars", pa.int32()),
+    ("line_end_punct", pa.float64()), ("common_word_share", pa.float64()), ("n_units", pa.int32()), ("n_chars_dense", pa.int32()), ("prose_chars", pa.int32()), ("listed_chars", pa.int32()), ("n_marks", pa.int32()),
     ("structure", pa.string()), ("prose_lang", pa.string()), ("words_lang", pa.string()), ("main_lang", pa.string()), ("confidence", pa.float64()),
     ("spectrum", pa.list_(pa.struct([("n", pa.int32()), ("words", pa.int32())]))), ("held", pa.list_(pa.struct([("n", pa.int32()), ("prose", pa.bool_()), ("chars", pa.int32())]))),
     ("line_langs", pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string())]))),
 ])
 _DDL = (
     "doc_id long, n_code_points int, n_words int, mean_word_len double, symbol_ratio double, line_end_punct double, common_word_share double, n_units int, n_chars_dense int, "
-    "prose_chars int, listed_chars int, structure string, prose_lang string, words_lang string, main_lang string, confidence double, "
+    "prose_chars int, listed_chars int, n_marks int, structure string, prose_lang string, words_lang string, main_lang string, confidence double, "
     "spectrum array<struct<n: int, words: int>>, held array<struct<n: int, prose: boolean, chars: int>>, line_langs array<struct<line_no: int, lang: string>>"
 )
 
@@ -303,8 +315,8 @@ def profile_documents(docs: DataFrame, lexicon: Lexicon, prose: np.ndarray, tree
                 part = batch.slice(at, BLOCK)
                 rows = profile_block(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], profiler, contexts)
                 cols = list(zip(*rows))
-                arrays = [pa.array(c, f.type) for c, f in zip(cols[:16], list(PROFILE)[:16])]
-                arrays += [_structs(c, f.type) for c, f in zip(cols[16:], list(PROFILE)[16:])]
+                arrays = [pa.array(c, f.type) for c, f in zip(cols[:17], list(PROFILE)[:17])]
+                arrays += [_structs(c, f.type) for c, f in zip(cols[17:], list(PROFILE)[17:])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=PROFILE)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DDL)
@@ -347,14 +359,16 @@ def keyword_pages(profiles: DataFrame) -> DataFrame:
     ``profiles`` has to be written already. Keywords are the content words that occur more often than ``EXTREME`` times what prose of
     the language at comparable length (powers of two of the words) reaches. Where the curve is flatter than that of such prose by ``EXTREME``,
     words that occur at least half as often as the most frequent one are keywords too (in sentences, more than that); where it is steeper or
-    further from its line, words of lists that occur more often than in prose. The page is one if segments with keywords, link lists, hashtags and product labels are more than half of its characters.
+    further from its line, words of lists that occur more often than in prose. Links, hashtags and product labels in lists count like a word of
+their own: beyond ``EXTREME`` times as many as such prose has, their lines are held by keywords as well. The page is one if what keywords hold
+is more than half of its characters.
     """
     curves = rank_frequency(profiles)
     pages = profiles.where("n_chars_dense > 0").join(curves, "doc_id", "left").withColumn("length_class", F.floor(F.log2(F.col("n_units") + 1)).cast("int"))
     prose = pages.where("prose_chars > 0.8 * n_chars_dense and top is not null")
-    reached = [("top", "top", 0.95), ("steep", "slope", 0.05), ("flat", "slope", 0.95), ("off", "residual", 0.95)]
+    reached = [("top", "top", 0.95), ("marks", "n_marks", 0.95), ("steep", "slope", 0.05), ("flat", "slope", 0.95), ("off", "residual", 0.95)]
     # Only pages that repeat words have a curve to compare.
-    measure = lambda c: F.col(c) if c == "top" else F.when(F.col("top") >= LEAST, F.col(c))
+    measure = lambda c: F.col(c) if c in ("top", "n_marks") else F.when(F.col("top") >= LEAST, F.col(c))
     limits = lambda of: [F.percentile_approx(measure(c), share).alias(f"{of}_{name}") for name, c, share in reached]
     near_own = prose.groupBy(F.col("prose_lang").alias("words_lang"), "length_class").agg(F.count("*").alias("pages"), F.count(measure("slope")).alias("curved"), *limits("own"))
     near_any = prose.groupBy("length_class").agg(*limits("any"))
@@ -362,6 +376,7 @@ def keyword_pages(profiles: DataFrame) -> DataFrame:
     pages = pages.join(F.broadcast(near_own), ["words_lang", "length_class"], "left").join(F.broadcast(near_any), "length_class", "left")
     own = lambda name, n: F.coalesce(F.when(F.col(n) >= LEAST_PAGES, F.col(f"own_{name}")), f"any_{name}")
     pages = pages.withColumn("prose_top", F.coalesce(own("top", "pages"), F.lit(2)))
+    pages = pages.withColumn("prose_marks", F.coalesce(own("marks", "pages"), F.lit(0)))
     pages = pages.withColumns({name: own(name, "curved") for name in ("steep", "flat", "off")})
     pages = pages.withColumn("least", F.greatest(F.lit(LEAST), F.ceil(F.col("prose_top") * EXTREME)).cast("int"))
     # On a page that one word rules, other repeated words of its lists are keywords as well; in sentences a keyword has to rule.
@@ -374,5 +389,6 @@ def keyword_pages(profiles: DataFrame) -> DataFrame:
     in_sentences = F.greatest(F.lit(LEAST + 1), "least", F.ceil(F.col("n_units") * RULING_SENTENCES))
     pages = pages.withColumn("in_sentences", F.least(in_sentences, plateau + 1))
     kept = F.expr("aggregate(filter(held, x -> x.n >= if(x.prose, in_sentences, in_lists)), 0, (acc, x) -> acc + x.chars)")
-    pages = pages.withColumn("spam_share", (F.col("listed_chars") + kept) / F.col("n_chars_dense"))
+    marked = F.when(F.col("n_marks") > EXTREME * F.col("prose_marks"), F.col("listed_chars")).otherwise(F.lit(0))
+    pages = pages.withColumn("spam_share", (marked + kept) / F.col("n_chars_dense"))
     return pages.select("doc_id", "top", "slope", "residual", "prose_top", "spam_share", (F.col("spam_share") > 0.5).alias("is_keyword_page"))

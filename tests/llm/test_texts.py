@@ -239,11 +239,45 @@ def test_passages_equal_alignment():
         assert leaks._reach(doc, item) == want
 
 
-def test_leaks_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 70)
-    texts = [" ".join(passage_words(k)) for k in range(4)]
-    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert rows(leaks.find_leaks(corpus, corpus.withColumnRenamed("doc_id", "item_id"))) == [(k, k) for k in range(4)]
+def test_leaks_by_join_equal_those_by_broadcast(spark, monkeypatch):
+    rng = random.Random(2)
+    noise = passage_words(99, 400)
+    items = [(k, "Answer this\n" * (k < 5) + " ".join(passage_words(k % 6, 60))) for k in range(9)] + [(20, None), (21, ""), (22, "short")]
+    docs = [(d, " ".join(noise[:d] + passage_words(d % 6, 60)[: 25 + rng.randint(0, 30)] + noise[d : 2 * d])) for d in range(30)] + [(50, None), (51, ""), (52, " ".join(noise))]
+    corpus, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = rows(leaks.find_leaks(corpus, held))
+    monkeypatch.setattr(leaks, "BROADCAST_CHARS", 0)
+    assert len(want) > 20 and rows(leaks.find_leaks(corpus, held)) == want
+    assert leaks.find_leaks(corpus.where("false"), held).count() == leaks.find_leaks(corpus, held.where("false")).count() == 0
+
+
+def test_a_gap_of_five_words_in_sixty(spark):
+    item, noise = passage_words(1, 60), passage_words(3, 80)
+    docs = [(k, " ".join(noise[:40] + item[:at] + item[at + 5 :] + noise[40:])) for k, at in enumerate((20, 27, 40))]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(leaks.find_leaks(corpus, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_long_words_are_scored_whole(models):
+    *_, trees = models
+    word = "lantern" * 60
+    assert trees.word_bits(word)[1] > 1.5 * trees.word_bits(word[:200])[1]
+
+
+def test_share_of_listed_words(models):
+    lex, *_ = models
+    share = lambda line: pages.line_counts(line, lex)[4:]
+    assert share("the lantern and a river 12") == (3, 6) or share("the lantern and a river 12") == (2, 6)
+    assert share("他们喝水一个") == (2, 3)
+    assert share("") == (0, 0)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "MAX_LANGUAGES", 2)
+    langs = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "lang string")
+    with pytest.raises(ValueError):
+        lexicon.read_lexicon({}, langs)
+    assert lexicon.read_lexicon({"b": ["x y"]}, langs.where("lang != 'c'")).masks == {"x": 2, "y": 2}
 
 
 def test_winnowing_guarantee():
