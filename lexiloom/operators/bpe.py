@@ -1,13 +1,16 @@
 """Byte-pair encoding: training from scratch, continued and sequential training, encoding, token counts, NSL.
 
-Training loops over merges on the driver; each round is one Spark aggregation over distinct words of which a single row comes
-back. Lineage is cut every ``CUT_EVERY`` merges. Vocabularies and merge tables are bounded by the size asked for.
+The words and the table of their pairs are kept as DataFrames. A round brings the most frequent pairs to the driver (``FETCH`` rows), takes as
+many of them as can't influence each other, and updates the pair table by the difference that the changed words make; so
+a few rounds give many merges, and unchanged words are never counted again. The merges are those of one merge at a time. The pair table is
+written each round and the words every ``CUT_EVERY`` rounds. Vocabularies and merge tables are bounded by the size asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +24,12 @@ from lexiloom.tables import cut
 
 #: Special tokens come first, in this order.
 SPECIALS = ("<s>", "</s>", "<pad>", "<unk>")
-#: Merges between two cuts of the lineage.
-CUT_EVERY = 16
+#: Rounds between two cuts of the words, rows of the pair table that are looked at in a round, merges taken of them at most.
+CUT_EVERY, FETCH, BATCH = 8, 512, 64
 
 Merge = tuple[str, str]
+#: What continued training finds: a pair, or a symbol that is a word of its own.
+Unit = tuple[str, ...]
 
 
 def base_vocabulary() -> dict[str, int]:
@@ -45,59 +50,130 @@ class BpeModel:
         self.vocab.setdefault(left + right, len(self.vocab))
 
 
+def independent(ranked: Sequence[tuple[str, str, int]], whole: bool, exists: Callable[[str], bool], most: int) -> list[tuple[str, str, int]]:
+    """The first of the ranked (left, right, freq) that merging one at a time would take in this order, too.
+
+    A pair that opens with what an earlier one ends with, or ends with what it opens with, changes its count; and a new pair is at most as
+    frequent as such a neighbour, so it can only come in between where one has the same count. After a pair of equal symbols, or one whose
+    token ``exists``, that doesn't hold, so it is the last. Without ``whole`` further pairs may have the last count. An empty right is a symbol of its own.
+    """
+    taken: list[tuple[str, str, int]] = []
+    opens: set[str] = set()
+    ends: set[str] = set()
+    made: set[str] = set()
+    for freq, ties in groupby(ranked, key=lambda r: r[2]):
+        ties = list(ties)
+        if not whole and freq == ranked[-1][2]:
+            return taken or ties[:1]
+        for left, right, _ in ties:
+            if len(taken) >= most or any(a in ends or b in opens for a, b, _ in ties if b):
+                return taken
+            taken.append((left, right, freq))
+            if right:
+                opens.add(left)
+                ends.add(right)
+                if left == right or left + right in made or exists(left + right):
+                    return taken
+                made.add(left + right)
+    return taken
+
+
+class PairTable:
+    """Words (split, freq) and their pairs (left, right, freq), kept together while merges are applied."""
+
+    def __init__(self, words: DataFrame):
+        self.words = cut(words.select("split", "freq"))
+        self.pairs = cut(pair_frequencies(self.words))
+        self.rounds = 0
+
+    def top(self, singles: DataFrame | None = None, longest: int | None = None) -> tuple[list[tuple[str, str, int]], bool]:
+        """(pairs of greatest count, unordered among equal ones; whether these are all). Equal counts are given whole, if there are others."""
+        found = self.pairs if longest is None else self.pairs.where(F.length("left") + F.length("right") <= longest)
+        found = found if singles is None else found.unionByName(singles)
+        rows = [(r.left, r.right, r.freq) for r in found.orderBy(F.desc("freq"), "left", "right").limit(FETCH).collect()]
+        return rows, len(rows) < FETCH
+
+    def merge(self, merges: Sequence[Merge]) -> None:
+        """Apply merges that are independent of each other."""
+        if not merges:
+            return
+        both = self.words.withColumn("old", F.col("split"))
+        for left, right in merges:
+            both = merge_pair(both, left, right)
+        sides = F.array(F.struct("split", "freq"), F.struct(F.col("old").alias("split"), (-F.col("freq")).alias("freq")))
+        moved = both.where("split != old").select(F.explode(sides).alias("x")).select("x.split", "x.freq")
+        self.pairs = cut(self.pairs.unionByName(pair_frequencies(moved)).groupBy("left", "right").agg(F.sum("freq").alias("freq")).where("freq > 0"))
+        self.words, self.rounds = both.drop("old"), self.rounds + 1
+        if self.rounds % CUT_EVERY == 0:
+            self.words = cut(self.words)
+
+
+def _ordered(rows: list[tuple[str, str, int]], whole: bool, key: Callable[[tuple[str, str, int]], tuple]) -> list[tuple[str, str, int]]:
+    """Rows by falling count and then by ``key``; the last count is left out where it isn't whole, unless it is the only one."""
+    if not whole and rows[0][2] != rows[-1][2]:
+        rows = [r for r in rows if r[2] != rows[-1][2]]
+    return sorted(rows, key=lambda r: (-r[2], key(r)))
+
+
 def train(docs: DataFrame, vocab_size: int) -> BpeModel:
     """BPE from scratch until the vocabulary has ``vocab_size`` tokens or no pair is left.
 
     The most frequent pair is merged; of equal ones that with the smallest ids. Empty corpora give the byte alphabet.
     """
     spark, model = docs.sparkSession, BpeModel()
-    words = cut(byte_words(word_frequencies(docs)).select("split", "freq"))
+    table = PairTable(byte_words(word_frequencies(docs)))
     while len(model.vocab) < vocab_size:
-        ids = F.broadcast(spark.createDataFrame(list(model.vocab.items()), "token string, id int"))
-        pairs = pair_frequencies(words)
-        ranked = pairs.join(ids.select(F.col("token").alias("left"), F.col("id").alias("a")), "left").join(ids.select(F.col("token").alias("right"), F.col("id").alias("b")), "right")
-        best = ranked.orderBy(F.desc("freq"), "a", "b").select("left", "right").first()
-        if best is None:
+        rows, whole = table.top()
+        if not rows:
             break
-        model.add(*best)
-        words = merge_pair(words, *best)
-        if len(model.merges) % CUT_EVERY == 0:
-            words = cut(words)
+        known = whole or rows[0][2] != rows[-1][2]
+        if not known:
+            # More pairs share the greatest count than were fetched: their ids decide among all of them.
+            ids = spark.createDataFrame(list(model.vocab.items()), "token string, id int")
+            ranked = table.pairs.where(F.col("freq") == rows[0][2]).join(ids.select(F.col("token").alias("left"), F.col("id").alias("a")), "left").join(ids.select(F.col("token").alias("right"), F.col("id").alias("b")), "right")
+            rows = [(r.left, r.right, r.freq) for r in ranked.orderBy("a", "b").limit(1).collect()]
+        else:
+            rows = _ordered(rows, whole, lambda r: (model.vocab[r[0]], model.vocab[r[1]]))
+        taken = independent(rows, known, lambda t: t in model.vocab, min(BATCH, vocab_size - len(model.vocab)))
+        for left, right, _ in taken:
+            model.add(left, right)
+        table.merge([x[:2] for x in taken])
     return model
 
 
-def continue_training(docs: DataFrame, base: BpeModel, extension_size: int, max_token_length: int | None = None) -> tuple[list[str], list[Merge]]:
-    """(tokens, merges) found when training goes on over the segmentation of ``base``, in the order found.
+def continue_training(docs: DataFrame, base: BpeModel, extension_size: int, max_token_length: int | None = None) -> list[Unit]:
+    """Pairs and single symbols found, in order, when training goes on over the segmentation of ``base``.
 
     Candidates are neighbouring pairs and words that are one symbol at the start; the most frequent one is taken, of equal
-    ones the first in code-point order (a single symbol before the pairs it opens). It ends at ``extension_size`` tokens,
+    ones the first in code-point order (a single symbol before the pairs it opens). It ends at ``extension_size`` different tokens,
     re-discovered ones included. Merges longer than ``max_token_length`` are dropped for good.
     """
-    spark = docs.sparkSession
-    words = cut(encode_words(word_frequencies(docs), base.merges).select(F.concat(F.lit("\x01"), F.array_join("pieces", "\x02\x01"), F.lit("\x02")).alias("split"), "freq"))
-    singles = cut(unigram_candidates(words))
+    table = PairTable(encode_words(word_frequencies(docs), base.merges).select(F.concat(F.lit("\x01"), F.array_join("pieces", "\x02\x01"), F.lit("\x02")).alias("split"), "freq"))
+    singles = cut(unigram_candidates(table.words).select(F.col("symbol").alias("left"), F.lit("").alias("right"), "freq"))
     tokens: dict[str, None] = {}
-    merges: list[Merge] = []
-    taken: list[str] = []
-    since = 0
+    units: list[Unit] = []
+    met = set(base.vocab)
+    gone: list[str] = []
     while len(tokens) < extension_size:
-        pairs = pair_frequencies(words).where((F.length("left") + F.length("right")) <= (max_token_length or 1 << 30))
-        candidates = pairs.unionByName(singles.select(F.col("symbol").alias("left"), F.lit("").alias("right"), "freq"))
-        if taken:
-            candidates = candidates.join(F.broadcast(spark.createDataFrame([(t, "") for t in taken], "left string, right string")), ["left", "right"], "left_anti")
-        best = candidates.orderBy(F.desc("freq"), "left", "right").first()
-        if best is None:
+        left_over = singles.where(~F.col("left").isin(gone)) if gone else singles
+        rows, whole = table.top(left_over, max_token_length)
+        if not rows:
             break
-        if best.right == "":
-            tokens.setdefault(best.left)
-            taken.append(best.left)
-            continue
-        tokens.setdefault(best.left + best.right)
-        merges.append((best.left, best.right))
-        words, since = merge_pair(words, best.left, best.right), since + 1
-        if since % CUT_EVERY == 0:
-            words = cut(words)
-    return list(tokens), merges
+        only = not whole and rows[0][2] == rows[-1][2]
+        rows = rows[:1] if only else _ordered(rows, whole, lambda r: r[:2])
+        taken = []
+        for left, right, freq in independent(rows, True, lambda t: t in met, BATCH):
+            tokens.setdefault(left + right)
+            units.append((left, right) if right else (left,))
+            met.add(left + right)
+            if right:
+                taken.append((left, right))
+            else:
+                gone.append(left)
+            if len(tokens) >= extension_size:
+                return units
+        table.merge(taken)
+    return units
 
 
 def closure(token: str, rules: dict[str, Merge]) -> list[str]:
@@ -113,38 +189,68 @@ def closure(token: str, rules: dict[str, Merge]) -> list[str]:
     return list(out)
 
 
-def extract(new_tokens: Sequence[str], merges: Sequence[Merge], base: BpeModel, size: int) -> tuple[dict[str, int], BpeModel]:
-    """(extracted vocabulary, extended model) of one language after continued training.
+def extract(units: Sequence[Unit], base: BpeModel, size: int) -> tuple[BpeModel, BpeModel]:
+    """(subtokenizer of at most ``size`` tokens, extended global model) of one language after continued training.
 
-    The extraction starts with the base tokens that no merge builds and takes the new tokens in order, each with what it
-    is built of, until ``size``; ordered by id of the extended model and cut to ``size``. Raises ValueError if a token can't be built.
+    The subtokenizer starts with the base tokens that no merge builds and takes the units in order, each with what it is built of, until it
+    has ``size`` tokens; base tokens come first by id, new ones in the order found, and it is cut to ``size`` and numbered from 0. The
+    global model takes the new tokens of the subtokenizer with their merges, and no others. A new rule for a known token
+    counts from then on. Raises ValueError if a token can't be built.
     """
-    extended = BpeModel(dict(base.vocab), list(base.merges))
-    rules = {a + b: (a, b) for a, b in base.merges} | {a + b: (a, b) for a, b in merges}
-    known = set(base.merges)
-    for a, b in merges:
-        if a not in extended.vocab or b not in extended.vocab:
-            raise ValueError(f"no way to build {a!r} + {b!r}")
-        if (a, b) not in known:
-            extended.add(a, b)
-    chosen = {t for t in base.vocab if t not in rules}
-    for token in new_tokens:
-        if len(chosen) >= size:
+    rules = {a + b: (a, b) for a, b in base.merges}
+    for unit in units:
+        if missing := [t for t in unit if t not in rules and t not in base.vocab]:
+            raise ValueError(f"no way to build {missing[0]!r}")
+        if len(unit) == 2:
+            rules["".join(unit)] = unit
+    place = {t: i for t, i in base.vocab.items() if t not in rules}
+    found = len(base.vocab)
+    for unit in units:
+        token = "".join(unit)
+        for t in closure(token, rules):
+            place.setdefault(t, base.vocab.get(t, found))
+        found += len(unit) == 2
+        if len(place) >= size:
             break
-        chosen.update(closure(token, rules))
-    kept = sorted(chosen, key=extended.vocab.__getitem__)[:size]
-    return {t: extended.vocab[t] for t in kept}, extended
+    kept = sorted(place, key=place.__getitem__)[:size]
+    inside = set(kept)
+    merges = [rules[t] for t in kept if t in rules]
+    if broken := [m for m in merges if not inside.issuperset(m)]:
+        raise ValueError(f"no way to build {broken[0]!r} within {size} tokens")
+    extended = BpeModel(dict(base.vocab), list(base.merges))
+    for t in kept:
+        if t not in base.vocab:
+            extended.add(*rules[t])
+    return BpeModel({t: k for k, t in enumerate(kept)}, merges), extended
 
 
-def train_sequential(docs_by_lang: Sequence[tuple[str, DataFrame]], vocab_size: int, extension_size: int, max_token_length: int | None = None) -> tuple[BpeModel, dict[str, dict[str, int]]]:
-    """(global model, vocabulary by language): the first language from scratch, each further one on top of the model so far."""
+@dataclass
+class Step:
+    """What one language adds: the model after it, its subtokenizer and what continued training found."""
+
+    lang: str
+    model: BpeModel
+    extracted: BpeModel
+    units: list[Unit]
+
+
+def train_sequential(
+    docs_by_lang: Sequence[tuple[str, DataFrame]], vocab_size: int, extension_size: int | None = None, max_token_length: int | None = None, max_sentences: int | None = None, order: Sequence[str] = ("file_id", "line_id")
+) -> list[Step]:
+    """One step for each language: the first is trained from scratch, each further one on top of the model so far.
+
+    ``extension_size`` is ``vocab_size`` if not given. ``max_sentences`` keeps the first documents by ``order`` of each language but
+    the first, as does ``max_token_length``.
+    """
     (first, docs), *rest = docs_by_lang
     model = train(docs, vocab_size)
-    by_lang = {first: dict(model.vocab)}
+    steps = [Step(first, model, model, [])]
     for lang, docs in rest:
-        tokens, merges = continue_training(docs, model, extension_size, max_token_length)
-        by_lang[lang], model = extract(tokens, merges, model, vocab_size)
-    return model, by_lang
+        part = docs if max_sentences is None else docs.orderBy(*order).limit(max_sentences)
+        units = continue_training(part, model, extension_size or vocab_size, max_token_length)
+        extracted, model = extract(units, model, vocab_size)
+        steps.append(Step(lang, model, extracted, units))
+    return steps
 
 
 def encode_words(words: DataFrame, merges: Sequence[Merge]) -> DataFrame:

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,42 +10,14 @@ from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
 from lexiloom.operators import batches, bpe, documents, masks, metrics, modular, prompts, reports, sampling, unigram, vocab, words
 from lexiloom.operators.order import rank_from_zero
 from lexiloom.plans import oracles as O
+from lexiloom.plans.registry import query
 from lexiloom.streaming.batches import tumbling_counts
 from lexiloom.tables import corpus, cut, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-_shipped: set[str] = set()
-
 #: Parameters of the catalogue's queries.
-WORLD, MERGES, EXTENSION, MASK, N_TARGET, BATCH, CONTEXT = 8, 8, 6, 600, 64 * 129, 64, 128
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="lexiloom-")) / "lexiloom.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its own name, with SQL where there is any."""
-
-    def register(run: Query) -> Query:
-        QUERIES[run.__name__] = run
-        if sql is not None:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return register
+WORLD, MERGES, EXTENSION, MASK, N_TARGET, BATCH, CONTEXT = 8, 48, 32, 600, 64 * 129, 64, 128
+#: Merges of ``bpe_model``; tokens of each subtokenizer and tokens found for each language of ``sequential_bpe``.
+MODEL_MERGES, SUBTOKENIZER, LANGUAGE_EXTENSION = 1000, 320, 96
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,21 +169,40 @@ def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(i, t) for t, i in _trained(spark, folder).vocab.items()], "token_id int, piece string")
 
 
-@query(f"{O.continued_bpe(EXTENSION)} " + " UNION ALL ".join(f'SELECT {k} AS ord, "left" || "right" AS piece FROM m{k}' for k in range(EXTENSION)))
+@query()
+def bpe_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The first thousand merges of BPE trained from scratch on all documents."""
+    model = bpe.train(_docs(spark, folder), len(bpe.base_vocabulary()) + MODEL_MERGES)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(model.merges)], "merge_no int, a string, b string")
+
+
+def _units(spark: SparkSession, units: list[bpe.Unit]) -> DataFrame:
+    return spark.createDataFrame([(k, "".join(u), len(u)) for k, u in enumerate(units)], "ord int, piece string, parts int")
+
+
+_UNITS_SQL = " UNION ALL ".join(f'SELECT {k} AS ord, "left" || "right" AS piece, CASE "right" WHEN \'\' THEN 1 ELSE 2 END AS parts FROM m{k}' for k in range(EXTENSION))
+
+
+@query(f"{O.continued_bpe(EXTENSION)} {_UNITS_SQL}")
 def continued_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The first tokens found when training goes on over the project's tokenizer."""
-    tokens, _ = bpe.continue_training(_docs(spark, folder), _model(spark, folder), EXTENSION)
-    return spark.createDataFrame(list(enumerate(tokens)), "ord int, piece string")
+    return _units(spark, bpe.continue_training(_docs(spark, folder), _model(spark, folder), EXTENSION))
+
+
+@query(f"{O.continued_bpe(EXTENSION, 7)} {_UNITS_SQL}")
+def continued_bpe_short(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with tokens of at most 7 bytes."""
+    return _units(spark, bpe.continue_training(_docs(spark, folder), _model(spark, folder), EXTENSION, max_token_length=7))
 
 
 @query()
 def sequential_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    """Token ids by language after sequential training: English from scratch, then French and Russian on top."""
-    known = _languages(spark, folder)
-    docs = _docs(spark, folder).withColumn("key", label_key("lang")).drop("lang").join(F.broadcast(known), "key")
-    size = len(bpe.base_vocabulary()) + 3
-    _, by_lang = bpe.train_sequential([(x, docs.where(F.col("lang") == x)) for x in ("en", "fr", "ru")], size, 3)
-    return spark.createDataFrame([(x, t, i) for x, v in by_lang.items() for t, i in v.items()], "lang string, piece string, token_id int")
+    """Subtokenizers of all languages, in order of their codes: the first one from scratch, each other one on top of the model so far."""
+    known = cut(_docs(spark, folder).withColumn("key", label_key("lang")).drop("lang").join(F.broadcast(_languages(spark, folder)), "key").select("lang", "text"))
+    langs = sorted(r.lang for r in table(spark, folder, "languages").select("lang").distinct().collect())
+    steps = bpe.train_sequential([(x, known.where(F.col("lang") == x)) for x in langs], len(bpe.base_vocabulary()) + SUBTOKENIZER, LANGUAGE_EXTENSION)
+    ids = steps[-1].model.vocab
+    return spark.createDataFrame([(s.lang, t, i, ids[t]) for s in steps for t, i in s.extracted.vocab.items()], "lang string, piece string, sub_id int, token_id int")
 
 
 @query(f"{O.encoded(O.WORDS, 'lang, freq')} SELECT lang, sum(freq * n_tok)::BIGINT AS n_tokens FROM enc GROUP BY lang")

@@ -73,8 +73,12 @@ def bleu_words(c: str) -> str:
     return f"list_filter(string_split(trim(regexp_replace({spaced}, '[{WHITE}]+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-def continued_bpe(k: int) -> str:
-    """CTEs m0 .. m(k-1), the candidates taken when training goes on over the tok_merges tokenizer; single symbols have an empty right part."""
+def continued_bpe(k: int, longest: int | None = None) -> str:
+    """CTEs m0 .. m(k-1), the candidates taken when training goes on over the tok_merges tokenizer; single symbols have an empty right part.
+
+    Tokens of more than ``longest`` symbols are no candidates.
+    """
+    allowed = "TRUE" if longest is None else f'length("left" || "right") <= {longest}'
     steps = [
         encoded(ALL_WORDS, "freq"),
         "w0 AS MATERIALIZED (SELECT done AS split, sum(freq)::BIGINT AS freq FROM enc GROUP BY done)",
@@ -82,7 +86,7 @@ def continued_bpe(k: int) -> str:
     ]
     for i in range(k):
         taken = "".join(f' AND "left" NOT IN (SELECT "left" FROM m{j} WHERE "right" = \'\')' for j in range(i))
-        steps.append(f"m{i} AS MATERIALIZED (SELECT \"left\", \"right\" FROM ({pairs(f'w{i}')} UNION ALL SELECT \"left\", \"right\", freq FROM u WHERE TRUE{taken}) ORDER BY freq DESC, \"left\", \"right\" LIMIT 1)")
+        steps.append(f"m{i} AS MATERIALIZED (SELECT \"left\", \"right\" FROM ({pairs(f'w{i}')} UNION ALL SELECT \"left\", \"right\", freq FROM u WHERE TRUE{taken}) WHERE {allowed} ORDER BY freq DESC, \"left\", \"right\" LIMIT 1)")
         merged = "replace(split, chr(1) || \"left\" || chr(2) || chr(1) || \"right\" || chr(2), chr(1) || \"left\" || \"right\" || chr(2))"
         steps.append(f"w{i + 1} AS MATERIALIZED (SELECT freq, CASE WHEN \"right\" = '' THEN split ELSE {merged} END AS split FROM w{i}, m{i})")
     return ",\n".join(steps)

@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import pytest
 import regex
 from hypothesis import given
 from hypothesis import strategies as st
@@ -9,6 +11,7 @@ from lexiloom.functions.text import PRETOKEN, byte_alphabet, py_to_bytes_alphabe
 from lexiloom.operators import bpe, words
 from tests.conftest import rows
 
+_SPLIT = regex.compile(PRETOKEN.replace(r"\x{85}", r"\x85"))
 TEXTS = ["  नेपाली x1, é", "aaa aaa ab", "", None, "line\n\nnext  word", "日本語 텍스트 x"]
 
 
@@ -82,32 +85,104 @@ def test_training_on_nothing(spark):
     assert bpe.train(docs(spark, ["", None]), 500).merges == []
 
 
+@pytest.mark.parametrize("fetch", [3, 512])
+def test_training_on_random_words_equals_a_naive_one(spark, monkeypatch, fetch):
+    monkeypatch.setattr(bpe, "FETCH", fetch)
+    rng = random.Random(fetch)
+    texts = [" ".join("".join(rng.choice("aabbcde") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(12)]
+    size = len(bpe.base_vocabulary()) + (25 if fetch < 10 else 150)
+    got, want = bpe.train(docs(spark, texts), size), naive_train(texts, size)
+    assert got.merges == want.merges and got.vocab == want.vocab
+
+
+def naive_continue(texts, base, size):
+    coder = BpeCoder([(k, a, b) for k, (a, b) in enumerate(base.merges)])
+    freq = Counter(w for t in texts if t for w in _SPLIT.findall(t))
+    splits = {w: coder.split(py_to_bytes_alphabet(w)) for w in freq}
+    singles = Counter()
+    for w, x in splits.items():
+        if len(x) == 1:
+            singles[x[0]] += freq[w]
+    units, tokens = [], {}
+    while len(tokens) < size:
+        pairs = Counter()
+        for w, x in splits.items():
+            for pair in zip(x, x[1:]):
+                pairs[pair] += freq[w]
+        ranked = sorted([(-n, (s, "")) for s, n in singles.items()] + [(-n, p) for p, n in pairs.items()])
+        if not ranked:
+            break
+        a, b = ranked[0][1]
+        tokens[a + b] = None
+        units.append((a, b) if b else (a,))
+        if not b:
+            del singles[a]
+            continue
+        for w, x in splits.items():
+            out = []
+            while x:
+                n = 2 if x[:2] == [a, b] else 1
+                out.append("".join(x[:n]))
+                x = x[n:]
+            splits[w] = out
+    return units
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_continued_training_equals_a_naive_one(spark, seed):
+    rng = random.Random(seed)
+    text = lambda letters: [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(40)) for _ in range(10)]
+    base = bpe.train(docs(spark, text("abc")), len(bpe.base_vocabulary()) + 30)
+    more = text("abcdef")
+    assert bpe.continue_training(docs(spark, more), base, 90) == naive_continue(more, base, 90)
+
+
 def test_continued_training_ties_and_single_symbols(spark):
-    tokens, merges = bpe.continue_training(docs(spark, ["cd", "ab"]), bpe.BpeModel(), 1)
-    assert tokens == ["ab"] and merges == [("a", "b")]
-    tokens, merges = bpe.continue_training(docs(spark, ["x", "x", "x", "cd"]), bpe.BpeModel(), 5)
-    assert tokens == ["x", "cd"] and merges == [("c", "d")]
+    assert bpe.continue_training(docs(spark, ["cd", "ab"]), bpe.BpeModel(), 1) == [("a", "b")]
+    assert bpe.continue_training(docs(spark, ["x", "x", "x", "cd"]), bpe.BpeModel(), 5) == [("x",), ("c", "d")]
 
 
 def test_continued_training_refuses_long_tokens(spark):
-    tokens, _ = bpe.continue_training(docs(spark, ["abc abc"]), bpe.BpeModel(), 9, max_token_length=2)
-    assert tokens and max(map(len, tokens)) <= 2
+    units = bpe.continue_training(docs(spark, ["abc abc"]), bpe.BpeModel(), 9, max_token_length=2)
+    assert units and max(len("".join(u)) for u in units) <= 2
 
 
-def test_extraction_is_closed_and_numbered(spark):
+def test_extraction_is_closed_and_numbered():
     base = bpe.BpeModel()
     base.add("a", "b")
-    tokens, merges = ["abc", "de"], [("ab", "c"), ("d", "e")]
-    vocab, extended = bpe.extract(tokens, merges, base, 10_000)
-    assert {"ab", "abc", "de"} <= set(vocab) and extended.vocab["abc"] == len(base.vocab)
+    size = len(base.vocab)
+    sub, extended = bpe.extract([("ab", "c"), ("x",), ("d", "e")], base, 10_000)
+    assert {"ab", "abc", "de"} <= set(sub.vocab) and extended.vocab["abc"] == size and extended.merges[-2:] == [("ab", "c"), ("d", "e")]
+    assert list(sub.vocab.values()) == list(range(len(sub.vocab))) and sub.merges == [("a", "b"), ("ab", "c"), ("d", "e")]
     assert bpe.closure("abc", {"ab": ("a", "b"), "abc": ("ab", "c")}) == ["a", "b", "ab", "c", "abc"]
+    with pytest.raises(ValueError):
+        bpe.extract([("zz", "c")], base, 10_000)
+
+
+def test_a_budget_that_bites_keeps_the_rest_out_of_the_global_model():
+    base = bpe.BpeModel()
+    base.add("a", "b")
+    start = len(base.vocab) - 1
+    sub, extended = bpe.extract([("d", "e"), ("ab", "c"), ("f", "g")], base, start + 2)
+    # d + e and then ab + c with ab, one more than the budget: the highest id goes.
+    assert len(sub.vocab) == start + 2 and set(sub.vocab) - set(base.vocab) == {"de"} and "ab" in sub.vocab
+    assert extended.merges == [("a", "b"), ("d", "e")] and "fg" not in extended.vocab
 
 
 def test_sequential_training(spark):
-    size = len(bpe.base_vocabulary()) + 3
-    model, by_lang = bpe.train_sequential([("en", docs(spark, ["the the then"])), ("fr", docs(spark, ["le les les"]))], size, 4)
-    assert set(by_lang) == {"en", "fr"} and all(i in model.vocab.values() for v in by_lang.values() for i in v.values())
-    assert all(a in model.vocab and b in model.vocab and a + b in model.vocab for a, b in model.merges)
+    size = len(bpe.base_vocabulary()) + 6
+    texts = {"en": ["the the then"], "fr": ["le les les"], "xx": [None]}
+    steps = bpe.train_sequential([(x, docs(spark, t)) for x, t in texts.items()], size, 4)
+    assert [s.lang for s in steps] == list(texts)
+    model = naive_train(texts["en"], size)
+    for step in steps[1:]:
+        assert step.units == naive_continue(texts[step.lang], model, 4)
+        assert len(step.extracted.vocab) <= size
+        new = [t for t in step.extracted.vocab if t not in model.vocab]
+        for t in new:
+            model.vocab[t] = len(model.vocab)
+        assert list(step.model.vocab) == list(model.vocab) and step.model.merges[: len(model.merges)] == model.merges and len(step.model.merges) == len(model.merges) + len(new)
+        model = step.model
 
 
 def test_token_counts_keep_zeros_and_totals(spark):
