@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,11 +48,33 @@ def token_f1(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(best, "id", "left").select("id", F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
-def bleu_words(text: Column | str) -> Column:
-    """Lower-case words with punctuation split off (13a-like)."""
-    text = F.col(text) if isinstance(text, str) else text
-    spaced = F.regexp_replace(F.lower(text), r"([!-/:-@\[-`{-~])", " $1 ")
-    return F.filter(F.split(F.trim(F.regexp_replace(spaced, r"[\t-\r\x{85}\p{Z}]+", " ")), " "), lambda w: w != "")
+#: The split of the standard BLEU tokenizers (13a) as (pattern, replacement), applied in order to a text between blanks.
+BLEU_SPLIT = (
+    (r"([{-~\[-` -&(-+:-@/])", " $1 "),
+    (r"([^0-9])([.,])", "$1 $2 "),
+    (r"([.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+#: Entities and breaks that the 13a tokenizer undoes first, and the code points that its Chinese variant sets apart.
+BLEU_UNDONE = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", "\""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+CHINESE = (
+    "\\x{2600}-\\x{27bf}\\x{2e80}-\\x{2fdf}\\x{2ff0}-\\x{303f}\\x{3100}-\\x{312f}\\x{31a0}-\\x{31bf}\\x{31c0}-\\x{31ef}\\x{3200}-\\x{33ff}\\x{3400}-\\x{4db5}\\x{4e00}-\\x{9fbb}"
+    "\\x{f900}-\\x{fa2d}\\x{fa30}-\\x{fa6a}\\x{fa70}-\\x{fad9}\\x{fe10}-\\x{fe1f}\\x{fe30}-\\x{fe4f}\\x{ff00}-\\x{ffef}"
+)
+
+
+def bleu_words(text: Column | str, chinese: Column | None = None) -> Column:
+    """Lower-case words of a text as the 13a tokenizer splits them; where ``chinese`` holds, as its Chinese variant does: every such character alone."""
+    text = F.lower(F.col(text) if isinstance(text, str) else text)
+    plain = text
+    for old, new in BLEU_UNDONE:
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    if chinese is not None:
+        plain = F.when(chinese, F.regexp_replace(F.trim(text), f"([{CHINESE}])", " $1 ")).otherwise(plain)
+    plain = F.concat(F.lit(" "), plain, F.lit(" "))
+    for pattern, new in BLEU_SPLIT:
+        plain = F.regexp_replace(plain, pattern, new)
+    return F.filter(F.split(F.trim(F.regexp_replace(plain, r"[\t-\r\x{85}\p{Z}]+", " ")), " "), lambda w: w != "")
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -59,36 +83,68 @@ def _grams(words: Column, n: int) -> Column:
     )
 
 
-def bleu_counts(pairs: DataFrame, longest: int = 4) -> DataFrame:
-    """(id, hypothesis, reference) -> (n, matched, total): clipped matches and n-grams of the corpus."""
-    parts = pairs.select("id", bleu_words("hypothesis").alias("h"), bleu_words("reference").alias("r"))
-    out = None
-    for n in range(1, longest + 1):
-        count = lambda side: parts.select("id", F.explode(_grams(F.col(side), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias(f"n_{side}"))  # noqa: B023, E731
-        both = count("h").join(count("r"), ["id", "g"], "left")
-        row = both.agg(F.lit(n).alias("n"), F.coalesce(F.sum(F.least("n_h", "n_r")), F.lit(0)).alias("matched"), F.coalesce(F.sum("n_h"), F.lit(0)).alias("total"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def _bleu_parts(pairs: DataFrame, by: Sequence[str], chinese: Column | None) -> DataFrame:
+    return pairs.select(*by, "id", bleu_words("hypothesis", chinese).alias("h"), bleu_words("reference", chinese).alias("r"))
+
+
+def bleu_counts(pairs: DataFrame, *by: str, longest: int = 4, chinese: Column | None = None) -> DataFrame:
+    """(by..., id, hypothesis, reference) -> (by..., n, matched, total): clipped matches and n-grams of the corpus.
+
+    Both sides are counted in one pass over all lengths.
+    """
+    parts = _bleu_parts(pairs, by, chinese)
+    grams = lambda side: F.flatten(F.array(*(F.transform(_grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("g"))) for n in range(1, longest + 1))))  # noqa: B023, E731
+    each = parts.select(*by, "id", F.explode(F.concat(grams("h"), grams("r"))).alias("x")).groupBy(*by, "id", "x.n", "x.g")
+    counts = each.agg(F.count(F.when(F.col("x.side") == "h", 1)).alias("n_h"), F.count(F.when(F.col("x.side") == "r", 1)).alias("n_r"))
+    sums = counts.groupBy(*by, "n").agg(F.sum(F.least("n_h", "n_r")).alias("matched"), F.sum("n_h").alias("total"))
+    groups = pairs.select(*by).distinct() if by else pairs.sparkSession.range(1).select()
+    lengths = groups.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest))))
+    filled = lengths.join(sums, [*by, "n"], "left")
+    return filled.select(*by, "n", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def bleu(pairs: DataFrame, *by: str, longest: int = 4, chinese: Column | None = None) -> DataFrame:
+    """(by..., hyp_len, ref_len, bleu): corpus BLEU of up to four words with brevity penalty, in percent.
+
+    Lengths without a match are smoothed exponentially: the first counts 1/2 match, the next 1/4 and so on. Without any match, or where
+    no hypothesis is long enough, it is 0.
+    """
+    sizes = _bleu_parts(pairs, by, chinese).groupBy(*by).agg(F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("hyp_len"), F.coalesce(F.sum(F.size("r")), F.lit(0)).alias("ref_len"))
+    counts = bleu_counts(pairs, *by, longest=longest, chinese=chinese).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "matched", "total"))).alias("c"))
+    counts = counts.withColumn("zeros", F.transform("c", lambda x: F.size(F.filter("c", lambda y: (y["matched"] == 0) & (y["n"] <= x["n"])))))
+    logs = F.transform(F.arrays_zip("c", "zeros"), lambda x: F.when(x["c"]["matched"] > 0, F.log(x["c"]["matched"] / F.nullif(x["c"]["total"], F.lit(0)))).otherwise(-F.log(F.pow(F.lit(2.0), x["zeros"]) * F.nullif(x["c"]["total"], F.lit(0)))))
+    counts = counts.withColumn("logs", logs).withColumn("any", F.exists("c", lambda x: x["matched"] > 0) & F.forall("c", lambda x: x["total"] > 0))
+    mean = F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + x) / longest
+    both = sizes.join(counts, list(by)) if by else sizes.join(F.broadcast(counts))
+    penalty = F.when(F.col("hyp_len") >= F.col("ref_len"), F.lit(0.0)).otherwise(1 - F.col("ref_len") / F.nullif(F.col("hyp_len"), F.lit(0)))
+    return both.select(*by, "hyp_len", "ref_len", F.when(F.col("any"), 100 * F.exp(mean + penalty)).otherwise(F.lit(0.0)).alias("bleu"))
 
 
-def bleu(pairs: DataFrame) -> DataFrame:
-    """(hyp_len, ref_len, bleu): corpus BLEU of up to four words with brevity penalty, in percent; 0 where some length has no match."""
-    lengths = pairs.agg(F.coalesce(F.sum(F.size(bleu_words("hypothesis"))), F.lit(0)).alias("hyp_len"), F.coalesce(F.sum(F.size(bleu_words("reference"))), F.lit(0)).alias("ref_len"))
-    logs = bleu_counts(pairs).agg(F.min("matched").alias("least"), F.avg(F.when(F.col("matched") > 0, F.log(F.col("matched") / F.col("total")))).alias("mean"))
-    both = lengths.withColumn("one", F.lit(1)).join(logs.withColumn("one", F.lit(1)), "one")
-    penalty = F.when(F.col("hyp_len") >= F.col("ref_len"), F.lit(0.0)).otherwise(1 - F.col("ref_len") / F.col("hyp_len"))
-    score = F.when(F.col("least") > 0, 100 * F.exp(F.col("mean") + penalty)).otherwise(F.lit(0.0))
-    return both.select("hyp_len", "ref_len", score.alias("bleu"))
+_WORD = re.compile("[a-z0-9]+")
+
+
+def rouge_words(text: str | None, stemmed: bool = True) -> list[str]:
+    """Lower-case runs of ASCII letters and digits; with ``stemmed`` those of more than three are stemmed."""
+    found = _WORD.findall((text or "").lower())
+    return [stem(w) if len(w) > 3 else w for w in found] if stemmed else found
 
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    """(id, hypothesis, reference) -> (id, f): F-measure of shared n-grams of lower-case alphanumeric words."""
+    """(id, hypothesis, reference) -> (id, f): F-measure of shared n-grams of lower-case alphanumeric words, not stemmed; all in built-ins."""
     word = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     parts = pairs.select("id", _grams(word("hypothesis"), n).alias("h"), _grams(word("reference"), n).alias("r"))
-    count = lambda side: parts.select("id", F.explode(side).alias("g")).groupBy("id", "g").agg(F.count("*").alias(f"n_{side}"))
-    same = count("h").join(count("r"), ["id", "g"]).groupBy("id").agg(F.sum(F.least("n_h", "n_r")).alias("same"))
-    scored = parts.join(same, "id", "left").withColumn("same", F.coalesce("same", F.lit(0)))
-    return scored.select("id", F.when(F.col("same") == 0, F.lit(0.0)).otherwise(2.0 * F.col("same") / (F.size("h") + F.size("r"))).alias("f"))
+    side = lambda s: F.transform(s, lambda g: F.struct(F.lit(s).alias("side"), g.alias("g")))
+    each = parts.select("id", F.explode(F.concat(side("h"), side("r"))).alias("x")).groupBy("id", "x.g")
+    counts = each.agg(F.count(F.when(F.col("x.side") == "h", 1)).alias("n_h"), F.count(F.when(F.col("x.side") == "r", 1)).alias("n_r"))
+    f = F.when(F.sum(F.least("n_h", "n_r")) == 0, F.lit(0.0)).otherwise(2.0 * F.sum(F.least("n_h", "n_r")) / (F.sum("n_h") + F.sum("n_r")))
+    scored = counts.groupBy("id").agg(f.alias("f"))
+    return pairs.select("id").join(scored, "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("f"))
+
+
+def _shared(a: list, b: list) -> float:
+    """F-measure of two multisets."""
+    same = (Counter(a) & Counter(b)).total()
+    return 2 * same / (len(a) + len(b)) if same else 0.0
 
 
 def _lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -120,46 +176,52 @@ def _lcs_hits(reference: Sequence[str], sentences: Sequence[Sequence[str]]) -> s
     return hits
 
 
-def rouge_l(pairs: DataFrame, summary_level: bool = False) -> DataFrame:
-    """(id, hypothesis, reference) -> (id, f): F-measure of the longest common subsequence of stemmed words.
+def rouge_of(hypothesis: str | None, reference: str | None, stemmed: bool = True) -> tuple[float, float, float, float]:
+    """ROUGE-1, -2, -L and -Lsum of two texts: F-measures of shared words, neighbours, the longest common subsequence and, with lines as
+    sentences, the union of subsequences of each reference line with all lines."""
+    h, r = rouge_words(hypothesis, stemmed), rouge_words(reference, stemmed)
+    f = lambda same, n, m: 2 * same / (n + m) if same else 0.0
+    hyp, ref = ([rouge_words(x, stemmed) for x in (t or "").split("\n") if x.strip()] for t in (hypothesis, reference))
+    left_h, left_r, same = Counter(w for x in hyp for w in x), Counter(w for x in ref for w in x), 0
+    for line in ref:
+        for at in sorted(_lcs_hits(line, hyp)):
+            if left_h[line[at]] > 0 and left_r[line[at]] > 0:
+                same += 1
+                left_h[line[at]] -= 1
+                left_r[line[at]] -= 1
+    return _shared(h, r), _shared(list(zip(h, h[1:])), list(zip(r, r[1:]))), f(_lcs(h, r), len(h), len(r)), f(same, sum(map(len, hyp)), sum(map(len, ref)))
 
-    With ``summary_level`` lines are sentences and each reference line takes the union of its subsequences with all lines.
-    """
-    import re
 
-    word = re.compile("[a-z0-9]+")
+def rouge(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(id, hypothesis, reference) -> (id, rouge1, rouge2, rougeL, rougeLsum) of stemmed words; null texts count as empty."""
+    names = ["id", "rouge1", "rouge2", "rougeL", "rougeLsum"]
 
-    def words(text: str) -> list[str]:
-        return [stem(w) if len(w) > 3 else w for w in word.findall(text.lower())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [rouge_of(h, r, stemmed) for h, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            columns = list(zip(*scores)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], names)
 
-    def score(h: str, r: str) -> float:
-        if summary_level:
-            hyp, ref = ([words(x) for x in t.split("\n") if x.strip()] for t in (h, r))
-            same, n, m = sum(len(_lcs_hits(x, hyp)) for x in ref), sum(map(len, hyp)), sum(map(len, ref))
-        else:
-            a, b = words(h), words(r)
-            same, n, m = _lcs(a, b), len(a), len(b)
-        return 2 * same / (n + m) if same else 0.0
+    return pairs.select(F.col("id").cast("long"), "hypothesis", "reference").mapInArrow(run, "id long, rouge1 double, rouge2 double, rougeL double, rougeLsum double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf.id, "f": [score(h or "", r or "") for h, r in zip(pdf.hypothesis, pdf.reference)]})
 
-    return pairs.select(F.col("id").cast("long"), "hypothesis", "reference").mapInPandas(run, "id long, f double")
+def corpus_rouge(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(n_examples, rouge1, rouge2, rougeL, rougeLsum): means over all examples."""
+    return rouge(pairs, stemmed).agg(F.count("*").alias("n_examples"), *(F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")))
 
 
-def choice_accuracy(scores: DataFrame) -> DataFrame:
-    """(id, choice, full_ce, answer_ce, prompt_ce, n_chars, gold) -> accuracies: the choice of least cost as it is, by its
-    characters beyond the prompt, and less the cost of the answer alone. Of equal costs the first choice; nulls never win."""
-    costs = {"unnormalized": F.col("full_ce"), "length_normalized": (F.col("full_ce") - F.col("prompt_ce")) / F.col("n_chars"), "prob_normalized": F.col("full_ce") - F.col("answer_ce")}
-    best = scores.groupBy("id").agg(F.first("gold").alias("gold"), *(F.min(F.when(c.isNotNull(), F.struct(c.alias("c"), F.col("choice")))).alias(name) for name, c in costs.items()))
-    return best.agg(F.count("*").alias("n_examples"), *(F.avg(F.coalesce((F.col(name)["choice"] == F.col("gold")).cast("double"), F.lit(0.0))).alias(name) for name in costs))
+def choice_accuracy(scores: DataFrame, *by: str) -> DataFrame:
+    """(by..., id, choice, full_ce, answer_ce, prompt_ce, n_chars, gold) -> accuracies by group: the choice of least cost as it is, by its
+    characters beyond the prompt, and less the cost of the answer alone. Of equal costs the first choice; nulls never win, nor do choices without characters by characters."""
+    costs = {"unnormalized": F.col("full_ce"), "length_normalized": (F.col("full_ce") - F.col("prompt_ce")) / F.nullif("n_chars", F.lit(0)), "prob_normalized": F.col("full_ce") - F.col("answer_ce")}
+    best = scores.groupBy(*by, "id").agg(F.first("gold").alias("gold"), *(F.min(F.when(c.isNotNull(), F.struct(c.alias("c"), F.col("choice")))).alias(name) for name, c in costs.items()))
+    return best.groupBy(*by).agg(F.count("*").alias("n_examples"), *(F.avg(F.coalesce((F.col(name)["choice"] == F.col("gold")).cast("double"), F.lit(0.0))).alias(name) for name in costs))
 
 
-def letter_accuracy(logits: DataFrame) -> DataFrame:
-    """(id, choice, logit, gold) -> (n_examples, acc): the choice of greatest logit, of equal ones the first."""
-    best = logits.groupBy("id").agg(F.first("gold").alias("gold"), F.max(F.struct("logit", (-F.col("choice")).alias("c"))).alias("m"))
-    return best.agg(F.count("*").alias("n_examples"), F.avg((-F.col("m.c") == F.col("gold")).cast("double")).alias("acc"))
+def letter_accuracy(logits: DataFrame, *by: str) -> DataFrame:
+    """(by..., id, choice, logit, gold) -> (by..., n_examples, acc): the choice of greatest logit, of equal ones the first."""
+    best = logits.groupBy(*by, "id").agg(F.first("gold").alias("gold"), F.max(F.struct("logit", (-F.col("choice")).alias("c"))).alias("m"))
+    return best.groupBy(*by).agg(F.count("*").alias("n_examples"), F.avg(F.coalesce((-F.col("m.c") == F.col("gold")).cast("double"), F.lit(0.0))).alias("acc"))
 
 
 def macro_average(by_topic: DataFrame, *metrics: str) -> DataFrame:

@@ -555,92 +555,6 @@ def answer_exact_match(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rec_id", metrics.exact_match(F.col("choices")[0], "choices").alias("em"))
 
 
-def _bleu_sql(n: int) -> str:
-    gram = f"unnest(CASE WHEN len({{0}}) < {n} THEN [] ELSE list_transform(range(1, len({{0}}) - {n} + 2), lambda i: array_to_string({{0}}[i:i + {n - 1}], ' ')) END)"
-    count = "SELECT id, g, count(*) AS n FROM (SELECT id, {1} AS g FROM w) GROUP BY ALL"
-    return (
-        f"SELECT {n} AS n, coalesce(sum(least(a.n, b.n)), 0)::BIGINT AS matched, coalesce(sum(a.n), 0)::BIGINT AS total FROM ({count.format(0, gram.format('h'))}) a LEFT JOIN ({count.format(0, gram.format('r'))}) b ON a.id = b.id AND a.g = b.g"
-    )
-
-
-_BLEU = f"WITH {_XL}, w AS MATERIALIZED (SELECT id, {O.bleu_words('title')} AS h, {O.bleu_words('summary')} AS r FROM (SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary FROM x))"
-
-
-@query(f"{_BLEU} " + " UNION ALL ".join(_bleu_sql(n) for n in range(1, 5)))
-def bleu_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Clipped matches of n-grams of titles in summaries."""
-    return metrics.bleu_counts(_titles_and_summaries(spark, folder))
-
-
-@query(
-    f"{_BLEU}, c AS ({' UNION ALL '.join(_bleu_sql(n) for n in range(1, 5))}), l AS (SELECT coalesce(sum(len(h)), 0)::BIGINT AS hyp_len, coalesce(sum(len(r)), 0)::BIGINT AS ref_len FROM w) "
-    "SELECT hyp_len, ref_len, round(CASE WHEN (SELECT min(matched) FROM c) > 0 THEN 100 * exp((SELECT avg(ln(matched / total)) FROM c) + CASE WHEN hyp_len >= ref_len THEN 0 ELSE 1 - ref_len / hyp_len END) ELSE 0.0 END, 9) AS bleu FROM l"
-)
-def corpus_bleu(spark: SparkSession, folder: str) -> DataFrame:
-    """BLEU of titles against summaries."""
-    return metrics.bleu(_titles_and_summaries(spark, folder)).withColumn("bleu", F.round("bleu", 9))
-
-
-def _rouge_sql(n: int) -> str:
-    words_ = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
-    gram = f"CASE WHEN len({{0}}) < {n} THEN [] ELSE list_transform(range(1, len({{0}}) - {n} + 2), lambda i: array_to_string({{0}}[i:i + {n - 1}], ' ')) END"
-    return (
-        f"WITH {_XL}, w AS (SELECT id, {words_.format('title')} AS h, {words_.format('summary')} AS r FROM x), g AS MATERIALIZED (SELECT id, {gram.format('h')} AS h, {gram.format('r')} AS r FROM w), "
-        "a AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(h) AS t FROM g) GROUP BY ALL), b AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(r) AS t FROM g) GROUP BY ALL), "
-        "s AS (SELECT a.id, sum(least(a.n, b.n)) AS same FROM a JOIN b ON a.id = b.id AND a.t = b.t GROUP BY a.id) SELECT g.id, round(coalesce(2.0 * same / (len(h) + len(r)), 0.0), 9) AS f FROM g LEFT JOIN s USING (id)"
-    )
-
-
-@query(_rouge_sql(1))
-def rouge_1(spark: SparkSession, folder: str) -> DataFrame:
-    """ROUGE-1 of titles against summaries."""
-    return metrics.rouge_n(_titles_and_summaries(spark, folder), 1).select("id", F.round("f", 9).alias("f"))
-
-
-@query(_rouge_sql(2))
-def rouge_2(spark: SparkSession, folder: str) -> DataFrame:
-    """ROUGE-2 of titles against summaries."""
-    return metrics.rouge_n(_titles_and_summaries(spark, folder), 2).select("id", F.round("f", 9).alias("f"))
-
-
-@query()
-def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
-    """ROUGE-L of titles against summaries, words stemmed."""
-    return metrics.rouge_l(_titles_and_summaries(spark, folder)).select("id", F.round("f", 9).alias("f"))
-
-
-@query(
-    f"WITH {O.ALL_WORDS}, t AS (SELECT ln(sum(freq) + count(*)) AS z FROM words), q AS MATERIALIZED (SELECT DISTINCT rec_id AS id, coalesce(question, '') AS question, choices, answer AS gold FROM std_items WHERE len(choices) > 0), "
-    "e AS MATERIALIZED (SELECT id, unnest(range(len(choices))) AS choice, unnest(choices) AS text, gold FROM q), "
-    f"ce AS (SELECT id, choice, sum(z - ln(coalesce(freq, 0) + 1)) AS c FROM (SELECT id, choice, unnest({O.WORDS_OF}) AS word FROM e) LEFT JOIN words USING (word), t GROUP BY ALL), "
-    f"qe AS (SELECT id, sum(z - ln(coalesce(freq, 0) + 1)) AS c FROM (SELECT id, unnest(regexp_extract_all(question, '{O.PRETOKEN}')) AS word FROM q) LEFT JOIN words USING (word), t GROUP BY ALL), "
-    "s AS (SELECT e.id, e.choice, gold, round(coalesce(qe.c, 0), 6) AS p, round(coalesce(ce.c, 0), 6) AS a, length(text) AS n FROM e LEFT JOIN ce ON ce.id = e.id AND ce.choice = e.choice LEFT JOIN qe ON qe.id = e.id), "
-    "b AS (SELECT id, any_value(gold) AS gold, min(row(round(p + a, 6), choice)) AS u, min(row(round(a / n, 9), choice)) FILTER (n > 0) AS l FROM s GROUP BY id) "
-    "SELECT count(*) AS n_examples, round(avg((u[2] = gold)::INT), 9) AS unnormalized, round(avg(coalesce((l[2] = gold)::INT, 0)), 9) AS length_normalized FROM b"
-)
-def mcq_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """Accuracy of choices scored by a word model of the documents."""
-    freq = cut(words.word_frequencies(_docs(spark, folder)))
-    z = freq.agg(F.log(F.sum("freq") + F.count("*")).alias("z")).first().z or 0.0
-    items = table(spark, folder, "std_items").where("size(choices) > 0").select(F.col("rec_id").alias("id"), F.coalesce("question", F.lit("")).alias("question"), "choices", F.col("answer").alias("gold")).distinct()
-
-    def cost(rows: DataFrame, *key: str) -> DataFrame:
-        parts = rows.select(*key, F.explode(words.pretokens("text")).alias("word")).join(freq, "word", "left")
-        return parts.groupBy(*key).agg(F.round(F.sum(F.lit(z) - F.log(F.coalesce("freq", F.lit(0)) + 1)), 6).alias("c"))
-
-    each = items.select("id", "gold", F.posexplode("choices").alias("choice", "text"))
-    prompt = cost(items.select("id", F.col("question").alias("text")), "id").withColumnRenamed("c", "p")
-    answer = cost(each, "id", "choice").withColumnRenamed("c", "a")
-    scored = each.join(answer, ["id", "choice"], "left").join(prompt, "id", "left").na.fill(0.0, ["a", "p"])
-    n = F.when(F.length("text") > 0, F.length("text"))
-    rows = scored.select("id", "choice", F.round(F.col("p") + F.col("a"), 6).alias("full_ce"), F.col("a").alias("answer_ce"), F.col("p").alias("prompt_ce"), n.alias("n_chars"), "gold")
-    # Differences of rounded sums are rounded again, so that ties are ties on either engine.
-    exact = rows.withColumn("full_ce", F.col("full_ce")).withColumn("length", F.round(F.col("answer_ce") / F.col("n_chars"), 9))
-    best = exact.groupBy("id").agg(F.first("gold").alias("gold"), F.min(F.struct("full_ce", "choice")).alias("u"), F.min(F.when(F.col("length").isNotNull(), F.struct("length", "choice"))).alias("l"))
-    hit = lambda c: F.coalesce((F.col(f"{c}.choice") == F.col("gold")).cast("int"), F.lit(0))
-    return best.agg(F.count("*").alias("n_examples"), F.round(F.avg(hit("u")), 9).alias("unnormalized"), F.round(F.avg(hit("l")), 9).alias("length_normalized"))
-
-
 def _rates_sql() -> str:
     warm = "CASE WHEN s < 500 THEN 0.0005 * s / 500 WHEN s < {0} THEN 0.0005 ELSE {1} END"
     done = "least(1.0, (s - {0}) / {1})"

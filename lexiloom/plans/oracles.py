@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.functions.text import PRETOKEN, WHITE
+from lexiloom.operators.metrics import BLEU_SPLIT, BLEU_UNDONE, CHINESE
 
 #: Words of a text, and words by raw language label.
 WORDS_OF = f"regexp_extract_all(text, '{PRETOKEN}')"
@@ -67,10 +68,18 @@ def answer_words(c: str) -> str:
     return f"list_filter(string_split(trim(regexp_replace({bare}, '[{WHITE}]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
 
 
-def bleu_words(c: str) -> str:
-    """Lower-case words with punctuation split off."""
-    spaced = f"regexp_replace(lower({c}), '([!-/:-@\\[-`{{-~])', ' \\1 ', 'g')"
-    return f"list_filter(string_split(trim(regexp_replace({spaced}, '[{WHITE}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+def bleu_words(c: str, chinese: str | None = None) -> str:
+    """Lower-case words by the 13a tokenizer, or its Chinese variant where ``chinese`` holds."""
+    undone = f"lower({c})"
+    for old, new in BLEU_UNDONE:
+        undone = f"replace({undone}, '{old}', '{new}')".replace("\n", "' || chr(10) || '")
+    if chinese is not None:
+        undone = f"CASE WHEN {chinese} THEN regexp_replace(trim(lower({c})), '([{CHINESE}])', ' \\1 ', 'g') ELSE {undone} END"
+    out = f"(' ' || {undone} || ' ')"
+    for pattern, new in BLEU_SPLIT:
+        sql = new.replace("$", "\\")
+        out = f"regexp_replace({out}, '{pattern}', '{sql}', 'g')"
+    return f"list_filter(string_split(trim(regexp_replace({out}, '[{WHITE}]+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
 def continued_bpe(k: int, longest: int | None = None) -> str:

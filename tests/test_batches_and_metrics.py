@@ -82,15 +82,43 @@ def test_answers(spark):
     assert rows(pairs.select(M.exact_match(F.lit("The x!"), "golds"))) == [(0.0,), (0.0,), (1.0,)]
 
 
-def test_bleu_and_rouge(spark):
-    same = spark.createDataFrame([(1, "The cat sat on the mat.", "the cat sat on the mat."), (2, "", "x")], "id long, hypothesis string, reference string")
+def test_bleu_words(spark):
+    split = lambda t, zh=None: spark.createDataFrame([(t,)], "s string").select(M.bleu_words("s", zh)).first()[0]
+    assert split("It costs $1,000.50, don't-you? (Yes) 3-4 a&amp;b &quot;x&quot;") == ["it", "costs", "$", "1,000.50", ",", "don't-you", "?", "(", "yes", ")", "3", "-", "4", "a", "&", "b", '"', "x", '"']
+    assert split("end-\nless\nline. v1.5.") == ["endless", "line", ".", "v1.5", "."]
+    assert split("我们有2个 apples。", F.lit(True)) == ["我", "们", "有", "2", "个", "apples", "。"]
+    assert split("我们有2个", F.lit(False)) == ["我们有2个"] and split("") == []
+
+
+def test_bleu(spark):
+    pairs = [(1, "The cat sat on the mat.", "the cat sat on the mat."), (2, "", "x"), (3, "the the the the", "the cat"), (4, "a b c d e", "a b x d e f")]
+    same = spark.createDataFrame(pairs, "id long, hypothesis string, reference string")
     assert M.bleu(same.where("id = 1")).first().bleu == pytest.approx(100.0)
-    assert M.bleu(same.where("id = 2")).first().bleu == 0.0
-    assert rows(M.rouge_n(same, 2)) == [(1, 1.0), (2, 0.0)]
-    assert rows(M.rouge_l(same)) == [(1, 1.0), (2, 0.0)]
-    two = spark.createDataFrame([(1, "b a\nc", "a b\nc d")], "id long, hypothesis string, reference string")
-    assert rows(M.rouge_l(two, summary_level=True)) == [(1, pytest.approx(2 * 2 / 7))]
-    assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "generalization", "sky", "agreed")] == ["caress", "poni", "relat", "hop", "gener", "sky", "agre"]
+    assert M.bleu(same.where("id = 2")).first().bleu == 0.0 and M.bleu(same.where("false")).first().bleu == 0.0
+    # Matches 1 of 4, then 0 of 3, 2 and 1: smoothed to 1/2, 1/4 and 1/8 of a match.
+    assert M.bleu(same.where("id = 3")).first().bleu == pytest.approx(100 * (1 / 4 * 1 / 6 * 1 / 8 * 1 / 8) ** 0.25)
+    assert M.bleu(same.where("id = 4")).first().bleu == pytest.approx(100 * math.exp(1 - 6 / 5) * (4 / 5 * 2 / 4 * 1 / 6 * 1 / 8) ** 0.25)
+    by = {r.id2: r.bleu for r in M.bleu(same.withColumn("id2", F.col("id")), "id2").collect()}
+    assert by[1] == pytest.approx(100.0) and by[2] == 0.0 and len(by) == 4
+
+
+def test_rouge(spark):
+    pairs = [(1, "The cats sat.", "the cat sat"), (2, None, "x"), (3, "police killed the gunman", "police kill the gunman"), (4, "w1 w2 w3 w4 w5", "w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5")]
+    got = {r.id: r[1:] for r in M.rouge(spark.createDataFrame(pairs, "id long, hypothesis string, reference string")).collect()}
+    assert got[1] == pytest.approx((1, 1, 1, 1)) and got[2] == (0, 0, 0, 0) and got[3] == pytest.approx((1, 1, 1, 1))
+    # The union of both lines' subsequences is w1 w2 w3 w5, of 5 and 10 words.
+    assert got[4][3] == pytest.approx(2 * 4 / 15)
+    plain = M.rouge(spark.createDataFrame(pairs[2:3], "id long, hypothesis string, reference string"), stemmed=False).first()
+    assert plain[1:] == pytest.approx((3 / 4, 1 / 3, 3 / 4, 3 / 4))
+
+
+def test_stems():
+    known = {
+        "caresses": "caress", "ponies": "poni", "ties": "tie", "dies": "die", "died": "die", "tried": "tri", "relational": "relat", "hopping": "hop", "generalization": "gener", "sky": "sky", "skies": "sky", "agreed": "agre",
+        "dying": "die", "news": "news", "happy": "happi", "enjoy": "enjoy", "say": "say", "by": "by", "cry": "cri", "geology": "geolog", "possibly": "possibl", "hopefully": "hope", "controlling": "control", "proceed": "proceed",
+        "national": "nation", "feed": "feed", "filing": "file", "falling": "fall", "formaliti": "formal", "triplicate": "triplic", "electrical": "electr", "adoption": "adopt", "probate": "probat", "cease": "ceas",
+    }
+    assert {w: stem(w) for w in known} == known
 
 
 def test_choices(spark):
