@@ -75,11 +75,27 @@ def snapshot(stream: DataFrame, parts: DataFrame, taken: DataFrame) -> DataFrame
 
 def restore(stream: DataFrame, state: DataFrame) -> DataFrame:
     """``stream`` without what a snapshot says is consumed: documents after the last one, and the rest of that."""
-    joined = stream.join(state, ["lang", "subtok"], "left")
+    joined = stream.join(state.select("lang", "subtok", "last_pos", "last_n_tokens"), ["lang", "subtok"], "left")
     ahead = joined.where(F.col("last_pos").isNull() | (F.col("pos") >= F.col("last_pos")))
     used = F.when(F.col("pos") == F.col("last_pos"), F.col("last_n_tokens")).otherwise(F.lit(0))
     out = ahead.withColumn("used", F.coalesce(used, F.lit(0))).where("used < n_tokens")
-    return out.drop("last_pos", "last_n_tokens", "anchor_pos")
+    return out.drop("last_pos", "last_n_tokens")
+
+
+def restore_faults(stream: DataFrame, state: DataFrame, then: dict[str, object], now: dict[str, object]) -> list[str]:
+    """Why a snapshot doesn't fit a stream; empty if it does.
+
+    ``then`` and ``now`` are the facts that have to be the same (world size, rank, seed); the buffers have to be the same too, and no
+    buffer may have been read further than the stream goes.
+    """
+    faults = [f"{k}: {then.get(k)!r} then, {now.get(k)!r} now" for k in sorted({*then, *now}) if then.get(k) != now.get(k)]
+    ends = stream.groupBy("lang", "subtok").agg(F.max("pos").alias("end")).withColumn("here", F.lit(True))
+    both = ends.join(state.withColumn("there", F.lit(True)), ["lang", "subtok"], "full")
+    counts = both.agg(
+        F.count(F.when(F.col("there").isNull(), 1)).alias("new"), F.count(F.when(F.col("here").isNull(), 1)).alias("gone"), F.count(F.when(F.greatest("last_pos", "anchor_pos") > F.col("end"), 1)).alias("beyond")
+    ).first()
+    names = {"new": "buffers that the snapshot lacks", "gone": "buffers that are gone", "beyond": "buffers read beyond the stream"}
+    return faults + [f"{name}: {counts[k]}" for k, name in names.items() if counts[k]]
 
 
 def padded(tokens: Column, length: int, pad: int, left: bool = False) -> Column:
@@ -90,5 +106,6 @@ def padded(tokens: Column, length: int, pad: int, left: bool = False) -> Column:
 
 
 def numbered_batches(items: DataFrame, order: str, size: int) -> DataFrame:
-    """``items`` with ``batch``: groups of ``size`` in order, the last one may be short."""
-    return items.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """``items`` with ``batch``: groups of ``size`` in order of the whole number ``order``, the last one may be short."""
+    ranked = rank_from_zero(items.withColumn("_block", block_of(order)), [], ["_block"], [order], "_rank")
+    return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).drop("_block", "_rank")

@@ -66,6 +66,11 @@ class ModularTokenizer:
 
         return docs.select(F.col("doc_id").cast("long"), pretokens("text").alias("words")).mapInArrow(run, "doc_id long, tokens array<int>")
 
+    def truncate(self, docs: DataFrame, budget: int, subtok: str | None = None) -> DataFrame:
+        """(doc_id, tokens, text): the first ``budget`` tokens of each text and the text they stand for."""
+        tokens = self.encode(docs, subtok, bos=False, eos=False).withColumn("tokens", F.slice("tokens", 1, budget))
+        return tokens.join(self.decode(tokens), "doc_id")
+
     def decode(self, tokens: DataFrame) -> DataFrame:
         """(doc_id, tokens) -> (doc_id, text): padding and unknown tokens dropped, cut at a second begin or end token, bytes that are no UTF-8 replaced."""
         vocab = self.model.vocab
@@ -85,9 +90,27 @@ class ModularTokenizer:
         return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
 
 
+def _translated(tokens: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """Arrays of ids mapped by ``pairs`` (key, value), which are tokenizer-sized, in Arrow batches of the workers."""
+    shared = tokens.sparkSession.sparkContext.broadcast({r.key: r.value for r in pairs.collect()})
+    at, names = tokens.columns.index(column), tokens.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows = [None if x is None else [known[i] for i in x] for x in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return tokens.mapInArrow(run, tokens.schema)
+
+
 def sub_to_global(tokens: DataFrame, mapping: DataFrame, column: str = "tokens") -> DataFrame:
-    """Arrays of subtokenizer ids as global ids; ``mapping`` (sub_id, global_id) is tokenizer-sized."""
-    pairs = mapping.agg(F.map_from_entries(F.collect_list(F.struct("sub_id", "global_id"))).alias("m")).first().m
-    table = F.broadcast(tokens.sparkSession.createDataFrame([(1, pairs)], "one int, m map<int, int>"))
-    joined = tokens.withColumn("one", F.lit(1)).join(table, "one")
-    return joined.withColumn(column, F.transform(column, lambda i: F.element_at("m", i))).drop("one", "m")
+    """Arrays of subtokenizer ids as global ids by ``mapping`` (sub_id, global_id); an id that isn't in it raises KeyError."""
+    return _translated(tokens, mapping.select(F.col("sub_id").alias("key"), F.col("global_id").alias("value")), column)
+
+
+def global_to_sub(tokens: DataFrame, mapping: DataFrame, column: str = "tokens") -> DataFrame:
+    """Arrays of global ids as those of the subtokenizer; an id that it lacks raises KeyError."""
+    return _translated(tokens, mapping.select(F.col("global_id").alias("key"), F.col("sub_id").alias("value")), column)

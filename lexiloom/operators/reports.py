@@ -6,7 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lexiloom.operators.order import block_of, running_sum
 
 
 def latency_batches(tokens: DataFrame, batch_size: int, context_size: int) -> DataFrame:
@@ -14,15 +15,18 @@ def latency_batches(tokens: DataFrame, batch_size: int, context_size: int) -> Da
 
     A stream shorter than one batch is filled up with zeros; without documents there are no rows.
     """
-    stream = tokens.select("doc_id", F.posexplode("tokens").alias("at", "token"))
-    sizes = tokens.select("doc_id", F.size("tokens").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = stream.join(before, "doc_id").select((F.col("before") + F.col("at")).alias("pos"), "token")
-    whole, total = batch_size * context_size, before.agg(F.sum("n").alias("n")).first().n or 0
+    sizes = tokens.select("doc_id", F.size("tokens").alias("n")).withColumn("block", block_of("doc_id"))
+    before = running_sum(sizes, [], ["block"], ["doc_id"], F.col("n"), "upto").select("doc_id", (F.col("upto") - F.col("n")).alias("before"), "n")
+    whole, total = batch_size * context_size, sizes.agg(F.sum("n").alias("n")).first().n or 0
     batches = max(total // whole, 1) if sizes.limit(1).count() else 0
-    rows = placed.where(F.col("pos") < batches * whole).groupBy(F.floor(F.col("pos") / context_size).alias("line")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    # Each document is cut where lines end, so whole pieces are shuffled and not single tokens.
+    kept = before.where((F.col("before") < batches * whole) & (F.col("n") > 0)).join(tokens, "doc_id")
+    pieces = kept.withColumn("line", F.explode(F.expr(f"sequence(before div {context_size}, (before + n - 1) div {context_size})"))).where(F.col("line") < batches * batch_size)
+    first = F.greatest(F.col("line") * context_size, "before")
+    pieces = pieces.select("line", first.alias("first"), F.slice("tokens", (first - F.col("before") + 1).cast("int"), (F.least((F.col("line") + 1) * context_size, F.col("before") + F.col("n")) - first).cast("int")).alias("piece"))
+    rows = pieces.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("t"))
     lines = tokens.sparkSession.range(batches * batch_size).withColumnRenamed("id", "line")
-    filled = lines.join(rows, "line", "left").withColumn("t", F.coalesce(F.transform("t", lambda x: x["token"]), F.array().cast("array<int>")))
+    filled = lines.join(rows, "line", "left").withColumn("t", F.coalesce(F.flatten(F.transform("t", lambda x: x["piece"])), F.array().cast("array<int>")))
     padded = F.slice(F.concat("t", F.array_repeat(F.lit(0), context_size)), 1, context_size)
     return filled.select(F.floor(F.col("line") / batch_size).alias("batch"), (F.col("line") % batch_size).alias("row"), padded.alias("tokens"))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from enum import Enum
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.seeds import chain, create_seed
+from lexiloom.functions.seeds import block_starts, chain, create_seed
+from lexiloom.operators.order import block_of, rank_from_zero
 from lexiloom.operators.vocab import subtokenizer_name
 
 
@@ -84,20 +86,34 @@ def normalized_weights(runs: DataFrame) -> DataFrame:
     return listed.join(total, "run_id").select("run_id", "source", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(F.lit(0.0)).alias("share"))
 
 
-def draw_subtokenizers(documents: DataFrame, choices: dict[str, tuple[list[str], list[float]]], seed: int, rank: int = 0) -> DataFrame:
-    """``documents`` (lang, pos, ...) with ``subtok``, drawn for each document from its language's chain.
+#: Draws of a chain that a worker makes in one row of the plan.
+CHAIN_BLOCK = 65_536
+
 
-    The chain advances once a document, so a draw depends on the document's place alone; the driver makes as many seeds
-    as the longest language has documents.
+def chain_draws(spark: SparkSession, chains: dict[str, tuple[int, int, Sequence[str], Sequence[float]]]) -> DataFrame:
+    """(chain, pos, choice): for each chain (start seed, length, names, weights) one name a step, drawn by the seed of that step.
+
+    A chain has to be walked, so the driver keeps the state at the start of each block; workers walk the blocks and draw.
     """
+    rows = [(name, k, state, min(CHAIN_BLOCK, length - k * CHAIN_BLOCK)) for name, (seed, length, *_) in chains.items() for k, state in enumerate(block_starts(seed, length, CHAIN_BLOCK))]
+    blocks = spark.createDataFrame([(name, k, str(state), n) for name, k, state, n in rows], "chain string, block long, state string, n int").repartition(max(1, len(rows)))
+    options = {name: (list(names), list(weights)) for name, (_, _, names, weights) in chains.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, state, n in zip(*(c.to_pylist() for c in batch.columns)):
+                picks = [random.Random(s).choices(*options[name])[0] for s in chain(int(state), n)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(block * CHAIN_BLOCK, block * CHAIN_BLOCK + n), pa.int64()), pa.array(picks, pa.string())], ["chain", "pos", "choice"])
+
+    return blocks.mapInArrow(run, "chain string, pos long, choice string")
+
+
+def draw_subtokenizers(documents: DataFrame, choices: dict[str, tuple[list[str], list[float]]], seed: int, rank: int = 0) -> DataFrame:
+    """``documents`` (lang, pos, ...) with ``subtok``, drawn for each document from its language's chain, which advances once a document."""
     spark = documents.sparkSession
     sizes = {r.lang: r.n for r in documents.groupBy("lang").agg((F.max("pos") + 1).alias("n")).collect()}
-    rows = []
-    for lang, (names, weights) in choices.items():
-        seeds = chain(create_seed(seed, "subtokenizer", rank, lang), sizes.get(lang, 0))
-        rows += [(lang, pos, random.Random(s).choices(names, weights)[0]) for pos, s in enumerate(seeds)]
-    draws = spark.createDataFrame(rows, "lang string, pos long, subtok string")
-    return documents.join(draws, ["lang", "pos"])
+    draws = chain_draws(spark, {x: (create_seed(seed, "subtokenizer", rank, x), sizes.get(x, 0), *c) for x, c in choices.items()})
+    return documents.join(draws.select(F.col("chain").alias("lang"), "pos", F.col("choice").alias("subtok")), ["lang", "pos"])
 
 
 def hashed_choice(key: Column, names: Sequence[str]) -> Column:
@@ -108,9 +124,6 @@ def hashed_choice(key: Column, names: Sequence[str]) -> Column:
 def language_schedule(spark: SparkSession, weights: dict[str, float], steps: int, seed: int, rank: int = 0) -> DataFrame:
     """(step, lang, nth): the language of each batch, drawn from the rank's chain, and the how manieth of its language it is."""
     langs = sorted(weights)
-    count, rows = dict.fromkeys(langs, 0), []
-    for step, s in enumerate(chain(create_seed(seed, "language", rank), steps)):
-        lang = random.Random(s).choices(langs, [weights[x] for x in langs])[0]
-        rows.append((step, lang, count[lang]))
-        count[lang] += 1
-    return spark.createDataFrame(rows, "step long, lang string, nth long")
+    draws = chain_draws(spark, {"language": (create_seed(seed, "language", rank), steps, langs, [weights[x] for x in langs])})
+    drawn = draws.select(F.col("pos").alias("step"), F.col("choice").alias("lang")).withColumn("block", block_of("step"))
+    return rank_from_zero(drawn, ["lang"], ["block"], ["step"], "nth").drop("block")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lexiloom.functions.text import clean_source, label_key, to_bytes_alphabet
 from lexiloom.operators import batches, bpe, documents, masks, metrics, modular, prompts, reports, sampling, unigram, vocab, words
-from lexiloom.operators.order import rank_from_zero
+from lexiloom.operators.order import block_of, rank_from_zero
 from lexiloom.plans import oracles as O
 from lexiloom.plans.registry import query
 from lexiloom.streaming.batches import tumbling_counts
@@ -81,14 +81,33 @@ def shard_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return documents.shards(_docs(spark, folder).withColumn("source", clean_source("source")), WORLD)
 
 
-@query(
-    f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY wrap, file_id, line_id, doc_id) - 1 AS pos, wrap::INT AS wrap, file_id, line_id, doc_id "
-    f"FROM (SELECT coalesce({O.SOURCE}, '') AS source, * EXCLUDE (source) FROM documents), (SELECT range AS wrap FROM range(2)) WHERE line_id % 4 = 1"
+_POSITIONS = (
+    f"SELECT rank, source, row_number() OVER (PARTITION BY rank, source ORDER BY wrap, file_id, line_id, doc_id) - 1 AS pos, wrap, file_id, line_id, doc_id FROM "
+    f"(SELECT (((line_id % 4) + 4) % 4)::INT AS rank, coalesce({O.SOURCE}, '') AS source, wrap::INT AS wrap, file_id, line_id, doc_id FROM documents, (SELECT range AS wrap FROM range(2)))"
 )
-def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
-    """The order in which rank 1 of 4 reads each source twice."""
+
+
+def _positions(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder).withColumn("source", F.coalesce(clean_source("source"), F.lit("")))
-    return documents.stream_positions(docs, 1, 4, 2)
+    return documents.all_positions(docs, 4, 2)
+
+
+@query(_POSITIONS)
+def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """The order in which each of four ranks reads each source twice."""
+    return _positions(spark, folder)
+
+
+@query(f"SELECT * FROM ({_POSITIONS}) WHERE (wrap, file_id, line_id) >= (1, 1, 5)")
+def reader_seek(spark: SparkSession, folder: str) -> DataFrame:
+    """What the readers still read from line 5 of file 1 of the second pass on."""
+    return documents.seek(_positions(spark, folder), 1, 1, 5)
+
+
+@query(f"SELECT rank, source, m.wrap, m.file_id, m.line_id FROM (SELECT rank, source, min({{'wrap': wrap, 'file_id': file_id, 'line_id': line_id}}) AS m FROM ({_POSITIONS}) WHERE (wrap, file_id, line_id) >= (0, 2, 0) GROUP BY ALL)")
+def reader_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """The address that each reader reads next from file 2 on."""
+    return documents.heads(documents.seek(_positions(spark, folder), 0, 2, 0), "rank", "source")
 
 
 @query(
@@ -100,12 +119,31 @@ def dedup_sentences_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return documents.sentence_weights(_docs(spark, folder))
 
 
-@query()
+def _interleaved_sql(docs: str, weight: str, seed: int) -> str:
+    """CTEs up to ``placed``: documents ``docs`` of each source after exponential waits at the rate ``weight``."""
+    u = f"(('0x' || substr(md5('{seed}/' || source || '/' || nth), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+    return (
+        f"WITH d AS ({docs}), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY file_id, line_id, doc_id) - 1 AS nth, dense_rank() OVER (ORDER BY source) AS k FROM d), "
+        f"t AS MATERIALIZED (SELECT *, sum(-ln({u}) / {weight}) OVER (PARTITION BY source ORDER BY nth ROWS UNBOUNDED PRECEDING) AS arrival FROM n), placed AS (SELECT *, row_number() OVER (ORDER BY arrival, source) - 1 AS pos FROM t)"
+    )
+
+
+@query(f"{_interleaved_sql(f'SELECT coalesce({O.SOURCE}, {chr(39)}none{chr(39)}) AS source, file_id, line_id, doc_id FROM documents', 'k', 7)} SELECT doc_id, source, pos FROM placed")
 def interleaved(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of all sources in the order of a weighted interleaving."""
     docs = _docs(spark, folder).withColumn("source", F.coalesce(clean_source("source"), F.lit("none"))).drop("text")
     names = sorted(r.source for r in docs.select("source").distinct().collect())
-    return documents.interleave(docs, names, [1.0 + k for k in range(len(names))], 7).select("doc_id", "source", "pos")
+    return documents.interleave(docs, {x: 1.0 + k for k, x in enumerate(names)}, 7).select("doc_id", "source", "pos")
+
+
+_SELECTED = f"SELECT coalesce({O.SOURCE}, 'none') AS source, file_id, line_id, doc_id FROM documents WHERE length(text) BETWEEN 1 AND 2000"
+
+
+@query(f"{_interleaved_sql(_SELECTED, '1.0', 11)} SELECT doc_id, source, pos FROM placed WHERE pos < 500")
+def selected_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The 500 texts of at most 2000 characters that a uniform interleaving of the sources selects for re-estimation."""
+    docs = unigram.usable_sentences(_docs(spark, folder), 2000).select(F.coalesce(clean_source("source"), F.lit("none")).alias("source"), "file_id", "line_id", "doc_id")
+    return documents.select_texts(docs, 500, 11).select("doc_id", "source", "pos")
 
 
 @query(
@@ -362,16 +400,6 @@ def special_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "tok_vocab").select("token_id", vocab.is_special("piece").alias("special"))
 
 
-@query("SELECT count(*) AS n_docs, count(*) AS n_equal FROM documents")
-def encode_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose text comes back from its tokens."""
-    docs = _docs(spark, folder).select("doc_id", "text")
-    tokenizer = modular.ModularTokenizer(_model(spark, folder), {})
-    back = tokenizer.decode(tokenizer.encode(docs)).withColumnRenamed("text", "decoded")
-    joined = docs.join(back, "doc_id")
-    return joined.agg(F.count("*").alias("n_docs"), F.sum((F.coalesce("text", F.lit("")) == F.col("decoded")).cast("long")).alias("n_equal"))
-
-
 # Unigram models
 
 
@@ -446,19 +474,24 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder).select(
         F.coalesce(clean_source("source"), F.lit("none")).alias("lang"), "doc_id", "file_id", "line_id", F.size(words.pretokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
-    placed = rank_from_zero(docs, ["lang"], ["file_id"], ["line_id", "doc_id"], "pos")
+    placed = rank_from_zero(docs.withColumn("block", block_of("line_id")), ["lang"], ["file_id", "block"], ["line_id", "doc_id"], "pos")
     return placed.select("lang", "pos", "doc_id", "n_tokens", "n_bytes").withColumn("subtok", F.when(F.col("pos") % 3 == 0, F.lit("all")).otherwise(F.col("lang")))
 
 
-_STREAM = (
-    f"st AS MATERIALIZED (SELECT *, CASE WHEN pos % 3 = 0 THEN 'all' ELSE lang END AS subtok FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY file_id, line_id, doc_id) - 1 AS pos, doc_id, n_tokens, n_bytes "
-    f"FROM (SELECT coalesce({O.SOURCE}, 'none') AS lang, doc_id, file_id, line_id, coalesce(len({O.WORDS_OF}), 0) AS n_tokens, coalesce(strlen(text), 0) AS n_bytes FROM documents))), "
-    "ends AS (SELECT *, stop - n_tokens AS start FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY lang, subtok ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM st WHERE n_tokens > 0)), "
-    f"ex AS (SELECT *, unnest(range(start // {N_TARGET}, (stop - 1) // {N_TARGET} + 1)) AS b FROM ends), "
-    f"gr AS (SELECT *, greatest(0, b * {N_TARGET} - start) AS first, least(stop, (b + 1) * {N_TARGET}) - greatest(start, b * {N_TARGET}) AS grab FROM ex), "
-    f"parts AS MATERIALIZED (SELECT lang, subtok, b, pos, doc_id, first, grab, n_bytes * grab / n_tokens AS share_bytes FROM (SELECT *, sum(grab) OVER (PARTITION BY lang, subtok, b) AS filled FROM gr) WHERE filled = {N_TARGET}), "
-    "factors AS MATERIALIZED (SELECT lang, subtok, b, sum(grab)::BIGINT AS n_tokens, count(*) AS n_docs, max(pos) AS ready_pos, CASE WHEN sum(share_bytes) > 0 THEN sum(grab) / sum(share_bytes) / ln(2) ELSE 0.0 END AS c_bpb FROM parts GROUP BY ALL)"
-)
+def _stream_sql(n_tokens: str = f"coalesce(len({O.WORDS_OF}), 0)", docs: str = "documents") -> str:
+    """CTEs up to ``factors``: buffers of two a source, filled in reading order and cut into batches; ``n_tokens`` counts those of a document."""
+    return (
+        f"st AS MATERIALIZED (SELECT *, CASE WHEN pos % 3 = 0 THEN 'all' ELSE lang END AS subtok FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY file_id, line_id, doc_id) - 1 AS pos, doc_id, n_tokens, n_bytes "
+        f"FROM (SELECT coalesce({O.SOURCE}, 'none') AS lang, doc_id, file_id, line_id, {n_tokens} AS n_tokens, coalesce(strlen(text), 0) AS n_bytes FROM {docs}))), "
+        "ends AS (SELECT *, stop - n_tokens AS start FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY lang, subtok ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM st WHERE n_tokens > 0)), "
+        f"ex AS (SELECT *, unnest(range(start // {N_TARGET}, (stop - 1) // {N_TARGET} + 1)) AS b FROM ends), "
+        f"gr AS (SELECT *, greatest(0, b * {N_TARGET} - start) AS first, least(stop, (b + 1) * {N_TARGET}) - greatest(start, b * {N_TARGET}) AS grab FROM ex), "
+        f"parts AS MATERIALIZED (SELECT lang, subtok, b, pos, doc_id, first, grab, n_bytes * grab / n_tokens AS share_bytes FROM (SELECT *, sum(grab) OVER (PARTITION BY lang, subtok, b) AS filled FROM gr) WHERE filled = {N_TARGET}), "
+        "factors AS MATERIALIZED (SELECT lang, subtok, b, sum(grab)::BIGINT AS n_tokens, count(*) AS n_docs, max(pos) AS ready_pos, CASE WHEN sum(share_bytes) > 0 THEN sum(grab) / sum(share_bytes) / ln(2) ELSE 0.0 END AS c_bpb FROM parts GROUP BY ALL)"
+    )
+
+
+_STREAM = _stream_sql()
 
 
 @query(f"WITH {_STREAM} SELECT lang, subtok, b, pos, doc_id, first, grab, round(share_bytes, 6) AS share_bytes FROM parts")
@@ -481,18 +514,10 @@ def batch_emission_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def batch_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    """The batch of each of 64 steps, sources drawn by weight."""
-    factors = batches.batch_factors(batches.spans(_stream(spark, folder), N_TARGET))
+    """The batch of each step, sources drawn by their number of batches; as many steps as there are batches."""
+    factors = cut(batches.batch_factors(batches.spans(_stream(spark, folder), N_TARGET)))
     names = {r.lang: float(r.n) for r in factors.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return batches.scheduled(factors, sampling.language_schedule(spark, names, 64, 41)) if names else factors.withColumn("step", F.lit(0))
-
-
-@query()
-def batch_xy(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of inputs and targets of all full batches, in tokens of the project's tokenizer."""
-    tokens = cut(modular.ModularTokenizer(_model(spark, folder), {}).encode(_docs(spark, folder)))
-    stream = _stream(spark, folder).drop("n_tokens").join(tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens")), "doc_id")
-    return batches.batch_rows(batches.spans(stream, N_TARGET), tokens, BATCH, CONTEXT)
+    return batches.scheduled(factors, sampling.language_schedule(spark, names, int(sum(names.values())), 41)) if names else factors.withColumn("step", F.lit(0))
 
 
 @query(
@@ -663,10 +688,3 @@ def mask_own_vocabularies(spark: SparkSession, folder: str) -> DataFrame:
 def logit_mask(spark: SparkSession, folder: str) -> DataFrame:
     """0 for tokens one subtokenizer sees and minus infinity for the others."""
     return masks.logit_mask(_mask(spark, folder).where("lang = 'news_feed'"), table(spark, folder, "tok_vocab").count())
-
-
-@query()
-def latency_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The token stream of the evaluation texts in batches for timing."""
-    texts = table(spark, folder, "heldout_items").select(F.col("item_id").alias("doc_id"), "text")
-    return reports.latency_batches(modular.ModularTokenizer(_model(spark, folder), {}).encode(texts, bos=False, eos=False), 8, 1024)
