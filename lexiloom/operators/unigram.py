@@ -6,11 +6,13 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.vocab import is_special
+from lexiloom.tables import cut
 
 #: Fixed value: stands for a blank.
 META = "▁"
@@ -34,15 +36,22 @@ def usable_sentences(texts: DataFrame, longest: int) -> DataFrame:
     return texts.where((F.length("text") > 0) & (F.length("text") <= longest)).withColumn("sentence", normalize("text"))
 
 
-def lattice(sentences: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(sent_id, i, j, piece): every piece that equals sentence[i:j]; ``longest`` is that of the pieces.
+#: Pieces that are broadcast to find their places, at most; more are joined by a shuffle.
+BROADCAST_PIECES = 1_000_000
 
-    All substrings up to that length are joined with the pieces by equality, so no prefix tree is shared between workers.
+
+def lattice(sentences: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(sent_id, i, j, piece): every piece that equals sentence[i:j].
+
+    Substrings of the lengths that pieces have are joined with the pieces by equality, so no prefix tree is shared between workers. The
+    number of pieces is checked before they are broadcast.
     """
-    starts = sentences.select("sent_id", "sentence", F.explode(F.expr("sequence(0, length(sentence) - 1)")).alias("i"))
-    parts = starts.select("sent_id", "i", F.explode(F.expr(f"sequence(i + 1, least(i + {longest}, length(sentence)))")).alias("j"), "sentence")
-    parts = parts.select("sent_id", "i", "j", F.expr("substring(sentence, i + 1, j - i)").alias("piece"))
-    return parts.join(pieces.select("piece"), "piece").select("sent_id", "i", "j", "piece")
+    sizes = pieces.agg(F.collect_set(F.length("piece")).alias("lengths"), F.count("*").alias("n")).first()
+    lengths = sorted(x for x in sizes.lengths if x) or [0]
+    known = F.broadcast(pieces) if sizes.n <= BROADCAST_PIECES else pieces
+    places = f"flatten(transform(sequence(0, length(sentence) - 1), i -> transform(filter(array({', '.join(map(str, lengths))}), n -> n > 0 and i + n <= length(sentence)), n -> struct(i, i + n as j, substring(sentence, i + 1, n) as piece))))"
+    parts = sentences.where(F.length("sentence") > 0).select("sent_id", F.explode(F.expr(places)).alias("x")).select("sent_id", "x.i", "x.j", "x.piece")
+    return parts.join(known.select("piece"), "piece").select("sent_id", "i", "j", "piece")
 
 
 class Lattices:
@@ -143,18 +152,137 @@ def start_scores(pieces: list[str]) -> dict[str, float]:
     return dict.fromkeys(pieces, -math.log(len(pieces))) if pieces else {}
 
 
+#: Sentences whose lattices a worker takes through both passes at once.
+BLOCK = 256
+#: Most pieces of a vocabulary that workers hold (checked).
+MAX_PIECES = 5_000_000
+
+
+def match_lattices(sentences: DataFrame, pieces: list[str]) -> DataFrame:
+    """(weight, n, starts, ends, ids): every place of every piece in each sentence (sentence, weight) of n characters.
+
+    The vocabulary is fixed while scores are fitted, so pieces are looked up once and not in each round; ``ids`` are places in ``pieces``.
+    Sentences in which a position that can be reached has no piece are left out. More than ``MAX_PIECES`` pieces raise ValueError.
+    """
+    if len(pieces) > MAX_PIECES:
+        raise ValueError("too many pieces for a worker")
+    shared = sentences.sparkSession.sparkContext.broadcast(pieces)
+    names = ["weight", "n", "starts", "ends", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {p: k for k, p in enumerate(shared.value)}
+        # Lengths that pieces have, by first character: most substrings are never looked up.
+        lengths: dict[str, list[int]] = {}
+        for c, n in sorted({(p[0], len(p)) for p in known}):
+            lengths.setdefault(c, []).append(n)
+        for batch in batches:
+            rows = []
+            for s, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _edges(s, known, lengths)
+                if found is not None:
+                    rows.append((w, len(s), *found))
+            weight, n, *lists = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(weight, pa.float64()), pa.array(n, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], names)
+
+    return sentences.select("sentence", F.col("weight").cast("double")).mapInArrow(run, "weight double, n int, starts array<int>, ends array<int>, ids array<int>")
+
+
+def _edges(s: str, known: dict[str, int], lengths: dict[str, list[int]]) -> tuple[list[int], list[int], list[int]] | None:
+    """Places of pieces that begin where the start leads to; None where the end can't be reached without a gap."""
+    starts, ends, ids = [], [], []
+    reached = bytearray(len(s) + 1)
+    reached[0] = 1
+    for i, c in enumerate(s):
+        if not reached[i]:
+            continue
+        before = len(ids)
+        for n in lengths.get(c, ()):
+            k = known.get(s[i : i + n])
+            if k is not None and i + n <= len(s):
+                starts.append(i)
+                ends.append(i + n)
+                ids.append(k)
+                reached[i + n] = 1
+        if len(ids) == before:
+            return None
+    return (starts, ends, ids) if s and reached[-1] else None
+
+
+def _sweep(into: np.ndarray, owner: np.ndarray, at: np.ndarray, other: np.ndarray, score: np.ndarray, descending: bool) -> None:
+    """Fill ``into`` [sentence, position]: at each position ``at`` the log of the sum over edges of exp(score + into[other end])."""
+    order = np.lexsort((owner, -at if descending else at))
+    owner, at, other, score = owner[order], at[order], other[order], score[order]
+    bounds = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
+    for a, b in zip(bounds, bounds[1:]):
+        x = into[owner[a:b], other[a:b]] + score[a:b]
+        heads = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
+        top = np.maximum.reduceat(x, heads)
+        base = np.where(np.isfinite(top), top, 0.0)
+        total = np.add.reduceat(np.exp(x - np.repeat(base, np.diff(np.append(heads, b - a)))), heads)
+        with np.errstate(divide="ignore"):
+            into[owner[a:b][heads], at[a]] = base + np.log(total)
+
+
+def posteriors(weight: np.ndarray, n: np.ndarray, starts: list, ends: list, ids: list, logp: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected count of each piece, log-likelihood) of some lattices: forward and backward passes over all of them at once, position by position."""
+    owner = np.repeat(np.arange(len(n)), [len(x) for x in ids])
+    start, end, piece = (np.concatenate([np.asarray(x, np.int64) for x in part]) for part in (starts, ends, ids))
+    score = logp[piece]
+    alpha = np.full((len(n), int(n.max()) + 1), -np.inf)
+    beta = alpha.copy()
+    alpha[:, 0] = 0.0
+    beta[np.arange(len(n)), n] = 0.0
+    _sweep(alpha, owner, end, start, score, False)
+    _sweep(beta, owner, start, end, score, True)
+    z = alpha[np.arange(len(n)), n]
+    share = np.exp(alpha[owner, start] + score + beta[owner, end] - z[owner]) * weight[owner]
+    return np.bincount(piece, share, len(logp)), float((weight * z).sum())
+
+
+def expected_counts(lattices: DataFrame, logp: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected count of each piece, log-likelihood) over the lattices; workers add up before the shuffle, a row a piece comes back."""
+    shared = lattices.sparkSession.sparkContext.broadcast(logp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logp = shared.value
+        counts, total = np.zeros(len(logp)), 0.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                weight, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                lists = [part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)]
+                more, z = posteriors(weight, n, *lists, logp)
+                counts += more
+                total += z
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(counts[used], total))], ["id", "n"])
+
+    sums = lattices.mapInArrow(run, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    ids, values = sums.column(0).to_numpy(), sums.column(1).to_numpy()
+    counts = np.zeros(len(logp))
+    counts[ids[ids >= 0]] = values[ids >= 0]
+    return counts, float(values[ids < 0].sum())
+
+
 def fit(sentences: DataFrame, pieces: list[str], rounds: int, tolerance: float = 1e-4) -> tuple[dict[str, float], list[float]]:
-    """(log probabilities, log-likelihood of each round) after at most ``rounds`` rounds or when no score moves by ``tolerance``."""
-    logp, history = start_scores(pieces), []
+    """(log probabilities, log-likelihood of each round) after at most ``rounds`` rounds or when no score moves by ``tolerance``.
+
+    A piece that ``pieces`` repeats counts each time for the equal scores of the start, and once from then on.
+    """
+    known = list(dict.fromkeys(pieces))
+    if not known:
+        return {}, []
+    lattices = cut(match_lattices(sentences, known))
+    logp, history = np.full(len(known), -math.log(len(pieces))), []
     for _ in range(rounds):
-        rows = {r.piece: r.n for r in e_step(sentences, logp).collect()}  # as many rows as pieces
-        history.append(rows.pop(None, 0.0))
-        new = m_step(rows, list(logp))
-        moved = max((abs(new[p] - logp[p]) for p in logp), default=0.0)
+        counts, z = expected_counts(lattices, logp)
+        history.append(z)
+        new = np.log1p(counts) - math.log1p(counts.sum())
+        moved = np.abs(new - logp).max()
         logp = new
         if moved < tolerance:
             break
-    return logp, history
+    return dict(zip(known, logp.tolist())), history
 
 
 def apply_scores(vocab: DataFrame, logp: DataFrame) -> DataFrame:
@@ -186,6 +314,16 @@ def seed_pieces(words: DataFrame, size: int, longest: int = 8) -> list[str]:
     return sorted(letters) + [r.piece for r in best.select("piece").collect()]
 
 
+#: Special pieces come first, then the pieces of single bytes with their score.
+SPECIALS, BYTE_SCORE = ("<unk>", "<s>", "</s>", "<pad>"), -20.0
+
+
+def with_bytes(logp: dict[str, float]) -> list[tuple[int, str, float]]:
+    """(token_id, piece, score): special pieces, a piece for each byte (so that any text has one), and the pieces by falling score."""
+    first = [(t, 0.0) for t in SPECIALS] + [(f"<0x{b:02X}>", BYTE_SCORE) for b in range(256)]
+    return [(k, p, x) for k, (p, x) in enumerate(first + sorted(logp.items(), key=lambda r: (-r[1], r[0])))]
+
+
 def train(words: DataFrame, size: int, rounds: int = 2, shrink: float = 0.75) -> dict[str, float]:
     """A unigram vocabulary of ``size`` pieces from words (word, freq): seeds, then rounds of fitting and pruning.
 

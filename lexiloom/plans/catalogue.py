@@ -409,61 +409,120 @@ def unigram_words(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select(F.explode(unigram.pretokens("text")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
-def _titles(spark: SparkSession, folder: str) -> DataFrame:
-    titles = table(spark, folder, "xlsum_items").select("rec_id", F.col("title").alias("text")).distinct()
-    return unigram.usable_sentences(titles, 512).select(F.col("rec_id").alias("sent_id"), "sentence")
+#: Longest sentence, and rounds of ``em_scores``.
+SENTENCE, ROUNDS = 512, 3
+
+
+def _sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """(sent_id, sentence, weight): different lines of all documents that can be used, with the number of times they occur."""
+    lines = documents.sentence_weights(_docs(spark, folder)).select(F.col("line").alias("text"), "weight")
+    return cut(unigram.usable_sentences(lines, SENTENCE).select(F.col("text").alias("sent_id"), "sentence", "weight"))
 
 
 def _pieces(sentences: DataFrame, lists: DataFrame) -> DataFrame:
     """Single characters of the sentences and the words of the word lists, bare and with a blank mark."""
-    letters = sentences.select(F.explode(F.split("sentence", "")).alias("piece")).where("piece != ''")
+    letters = sentences.select(F.explode(F.array_distinct(F.split("sentence", ""))).alias("piece")).where("piece != ''")
     listed = lists.select("piece").union(lists.select(F.concat(F.lit(unigram.META), "piece").alias("piece")))
     return letters.union(listed).distinct()
 
 
-_LATTICE = (
-    "s AS MATERIALIZED (SELECT rec_id AS sent_id, '▁' || replace(title, ' ', '▁') AS sentence FROM (SELECT DISTINCT rec_id, title FROM xlsum_items) WHERE length(title) BETWEEN 1 AND 512), "
+_SENTENCES = (
+    "s AS MATERIALIZED (SELECT line AS sent_id, '▁' || replace(line, ' ', '▁') AS sentence, count(*) AS weight FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) "
+    f"WHERE regexp_replace(line, '[{O.WHITE}]+', '', 'g') <> '' AND length(line) <= {SENTENCE} GROUP BY line), "
     "pieces AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(sentence, '(?s).')) AS piece FROM s UNION SELECT word FROM common_words UNION SELECT '▁' || word FROM common_words)"
 )
+_LATTICE = (
+    f"{_SENTENCES}, sizes AS (SELECT DISTINCT length(piece) AS n FROM pieces), edges AS MATERIALIZED (SELECT sent_id, i, i + n AS j, piece FROM (SELECT sent_id, i, n, sentence[i + 1:i + n] AS p FROM (SELECT sent_id, sentence, unnest(range(length(sentence))) AS i FROM s), sizes "
+    "WHERE i + n <= length(sentence)) JOIN pieces ON piece = p)"
+)
 
 
-@query(
-    f"WITH {_LATTICE}, c AS (SELECT sent_id, i, unnest(range(i + 1, least(i + (SELECT max(length(piece)) FROM pieces), length(sentence)) + 1)) AS j, sentence FROM (SELECT sent_id, sentence, unnest(range(length(sentence))) AS i FROM s)) "
-    "SELECT sent_id, i::INT AS i, j::INT AS j, piece FROM (SELECT sent_id, i, j, sentence[i + 1:j] AS p FROM c) JOIN pieces ON piece = p"
-)
+@query(f"WITH {_LATTICE} SELECT sent_id, i::INT AS i, j::INT AS j, piece FROM edges")
 def unigram_lattice(spark: SparkSession, folder: str) -> DataFrame:
-    """Every piece at every place of the titles."""
-    sentences = _titles(spark, folder)
-    pieces = cut(_pieces(sentences, _word_lists(spark, folder)))
-    return unigram.lattice(sentences, pieces, pieces.agg(F.max(F.length("piece"))).first()[0] or 1)
+    """Every piece at every place of the lines."""
+    sentences = _sentences(spark, folder)
+    return unigram.lattice(sentences, cut(_pieces(sentences, _word_lists(spark, folder))))
+
+
+def _round_sql(k: int) -> str:
+    """CTEs of one round over scores ``p{k}``: forward and backward sums as folds over positions, expected counts ``c{k}``, likelihood ``z{k}``, scores ``p{k + 1}``."""
+    fold = (
+        "list_reduce(list_prepend({{'a': [0.0::DOUBLE], 'e': []::STRUCT(o BIGINT, p DOUBLE)[]}}, list({{'a': []::DOUBLE[], 'e': e}} ORDER BY {at})), "
+        "lambda acc, x: {{'a': list_append(acc.a, acc.a[-1] + ln(list_sum(list_transform(x.e, lambda u: exp(acc.a[u.o + 1] - acc.a[-1] + u.p))))), 'e': x.e}}).a"
+    )
+    return (
+        f"x{k} AS MATERIALIZED (SELECT sent_id, length(sentence) AS n, weight, i, j, piece, p FROM edges JOIN p{k} USING (piece) JOIN s USING (sent_id)), "
+        f"f{k} AS MATERIALIZED (SELECT sent_id, {fold.format(at='j')} AS alpha FROM (SELECT sent_id, j, list({{'o': i, 'p': p}}) AS e FROM x{k} GROUP BY ALL) GROUP BY sent_id), "
+        f"b{k} AS MATERIALIZED (SELECT sent_id, {fold.format(at='i DESC')} AS beta FROM (SELECT sent_id, i, list({{'o': n - j, 'p': p}}) AS e FROM x{k} GROUP BY ALL) GROUP BY sent_id), "
+        f"c{k} AS MATERIALIZED (SELECT piece, sum(weight * exp(alpha[i + 1] + p + beta[n - j + 1] - alpha[-1])) AS c FROM x{k} JOIN f{k} USING (sent_id) JOIN b{k} USING (sent_id) GROUP BY piece), "
+        f"z{k} AS (SELECT sum(weight * alpha[-1]) AS z FROM f{k} JOIN s USING (sent_id)), "
+        f"p{k + 1} AS MATERIALIZED (SELECT piece, ln(1 + coalesce(c, 0)) - ln(1 + (SELECT sum(c) FROM c{k})) AS p FROM pieces LEFT JOIN c{k} USING (piece))"
+    )
+
+
+_EM = f"WITH {_LATTICE}, p0 AS MATERIALIZED (SELECT piece, -ln((SELECT count(*) FROM pieces)) AS p FROM pieces)"
 
 
 def _piece_list(sentences: DataFrame, lists: DataFrame) -> list[str]:
-    return sorted(r.piece for r in _pieces(sentences, lists).collect())
+    return sorted(r.piece for r in _pieces(sentences, lists).collect())  # a vocabulary
 
 
-@query()
+@query(f"{_EM}, {_round_sql(0)} SELECT piece, round(c, 2) AS n FROM c0 UNION ALL SELECT NULL, round(z, 2) FROM z0")
 def em_estep(spark: SparkSession, folder: str) -> DataFrame:
-    """Expected counts of pieces in the titles under equal scores; the null piece has the log-likelihood."""
-    sentences = _titles(spark, folder)
+    """Expected counts of pieces in the lines under equal scores; the null piece has the log-likelihood."""
+    sentences = _sentences(spark, folder)
     scores = unigram.start_scores(_piece_list(sentences, _word_lists(spark, folder)))
-    return unigram.e_step(sentences.withColumn("weight", F.lit(1.0)), scores).select("piece", F.round("n", 6).alias("n"))
+    return unigram.e_step(sentences, scores).select("piece", F.round("n", 2).alias("n"))
 
 
-@query()
+@query(f"{_EM}, {', '.join(map(_round_sql, range(ROUNDS)))} SELECT piece, round(p, 6) AS score FROM p{ROUNDS}")
 def em_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of pieces after four rounds of expectation-maximization over the titles."""
-    sentences = _titles(spark, folder)
-    logp, _ = unigram.fit(sentences.withColumn("weight", F.lit(1.0)), _piece_list(sentences, _word_lists(spark, folder)), 4)
+    """Scores of pieces after three rounds of expectation-maximization over the lines."""
+    sentences = _sentences(spark, folder)
+    logp, _ = unigram.fit(sentences, _piece_list(sentences, _word_lists(spark, folder)), ROUNDS, 0.0)
     return spark.createDataFrame([(p, round(x, 6)) for p, x in logp.items()], "piece string, score double")
 
 
+@query(f"{_EM}, {', '.join(map(_round_sql, range(ROUNDS)))} " + " UNION ALL ".join(f'SELECT {k} AS "round", round(z, 2) AS log_likelihood FROM z{k}' for k in range(ROUNDS)))
+def em_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihood of the lines in each of three rounds."""
+    sentences = _sentences(spark, folder)
+    _, history = unigram.fit(sentences, _piece_list(sentences, _word_lists(spark, folder)), ROUNDS, 0.0)
+    return spark.createDataFrame([(k, round(z, 2)) for k, z in enumerate(history)], "round int, log_likelihood double")
+
+
+#: Re-estimation as it is timed: pieces, sentences selected from the sources, rounds.
+EM_PIECES, EM_SENTENCES, EM_ROUNDS = 400_000, 10_000, 50
+
+
+@query()
+def em_reestimated(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of up to 400,000 pieces after at most 50 rounds over 10,000 lines that a uniform interleaving of the sources selects."""
+    docs = _docs(spark, folder)
+    lines = documents.nonblank_lines(docs).join(docs.select("doc_id", F.coalesce(clean_source("source"), F.lit("none")).alias("source"), "file_id", "line_id"), "doc_id")
+    # A line's address: its document's place, then its number.
+    lines = unigram.usable_sentences(lines.withColumnRenamed("line", "text"), SENTENCE).withColumn("line_id", F.col("line_id") * 1_000_000 + F.col("line_no"))
+    chosen = documents.select_texts(lines, EM_SENTENCES, 11).withColumn("weight", F.lit(1.0))
+    pieces = unigram.seed_pieces(words.word_frequencies(docs), EM_PIECES)
+    letters = {r.piece for r in chosen.select(F.explode(F.array_distinct(F.split("sentence", ""))).alias("piece")).where("piece != ''").distinct().collect()}
+    logp, _ = unigram.fit(chosen, sorted(letters.union(pieces)), EM_ROUNDS)
+    return spark.createDataFrame(list(logp.items()), "piece string, score double")
+
+
 @query()
 def viterbi_segment(spark: SparkSession, folder: str) -> DataFrame:
-    """The likeliest pieces of each title under scores fitted to them."""
-    sentences = _titles(spark, folder)
-    logp, _ = unigram.fit(sentences.withColumn("weight", F.lit(1.0)), _piece_list(sentences, _word_lists(spark, folder)), 2)
-    return unigram.segment(sentences, logp)
+    """The likeliest pieces of each line under scores fitted to them."""
+    sentences = _sentences(spark, folder)
+    logp, _ = unigram.fit(sentences, _piece_list(sentences, _word_lists(spark, folder)), 2)
+    numbered = sentences.select(F.xxhash64("sent_id").alias("sent_id"), "sentence")
+    return unigram.segment(numbered, logp).select("sent_id", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query()
+def unigram_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A unigram vocabulary of 1,000 pieces trained on all documents, with byte pieces."""
+    logp = unigram.train(words.word_frequencies(_docs(spark, folder)), 1000)
+    return spark.createDataFrame(unigram.with_bytes(logp), "token_id int, piece string, score double")
 
 
 # Batches

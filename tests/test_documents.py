@@ -31,11 +31,43 @@ def test_paragraphs(spark):
     assert rows(D.paragraphs(lines)) == [("s", 1, "a\nb\n \n"), ("s", 2, "c")]
 
 
+def test_paragraphs_over_blocks(spark, monkeypatch):
+    from lexiloom.operators import order
+
+    monkeypatch.setattr(order, "BLOCK", 3)
+    test_paragraphs(spark)
+    lines = spark.createDataFrame([(None, k, "x" if k % 7 else "") for k in range(30)], "source string, line_no int, line string")
+    assert [len(r.text.split("\n")) for r in D.paragraphs(lines).orderBy("paragraph").collect()] == [7, 7, 7, 7, 1]
+
+
 def test_interleaving_reads_every_document_once(spark):
     docs = spark.createDataFrame(DOCS, SCHEMA)
-    got = rows(D.interleave(docs, ["a", "b"], [0.9, 0.1], 3).select("pos", "source", "doc_id"))
-    assert [p for p, *_ in got] == [0, 1, 2, 3] and [d for _, s, d in got if s == "b"] == [4, 3]
+    for got in (D.interleave_exactly(docs, ["a", "b"], [0.9, 0.1], 3), D.interleave(docs, {"a": 0.9, "b": 0.1}, 3)):
+        got = rows(got.select("pos", "source", "doc_id"))
+        assert [p for p, *_ in got] == [0, 1, 2, 3] and [d for _, s, d in got if s == "b"] == [4, 3]
     assert D.pick_sequence([0, 2], None, 1) == [1, 1]
+    with pytest.raises(ValueError):
+        D.interleave(docs, {"a": 0.0})
+
+
+def test_interleaving_draws_by_weight_and_needs_no_order_of_partitions(spark):
+    docs = spark.createDataFrame([(k, "a" if k < 3000 else "b", 0, k) for k in range(6000)], "doc_id long, source string, file_id int, line_id long")
+    got = [rows(D.interleave(docs.repartition(n), {"a": 3.0, "b": 1.0}, 5).select("pos", "source", "doc_id")) for n in (1, 7)]
+    assert got[0] == got[1]
+    first = sorted(got[0])[:2000]
+    assert abs(sum(s == "a" for _, s, _ in first) / 2000 - 0.75) < 0.04
+    for s in "ab":
+        order = [d for _, x, d in sorted(got[0]) if x == s]
+        assert order == sorted(order) and len(order) == 3000
+    assert D.select_texts(docs, 10, 5).count() == 10
+
+
+def test_readers_seek(spark):
+    docs = spark.createDataFrame([(k, "a", k // 3, k % 3) for k in range(6)], "doc_id long, source string, file_id int, line_id long")
+    places = D.all_positions(docs, 2, 2)
+    assert {r.doc_id for r in places.where("rank = 1").collect()} == {1, 4} and places.count() == 12
+    assert rows(D.seek(places, 1, 1, 1).select("doc_id")) == [(4,), (5,)]
+    assert rows(D.heads(D.seek(places, 0, 1, 1), "rank")) == [(0, 0, 1, 2), (1, 0, 1, 1)]
 
 
 def test_text_sources(spark, tmp_path):

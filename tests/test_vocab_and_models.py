@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexiloom import config
@@ -76,13 +77,31 @@ def test_sentences_with_a_gap_are_skipped(spark):
     sentences = spark.createDataFrame([("abc", 1.0)], "sentence string, weight double")
     counts = {r.piece: r.n for r in unigram.e_step(sentences, unigram.start_scores(["a", "ab", "c"])).collect()}
     assert counts == {None: 0.0}
+    assert unigram.match_lattices(sentences, ["a", "ab", "c"]).count() == 0 and unigram.match_lattices(sentences, ["ab", "c"]).count() == 1
+    assert unigram.fit(sentences, [], 3) == ({}, []) and unigram.fit(sentences.where("false"), ["a"], 1)[1] == [0.0]
+
+
+def test_passes_over_many_lattices_equal_single_ones(spark):
+    rng = random.Random(4)
+    pieces = ["a", "b", "c", "ab", "abc", "bb", "ca"]
+    sents = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 25))), float(rng.randint(1, 3))) for _ in range(60)] + [("axb", 1.0), ("", 1.0)]
+    sentences = spark.createDataFrame(sents, "sentence string, weight double")
+    logp = {p: -rng.random() * 5 - 0.1 for p in pieces}
+    want = {r.piece: r.n for r in unigram.e_step(sentences.where("sentence != ''"), logp).collect()}
+    counts, z = unigram.expected_counts(unigram.match_lattices(sentences, pieces), np.array(list(logp.values())))
+    assert z == pytest.approx(want.pop(None)) and dict(zip(pieces, counts)) == pytest.approx({p: want.get(p, 0.0) for p in pieces})
+    # The likelihood never falls while scores are a distribution but for the one that is added to all counts.
+    _, history = unigram.fit(sentences, pieces, 6, 0.0)
+    assert len(history) == 6 and history == sorted(history)
+    start = unigram.fit(sentences, [*pieces, "a", "b"], 1)[1][0]
+    assert start < history[0]
 
 
 def test_lattice_equals_brute_force(spark):
     pieces = ["a", "b", "ab", "aba", "bb"]
     rng = random.Random(1)
     sents = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(20)]
-    got = rows(unigram.lattice(spark.createDataFrame(list(enumerate(sents)), "sent_id long, sentence string"), spark.createDataFrame([(p,) for p in pieces], "piece string"), 3))
+    got = rows(unigram.lattice(spark.createDataFrame(list(enumerate(sents)), "sent_id long, sentence string"), spark.createDataFrame([(p,) for p in pieces], "piece string")))
     want = [(k, i, j, s[i:j]) for k, s in enumerate(sents) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j] in pieces]
     assert got == sorted(want, key=repr)
 
