@@ -20,9 +20,25 @@ def names(value: str | Iterable[str] | None) -> list[str]:
     return [p.strip() for p in parts if p.strip()]
 
 
+def read_layer(path: str) -> dict[str, Any]:
+    """The mapping in a YAML or JSON file. Raises ValueError for anything else, and for YAML where its package isn't installed."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} needs the yaml package") from e
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
 def layers(path: str) -> list[dict[str, Any]]:
-    """A JSON file and the files it includes (``config``: a path or a list of paths), weakest first."""
-    own = json.loads(Path(path).read_text(encoding="utf-8"))
+    """A YAML or JSON file and the files it includes (``config``: a path or a list of paths), weakest first."""
+    own = dict(read_layer(path))
     included = own.pop(INCLUDE, None)
     out: list[dict[str, Any]] = []
     for name in names(included):

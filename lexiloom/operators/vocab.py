@@ -106,8 +106,11 @@ def underived(vocab: DataFrame, merges: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(built), "piece", "left_anti").select("token_id", "piece")
 
 
-def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame) -> DataFrame:
-    """(rule, n): violations of each rule of a tokenizer directory; all 0 in a sound one."""
+def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame, equal_sizes: bool = False) -> DataFrame:
+    """(rule, n): violations of each rule of a tokenizer directory; all 0 in a sound one.
+
+    With ``equal_sizes`` all languages have to have as many tokens; sizes beyond the first count.
+    """
     size = vocab.count()
     checks = {
         "duplicate_id": vocab.groupBy("token_id").count().where("count > 1"),
@@ -116,6 +119,9 @@ def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame) -> DataFr
         "language_id_unknown": lang_ids.join(F.broadcast(vocab.select("token_id")), "token_id", "left_anti"),
         "merge_not_buildable": unbuildable(merges, vocab),
     }
+    if equal_sizes:
+        sizes = lang_ids.groupBy("lang").count().select("count").distinct()
+        checks["unequal_sizes"] = sizes.withColumn("k", F.row_number().over(Window.orderBy("count"))).where("k > 1")
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, df in checks.items()]
     out = parts[0]
     for part in parts[1:]:

@@ -1,54 +1,13 @@
-"""Writing tokenizers, counts and metrics."""
+"""Writing of metrics, scores and counts."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexiloom.operators.bpe import BpeModel
-from lexiloom.operators.vocab import validate
-
-
-def write_json(data: object, path: str, indent: int | None = 2) -> None:
-    """A driver-side JSON file in UTF-8; folders are made."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(data, indent=indent, ensure_ascii=False), encoding="utf-8")
-
-
-def read_json(path: str) -> object:
-    """The content of a JSON file."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
-
-
-def write_tokenizer(spark: SparkSession, model: BpeModel, by_lang: dict[str, Sequence[int]], folder: str) -> None:
-    """Vocabulary, merges and language ids as Parquet tables, and the model file other tools read (tokenizer.json)."""
-    spark.createDataFrame([(i, t, i < 4) for t, i in model.vocab.items()], "token_id int, piece string, is_special boolean").write.mode("overwrite").parquet(f"{folder}/vocab")
-    merges = [(k, a, b) for k, (a, b) in enumerate(model.merges)]
-    spark.createDataFrame(merges, "merge_no int, a string, b string").write.mode("overwrite").parquet(f"{folder}/merges")
-    spark.createDataFrame([(x, i) for x, ids in by_lang.items() for i in ids], "lang string, token_id int").write.mode("overwrite").parquet(f"{folder}/lang_ids")
-    write_json({"model": {"type": "BPE", "vocab": model.vocab, "merges": [list(m) for m in model.merges]}}, f"{folder}/tokenizer.json")
-
-
-def read_tokenizer(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vocabulary, merges, language ids) of a tokenizer folder."""
-    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("vocab", "merges", "lang_ids"))
-
-
-def read_model_file(path: str) -> BpeModel:
-    """A BPE model file; merges may be pairs or strings with a blank between the parts."""
-    model = read_json(path)["model"]
-    return BpeModel(dict(model["vocab"]), [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]])
-
-
-def check_tokenizer(spark: SparkSession, folder: str) -> None:
-    """Raises ValueError with the rules that a tokenizer folder breaks."""
-    broken = {r.rule: r.n for r in validate(*read_tokenizer(spark, folder)).collect() if r.n}
-    if broken:
-        raise ValueError(f"{folder}: {broken}")
+from lexiloom.operators.order import block_of, rank_from_zero
+from lexiloom.sources.files import write_json
 
 
 def append_metrics(metrics: DataFrame, run: dict[str, str], folder: str) -> None:
@@ -60,3 +19,24 @@ def write_scores(scores: dict[str, float], round_no: int, spark: SparkSession, f
     """Scores of one training round, in a partition of its own."""
     rows = spark.createDataFrame([(p, s, round_no) for p, s in scores.items()], "piece string, score double, iter int")
     rows.write.mode("append").partitionBy("iter").parquet(folder)
+
+
+def write_nsl(nsl: DataFrame, path: str) -> None:
+    """Normalized sequence lengths (lang, n_tokens, n_tokens_ref, nsl) as one JSON object by language; as many rows as languages."""
+    write_json(nsl.sparkSession, {r.lang: {"nsl": r.nsl, "n_tokens": r.n_tokens, "n_tokens_ref": r.n_tokens_ref} for r in nsl.orderBy("lang").collect()}, path)
+
+
+def count_snapshots(counts: DataFrame, every: int) -> DataFrame:
+    """(doc_id, token_id, n) -> (snapshot, docs, token_id, n): counts of tokens in the first ``every``, twice ``every``, ... documents by doc_id and in all.
+
+    ``counts`` has a row with a null token for each document without tokens. A snapshot holds what was counted until then, tokens with none left out.
+    """
+    docs = counts.select("doc_id").distinct().withColumn("block", block_of("doc_id"))
+    placed = rank_from_zero(docs, [], ["block"], ["doc_id"], "place").withColumn("part", F.floor(F.col("place") / every))
+    sizes = placed.groupBy("part").agg((F.max("place") + 1).alias("docs"))  # a row a snapshot
+    parts = counts.where("token_id is not null").join(placed.select("doc_id", "part"), "doc_id").groupBy("part", "token_id").agg(F.sum("n").alias("n"))
+    last = sizes.agg(F.max("part").alias("last")).first().last or 0
+    order = Window.partitionBy("token_id").orderBy("part")  # a row a snapshot and token
+    upto = parts.withColumn("n", F.sum("n").over(order)).withColumn("until", F.coalesce(F.lead("part").over(order), F.lit(last + 1)) - 1)
+    held = upto.select("token_id", "n", F.explode(F.sequence("part", "until")).alias("part"))
+    return held.join(sizes, "part").select(F.col("part").alias("snapshot"), "docs", "token_id", "n")

@@ -1,11 +1,12 @@
 from lexiloom.operators import documents as D
-from lexiloom.sources import sinks, tasks, text
+from lexiloom.sources import files, models, sinks, tasks, text
 from lexiloom.operators.bpe import BpeModel
 from tests.conftest import rows
 import json
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, lang string, source string, file_id int, line_id long, text string"
 DOCS = [(1, "en", "a", 0, 0, "x\n\n  \ny"), (2, None, "a", 0, 1, None), (3, "en", "b", 1, 5, ""), (4, "fr", "b", 0, 4, "é")]
@@ -74,15 +75,18 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_text("one\n\n two \n")
     (tmp_path / "a.txt.zst").write_bytes(zstandard.compress(b"three\n"))
     (tmp_path / "sub").mkdir()
-    assert [f.rsplit("/", 1)[1] for f in text.source_files(str(tmp_path))] == ["a.txt.zst", "b.txt"]
+    assert [f.rsplit("/", 1)[1] for f in text.source_files(spark, str(tmp_path))] == ["a.txt.zst", "b.txt"]
     assert rows(text.documents(spark, str(tmp_path))) == [(0, 0, "one"), (0, 2, " two "), (1, 0, "three")]
     assert text.documents(spark, str(tmp_path), max_docs=1).collect()[0].text == "one"
     with pytest.raises(FileNotFoundError):
-        text.source_files(str(tmp_path / "sub"))
+        text.source_files(spark, str(tmp_path / "sub"))
     lines = tmp_path / "sub" / "c.jsonl"
     lines.write_text('{"text": "x\\ny"}\n\n{"other": 1}\n')
     assert rows(text.documents(spark, str(lines), "text")) == [(0, 0, "x\ny")]
     assert rows(text.pretraining_documents(spark, str(tmp_path / "sub"))) == [(0, 0, "x\ny")]
+    (tmp_path / "bad").write_text('{"text": "x"}\n{"text": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        text.documents(spark, str(tmp_path / "bad"), "text").collect()
     (tmp_path / "v").write_text(" p \n\nq\n")
     assert rows(text.vocabulary_file(spark, str(tmp_path / "v"))) == [("p",), ("q",)]
 
@@ -110,18 +114,54 @@ def test_task_sources(spark, tmp_path):
     assert rows(tasks.summaries(spark, jsonl("e", {"title": "t", "text": "x", "summary": "s"}), title="title")) == [("t\nx", "s")]
 
 
-def test_tokenizer_folder(spark, tmp_path):
+def test_tokenizer_folders(spark, tmp_path):
+    folder = lambda name: str(tmp_path / name)
     model = BpeModel()
     model.add("a", "b")
-    sinks.write_tokenizer(spark, model, {"en": [4, 5]}, str(tmp_path / "t"))
-    sinks.check_tokenizer(spark, str(tmp_path / "t"))
-    assert sinks.read_model_file(str(tmp_path / "t" / "tokenizer.json")).merges == [("a", "b")]
-    broken = BpeModel(dict(model.vocab), [("a", "missing")])
-    sinks.write_tokenizer(spark, broken, {"en": [10**6]}, str(tmp_path / "u"))
+    models.write_bpe(spark, model, {"en": [4, 5], "fr": [6, 7]}, folder("t"))
+    models.check(spark, folder("t"), ["en"])
+    loaded = models.load_model(spark, folder("t"))
+    assert loaded.kind == "bpe" and loaded.bpe == model and loaded.lang_ids == {"en": [4, 5], "fr": [6, 7]}
+    assert models.load_model(spark, folder("t/tokenizer.json")).lang_ids == loaded.lang_ids and loaded.table(spark).count() == len(model.vocab)
+    assert models.replaced(loaded, {"a": 0}, []).pieces == ["a"]
+    with pytest.raises(KeyError):
+        models.check(spark, folder("t"), ["xx"])
+    models.write_bpe(spark, BpeModel(dict(model.vocab), [("a", "missing")]), {"en": [10**6], "fr": [1, 2]}, folder("u"))
+    broken = {r.rule: r.n for r in models.faults(spark, folder("u")).collect() if r.n}
+    assert broken == {"language_id_unknown": 1, "merge_not_buildable": 2, "unequal_sizes": 1}
     with pytest.raises(ValueError):
-        sinks.check_tokenizer(spark, str(tmp_path / "u"))
+        models.check(spark, folder("u"))
+    with pytest.raises(FileNotFoundError):
+        models.load_model(spark, folder("nothing"))
+    files.write_json(spark, {"model": {"type": "WordPiece"}}, folder("w/tokenizer.json"))
+    with pytest.raises(ValueError):
+        models.load_model(spark, folder("w"))
+
+
+def test_unigram_folders_are_merged(spark, tmp_path):
+    folder = lambda name: str(tmp_path / name)
+    models.write_unigram(spark, [("<unk>", 0.0), ("a", -1.0), ("é", -2.0)], {"en": [0, 1, 2]}, folder("en"))
+    models.write_unigram(spark, [("<unk>", 0.0), ("b", -1.0), ("a", -9.0)], {"fr": [0, 1, 2]}, folder("fr"))
+    merged = models.merge_unigram(spark, [folder("en"), folder("fr")], ["en", "fr"], folder("both"))
+    assert merged.scores == [("<unk>", 0.0), ("a", -1.0), ("é", -2.0), ("b", -1.0)] and merged.lang_ids == {"en": [0, 1, 2], "fr": [0, 3, 1]}
+    with pytest.raises(ValueError):
+        models.merge_unigram(spark, [folder("en")], ["en", "fr"], folder("x"))
+    with pytest.raises(ValueError):
+        models.replaced(merged, {}, [])
+
+
+def test_sinks(spark, tmp_path):
     sinks.append_metrics(spark.createDataFrame([(1.5,)], "loss double"), {"run": "r"}, str(tmp_path / "m"))
     sinks.append_metrics(spark.createDataFrame([(2.5,)], "loss double"), {"run": "r"}, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
     sinks.write_scores({"a": -1.0}, 3, spark, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).first().iter == 3
+    counts = spark.createDataFrame([(1, 7, 2), (2, None, None), (3, 7, 1), (3, 8, 1), (4, 9, 5)], "doc_id long, token_id int, n long")
+    assert rows(sinks.count_snapshots(counts, 2)) == [(0, 2, 7, 2), (1, 4, 7, 3), (1, 4, 8, 1), (1, 4, 9, 5)]
+    assert sinks.count_snapshots(counts.where("false"), 2).count() == 0
+    files.write_json(spark, {"k": "é"}, str(tmp_path / "j" / "a.json"), ascii_only=True)
+    assert files.read_bytes(spark, str(tmp_path / "j" / "a.json")) == b'{\n    "k": "\\u00e9"\n}' and files.read_json(spark, str(tmp_path / "j" / "a.json")) == {"k": "é"}
+    files.write_single(spark.range(5).select(F.col("id").cast("string")).orderBy(F.desc("id")), str(tmp_path / "one.txt"))
+    assert files.read_bytes(spark, str(tmp_path / "one.txt")) == b"4\n3\n2\n1\n0\n"
+    with pytest.raises(FileNotFoundError):
+        files.read_bytes(spark, str(tmp_path / "none"))

@@ -160,6 +160,11 @@ def test_config_layers(tmp_path):
     with pytest.raises(ValueError):
         config.parse(sampling.SamplingConfig, {"nope": 1})
     assert config.names("a, b,") == ["a", "b"]
+    (tmp_path / "deep.yaml").write_text("config: [top.json]\na:\n  x: 9\nc: [1, 2]\n")
+    assert config.merge(config.layers(str(tmp_path / "deep.yaml"))) == {"a": {"x": 9, "y": 3}, "b": 1, "c": [1, 2]}
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    with pytest.raises(ValueError):
+        config.layers(str(tmp_path / "list.yaml"))
 
 
 def test_masks_by_strategy(spark):
