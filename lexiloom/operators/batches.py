@@ -39,6 +39,12 @@ def batch_factors(parts: DataFrame) -> DataFrame:
     return sums.select("lang", "subtok", "b", "n_tokens", "n_docs", "ready_pos", factor.alias("c_bpb"))
 
 
+def readiness(stream: DataFrame, n_target: int) -> DataFrame:
+    """(lang, subtok, n_ready, waiting): full batches of each buffer, and its tokens beyond them."""
+    sums = stream.groupBy("lang", "subtok").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"))
+    return sums.select("lang", "subtok", F.expr(f"n div {n_target}").alias("n_ready"), (F.col("n") % n_target).alias("waiting"))
+
+
 def emission_order(factors: DataFrame) -> DataFrame:
     """``factors`` with ``nth``, the place of each batch among those of its language."""
     return rank_from_zero(factors.withColumn("block", block_of("ready_pos")), ["lang"], ["block"], ["ready_pos", "b"], "nth").drop("block")

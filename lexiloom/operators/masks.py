@@ -29,7 +29,8 @@ def language_masks(strategy: Extraction, vocab: DataFrame, langs: list[str], cou
     """
     spark = vocab.sparkSession
     named = spark.createDataFrame([(x,) for x in langs], "lang string")
-    every = named.withColumn("one", F.lit(1)).join(vocab.withColumn("one", F.lit(1)), "one")
+    # Each language with the whole vocabulary: the languages are configuration, the vocabulary stays where it is.
+    every = vocab.withColumn("lang", F.explode(F.array(*map(F.lit, langs)))) if langs else vocab.withColumn("lang", F.lit(None).cast("string")).where("false")
     if strategy is Extraction.NONE:
         return every.select("lang", "token_id")
     table = {Extraction.COMMON: counts, Extraction.MERGED_NORM: lang_ids, Extraction.MERGED_SEQ_BPE: lang_ids, Extraction.MERGED_UNNORM: own_vocabs}[strategy]

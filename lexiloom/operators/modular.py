@@ -35,6 +35,10 @@ class ModularTokenizer:
             return sorted(self.model.vocab.values())
         return sorted(specials.union(*(self.masks.get(x.strip(), set()) for x in subtok.split(","))))
 
+    def is_modular(self, subtok: str | None) -> bool:
+        """Whether a subtokenizer sees a part of the vocabulary only."""
+        return subtok not in (None, "all")
+
     def rules(self, subtok: str | None) -> list[tuple[int, str, str]]:
         """Ranked merges among the tokens that a subtokenizer sees."""
         seen = set(self.ids(subtok))

@@ -31,6 +31,12 @@ def task_formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TASK_FORMATS), "task string, prefix string, question_pattern string, answer_pattern string, shots int")
 
 
+def topic_prefix(task: str, topic: Column) -> Column:
+    """The opening line of a task with its topic, underscores as blanks."""
+    prefix = next(p for name, p, *_ in TASK_FORMATS if name == task)
+    return F.replace(F.lit(prefix), F.lit("{topic}"), F.replace(topic, F.lit("_"), F.lit(" ")))
+
+
 def filled(pattern: Column | str, question: Column, answer: Column) -> Column:
     """``pattern`` with its question and answer; nulls count as empty."""
     pattern = F.col(pattern) if isinstance(pattern, str) else pattern

@@ -55,3 +55,13 @@ def kept_steps(steps: Iterable[int], keep_last: int, period: int | None = None,
     known = sorted(s for s in set(steps) if rewind_to is None or s <= rewind_to)
     last = set(known[-keep_last:]) if keep_last > 0 else set()
     return [s for s in known if s in last or period and s % period == 0]
+
+
+def listed_steps(names: Iterable[str]) -> list[int]:
+    """Steps among the names in a folder of checkpoints, in order; other names are passed over."""
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def log_time(at: Column) -> Column:
+    """A time as log lines show it."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")

@@ -50,6 +50,11 @@ def subtokenizer_name(langs: Sequence[str]) -> str:
     return ",".join(sorted(set(langs)))
 
 
+def name_of(langs: Column) -> Column:
+    """:func:`subtokenizer_name` of an array of languages."""
+    return F.array_join(F.array_sort(F.array_distinct(langs)), ",")
+
+
 def subtokenizer_mask(masks: DataFrame, vocab: DataFrame, subtok: str | None) -> DataFrame:
     """Distinct token_ids of a subtokenizer: the union of its languages and the special tokens; unknown languages add nothing.
 
@@ -106,10 +111,10 @@ def underived(vocab: DataFrame, merges: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(built), "piece", "left_anti").select("token_id", "piece")
 
 
-def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame, equal_sizes: bool = False) -> DataFrame:
+def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """(rule, n): violations of each rule of a tokenizer directory; all 0 in a sound one.
 
-    With ``equal_sizes`` all languages have to have as many tokens; sizes beyond the first count.
+    ``extracted`` (lang, piece), the vocabularies of subtokenizers, have to be part of the global one and as large as the language's ids.
     """
     size = vocab.count()
     checks = {
@@ -119,9 +124,10 @@ def validate(vocab: DataFrame, merges: DataFrame, lang_ids: DataFrame, equal_siz
         "language_id_unknown": lang_ids.join(F.broadcast(vocab.select("token_id")), "token_id", "left_anti"),
         "merge_not_buildable": unbuildable(merges, vocab),
     }
-    if equal_sizes:
-        sizes = lang_ids.groupBy("lang").count().select("count").distinct()
-        checks["unequal_sizes"] = sizes.withColumn("k", F.row_number().over(Window.orderBy("count"))).where("k > 1")
+    if extracted is not None:
+        sizes = [df.groupBy("lang").agg(F.count("*").alias(name)) for df, name in ((extracted, "pieces"), (lang_ids, "ids"))]
+        checks["extracted_unknown"] = extracted.join(F.broadcast(vocab.select("piece")), "piece", "left_anti")
+        checks["extracted_size"] = sizes[0].join(sizes[1], "lang", "left").where("not pieces <=> ids")
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, df in checks.items()]
     out = parts[0]
     for part in parts[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import catalogue, evaluation, loader  # noqa: F401
+from lexiloom.plans import catalogue, evaluation, loader, small, sources  # noqa: F401
 from lexiloom.plans.registry import ORACLES, QUERIES, ship
 
 __all__ = ["ORACLES", "QUERIES", "ship"]

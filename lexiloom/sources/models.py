@@ -78,10 +78,21 @@ def load_model(spark: SparkSession, path: str) -> Loaded:
     raise ValueError(f"{file}: unknown kind of model {model['type']!r}")
 
 
-def write_bpe(spark: SparkSession, model: BpeModel, lang_ids: Mapping[str, Sequence[int]], folder: str) -> None:
-    """A BPE folder: the model file and the language ids."""
-    write_json(spark, {"model": {"type": "BPE", "vocab": model.vocab, "merges": [list(m) for m in model.merges]}}, global_path(folder))
+def _bpe_file(model: BpeModel) -> dict:
+    return {"model": {"type": "BPE", "vocab": model.vocab, "merges": [list(m) for m in model.merges]}}
+
+
+def extracted_path(folder: str, lang: str) -> str:
+    """The model file of a language's subtokenizer."""
+    return f"{folder}/extracted/{lang}/{MODEL_NAMES[1]}"
+
+
+def write_bpe(spark: SparkSession, model: BpeModel, lang_ids: Mapping[str, Sequence[int]], folder: str, extracted: Mapping[str, BpeModel] | None = None) -> None:
+    """A BPE folder: the model file, the language ids and the subtokenizers of languages."""
+    write_json(spark, _bpe_file(model), global_path(folder))
     write_json(spark, {x: list(ids) for x, ids in lang_ids.items()}, lang_ids_path(folder))
+    for lang, sub in (extracted or {}).items():
+        write_json(spark, _bpe_file(sub), extracted_path(folder, lang))
 
 
 def write_unigram(spark: SparkSession, scores: Sequence[tuple[str, float]], lang_ids: Mapping[str, Sequence[int]], folder: str) -> None:
@@ -104,10 +115,12 @@ def faults(spark: SparkSession, folder: str, langs: Sequence[str] | None = None)
         raise FileNotFoundError(lang_ids_path(folder))
     if missing := [x for x in langs or () if x not in loaded.lang_ids]:
         raise KeyError(f"no ids of {missing}")
-    ids = [(x, i) for x, mine in loaded.lang_ids.items() if langs is None or x in langs for i in mine]
-    table = loaded.table(spark).select("token_id", "piece")
+    mine = [x for x in loaded.lang_ids if langs is None or x in langs]
+    ids = [(x, i) for x in mine for i in loaded.lang_ids[x]]
+    subs = [(x, t) for x in mine if is_file(spark, extracted_path(folder, x)) for t in load_model(spark, extracted_path(folder, x)).pieces]
     merges = [(k, *m) for k, m in enumerate(loaded.bpe.merges)] if loaded.bpe else []
-    return validate(table, spark.createDataFrame(merges, "merge_no int, a string, b string"), spark.createDataFrame(ids, "lang string, token_id int"), equal_sizes=loaded.kind == "bpe")
+    tables = (merges, "merge_no int, a string, b string"), (ids, "lang string, token_id int"), (subs, "lang string, piece string")
+    return validate(loaded.table(spark).select("token_id", "piece"), *(spark.createDataFrame(rows, schema) for rows, schema in tables))
 
 
 def check(spark: SparkSession, folder: str, langs: Sequence[str] | None = None) -> None:
@@ -145,11 +158,11 @@ def write_steps(spark: SparkSession, steps: Sequence[Step], folder: str) -> None
     last = steps[-1].model
     for k, step in enumerate(steps):
         for name, model in (("sequential", step.model), ("extracted", step.extracted)):
-            write_json(spark, {"model": {"type": "BPE", "vocab": model.vocab, "merges": [list(m) for m in model.merges]}}, f"{folder}/{name}/step_{k}_{step.lang}/{MODEL_NAMES[1]}")
+            write_json(spark, _bpe_file(model), f"{folder}/{name}/step_{k}_{step.lang}/{MODEL_NAMES[1]}")
         if step.units:
             write_json(spark, ["".join(u) for u in step.units], f"{folder}/added/step_{k}_{step.lang}/vocab.json", ascii_only=True)
             write_json(spark, [" ".join(u) for u in step.units], f"{folder}/added/step_{k}_{step.lang}/merges.json", ascii_only=True)
-    write_bpe(spark, last, {s.lang: [last.vocab[t] for t in s.extracted.vocab] for s in steps}, folder)
+    write_bpe(spark, last, {s.lang: [last.vocab[t] for t in s.extracted.vocab] for s in steps}, folder, {s.lang: s.extracted for s in steps})
 
 
 __all__ = ["Loaded", "check", "exists", "faults", "find_model", "global_path", "lang_ids_path", "load_model", "merge_unigram", "replaced", "write_bpe", "write_steps", "write_unigram"]

@@ -52,9 +52,9 @@ def parallel(left: DataFrame, right: DataFrame | None = None, reverse: bool = Fa
         both = left.join(right.select("line_id", F.col("question").alias("q2"), F.col("answer").alias("a2")), "line_id")
         if both.where("not question <=> q2").limit(1).count():
             raise ValueError("the files don't hold the same questions")
-        left = both.select("line_id", F.col("answer")[0].alias("question"), F.col("a2").alias("answer"))
+        left = both.select("line_id", F.get("answer", F.lit(0)).alias("question"), F.col("a2").alias("answer"))
     if reverse:
-        left = left.select("line_id", F.col("answer")[0].alias("question"), F.array("question").alias("answer"))
+        left = left.select("line_id", F.get("answer", F.lit(0)).alias("question"), F.array("question").alias("answer"))
     return left
 
 

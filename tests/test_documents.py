@@ -126,9 +126,9 @@ def test_tokenizer_folders(spark, tmp_path):
     assert models.replaced(loaded, {"a": 0}, []).pieces == ["a"]
     with pytest.raises(KeyError):
         models.check(spark, folder("t"), ["xx"])
-    models.write_bpe(spark, BpeModel(dict(model.vocab), [("a", "missing")]), {"en": [10**6], "fr": [1, 2]}, folder("u"))
+    models.write_bpe(spark, BpeModel(dict(model.vocab), [("a", "missing")]), {"en": [10**6], "fr": [1, 2]}, folder("u"), {"fr": BpeModel({"a": 0, "b": 1, "zz": 2}, [])})
     broken = {r.rule: r.n for r in models.faults(spark, folder("u")).collect() if r.n}
-    assert broken == {"language_id_unknown": 1, "merge_not_buildable": 2, "unequal_sizes": 1}
+    assert broken == {"language_id_unknown": 1, "merge_not_buildable": 2, "extracted_unknown": 1, "extracted_size": 1}
     with pytest.raises(ValueError):
         models.check(spark, folder("u"))
     with pytest.raises(FileNotFoundError):
