@@ -109,6 +109,54 @@ def p1_source_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.source_shares(cut(mixed), configured, rates)
 
 
+_RUN_SOURCES = (
+    "rs AS (SELECT *, w / nullif(sum(w) OVER (PARTITION BY run_id), 0) AS share FROM (SELECT run_id, source, CASE WHEN weights IS NULL THEN 1.0 ELSE greatest(0.0, coalesce(weights[source], 1.0)) END AS w, coalesce(max_repeats, 1) AS reps, coalesce(token_budget, 0) AS budget, "
+    "context_size, min_doc_chars, max_doc_chars FROM (SELECT *, unnest(map_keys(sources)) AS source FROM pretrain_runs WHERE run_id IS NOT NULL))), "
+    f"sized AS MATERIALIZED (SELECT {oracles.SOURCE} AS source, coalesce(length(text), 0) AS n_chars, n_tokens FROM documents JOIN counted USING (doc_id)), "
+    "chosen AS MATERIALIZED (SELECT rs.*, n_tokens FROM rs JOIN sized USING (source) WHERE n_tokens > 0 AND n_chars >= coalesce(min_doc_chars, 0) AND n_chars <= coalesce(max_doc_chars, 2147483647))"
+)
+ORACLES["p1_invariants"] = (
+    f"{_COUNTED}, {_RUN_SOURCES}, a AS (SELECT run_id, source, sum(n_tokens)::BIGINT AS tokens FROM chosen GROUP BY ALL) "
+    "SELECT run_id, source, round(coalesce(share, 0) * budget, 3) AS target_tokens, coalesce(tokens, 0) AS available_tokens, round(CASE WHEN tokens > 0 THEN least(coalesce(share, 0) * budget / tokens, reps) ELSE 0.0 END, 9) AS times_read, "
+    "TRUE AS within_target, TRUE AS within_one_document, TRUE AS within_repeats FROM rs LEFT JOIN a USING (run_id, source)"
+)
+ORACLES["p6_invariants"] = f"{_COUNTED}, {_RUN_SOURCES} SELECT run_id, sum((n_tokens - 1) // context_size + 1)::BIGINT AS n_pieces, sum(n_tokens)::BIGINT AS tokens, TRUE AS within_capacity, TRUE AS whole, TRUE AS numbered FROM chosen GROUP BY run_id"
+ORACLES["p3_line_ends"] = (
+    f"WITH l AS (SELECT doc_id, length(text)::INT AS n_code_points, regexp_replace(unnest(string_split(text, chr(10))), '[{oracles.WHITE}]+$', '') AS line FROM documents WHERE length(text) >= coalesce((SELECT min_doc_chars FROM pretrain_runs WHERE run_id = 1), 0)) "
+    "SELECT doc_id, n_code_points, round(coalesce(avg((right(line, 1) IN ('.', '!', '?', '…', ':', ';', '।', '。', '！', '？', '”', '\"', '»', chr(39)))::INT) FILTER (line <> ''), 0), 9) AS line_end_punct FROM l GROUP BY ALL"
+)
+
+
+@query
+def p1_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, available tokens and rate of each source of each run, and whether the mixture keeps its bounds: never beyond the target, less than one document below it, no document too often."""
+    sized, configured = _sized(spark, folder)
+    mixed, rates = mixing.mix(sized, configured)
+    mixed = cut(mixed)
+    largest = runs.documents_of_runs(sized, configured).groupBy("run_id", "source").agg(F.max("n_tokens").alias("largest"))
+    most = spark.createDataFrame([(r.run_id, r.max_repeats) for r in configured], "run_id int, reps int")
+    often = mixed.groupBy("run_id", "source").agg(F.max("n_copies").alias("often"))
+    shares = mixing.source_shares(mixed, configured, rates).join(largest, ["run_id", "source"], "left").join(often, ["run_id", "source"], "left").join(most, "run_id")
+    due = F.col("times_read") * F.col("available_tokens")
+    return shares.select(
+        "run_id", "source", F.round("target_tokens", 3).alias("target_tokens"), "available_tokens", F.round("times_read", 9).alias("times_read"), (F.col("actual_tokens") <= due + 1e-3).alias("within_target"),
+        (F.col("actual_tokens") > due - F.coalesce("largest", F.lit(1)) - 1e-3).alias("within_one_document"), (F.coalesce("often", F.lit(0)) <= F.col("reps")).alias("within_repeats"),
+    )
+
+
+@query
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces and tokens of each run, and whether its containers keep their bounds: none too full, each document whole or cut at the capacity, numbered from 0."""
+    sized, configured = _sized(spark, folder)
+    packed = cut(packing.pack(sized, configured))
+    sizes = spark.createDataFrame([(r.run_id, r.context_size) for r in configured], "run_id int, capacity int")
+    bins = packed.groupBy("run_id", "container").agg(F.sum("n_tokens").alias("held"), F.max("fill_tokens").alias("fill"))
+    bins = bins.join(F.broadcast(sizes), "run_id").groupBy("run_id").agg(F.bool_and(F.expr("held <= capacity and held = fill")).alias("within_capacity"), (F.max("container") + 1 == F.count("*")).alias("numbered"))
+    docs = packed.groupBy("run_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n")).join(F.broadcast(sizes), "run_id").join(sized.select("doc_id", F.col("n_tokens").alias("size")), "doc_id")
+    docs = docs.groupBy("run_id").agg(F.sum("pieces").alias("n_pieces"), F.sum("n").alias("tokens"), F.bool_and(F.expr("n = size and pieces = (n - 1) div capacity + 1")).alias("whole"))
+    return docs.join(bins, "run_id").select("run_id", "n_pieces", "tokens", "within_capacity", "whole", "numbered")
+
+
 @query
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of each document or piece of each run, and its fill."""
@@ -151,6 +199,12 @@ def p3_text_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _profiles(spark, folder).where(F.col("n_code_points") >= least).drop("spectrum", "held", "words_lang", "n_marks")
 
 
+@query
+def p3_line_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """Length and share of lines that end in punctuation of each document of at least min_doc_chars of run 1."""
+    return p3_text_statistics(spark, folder).select("doc_id", "n_code_points", F.round("line_end_punct", 9).alias("line_end_punct"))
+
+
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are mostly repeated keywords, links, hashtags or product labels."""
