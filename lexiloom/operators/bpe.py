@@ -8,7 +8,8 @@ written each round and the words every ``CUT_EVERY`` rounds. Vocabularies and me
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -50,31 +51,45 @@ class BpeModel:
         self.vocab.setdefault(left + right, len(self.vocab))
 
 
-def independent(ranked: Sequence[tuple[str, str, int]], whole: bool, exists: Callable[[str], bool], most: int) -> list[tuple[str, str, int]]:
-    """The first of the ranked (left, right, freq) that merging one at a time would take in this order, too.
+def independent(ranked: Sequence[tuple[str, str, int]], whole: bool, exists: Callable[[str], bool], most: int, key: Callable[[str, str], tuple]) -> list[tuple[str, str, int]]:
+    """The first of the ranked (left, right, freq) that merging one at a time would take in this order, too; equal counts are in order of ``key``.
 
-    A pair that opens with what an earlier one ends with, or ends with what it opens with, changes its count; and a new pair is at most as
-    frequent as such a neighbour, so it can only come in between where one has the same count. After a pair of equal symbols, or one whose
-    token ``exists``, that doesn't hold, so it is the last. Without ``whole`` further pairs may have the last count. An empty right is a symbol of its own.
+    A pair that opens with what an earlier one ends with, or ends with what that opens with, changes its count. A new pair is at most as
+    frequent as such a neighbour, so it can only come in between where one has the same count, at the place that its own key gives it. After a
+    pair of equal symbols, or one whose token ``exists``, that doesn't hold, so it is the last. Without ``whole`` further pairs may have the
+    last count. An empty right is a symbol of its own.
     """
     taken: list[tuple[str, str, int]] = []
-    opens: set[str] = set()
-    ends: set[str] = set()
+    opens: dict[str, list[str]] = {}
+    ends: dict[str, list[str]] = {}
     made: set[str] = set()
-    for freq, ties in groupby(ranked, key=lambda r: r[2]):
-        ties = list(ties)
+
+    def new_keys(left: str, right: str) -> Iterator[tuple]:
+        """Keys of the pairs that merges so far make of the occurrences of a pair."""
+        for a in ends.get(left, ()):
+            yield key(a, right)
+            yield from (key(a, b) for b in opens.get(right, ()))
+        yield from (key(left, b) for b in opens.get(right, ()))
+
+    for freq, group in groupby(ranked, key=lambda r: r[2]):
+        ties = list(group)
         if not whole and freq == ranked[-1][2]:
             return taken or ties[:1]
+        pairs = [(a, b) for a, b, _ in ties if b]
+        bound = min((k for a, b in pairs for k in new_keys(a, b)), default=None)
         for left, right, _ in ties:
-            if len(taken) >= most or any(a in ends or b in opens for a, b, _ in ties if b):
+            if len(taken) >= most or bound is not None and not key(left, right) < bound or right and (left in ends or right in opens):
                 return taken
             taken.append((left, right, freq))
             if right:
-                opens.add(left)
-                ends.add(right)
-                if left == right or left + right in made or exists(left + right):
+                token = left + right
+                if left == right or token in made or exists(token):
                     return taken
-                made.add(left + right)
+                made.add(token)
+                opens.setdefault(left, []).append(token)
+                ends.setdefault(right, []).append(token)
+                touched = (k for a, b in pairs if a == right or b == left for k in new_keys(a, b))
+                bound = min((k for k in (bound, *touched) if k is not None), default=None)
     return taken
 
 
@@ -134,7 +149,7 @@ def train(docs: DataFrame, vocab_size: int) -> BpeModel:
             rows = [(r.left, r.right, r.freq) for r in ranked.orderBy("a", "b").limit(1).collect()]
         else:
             rows = _ordered(rows, whole, lambda r: (model.vocab[r[0]], model.vocab[r[1]]))
-        taken = independent(rows, known, lambda t: t in model.vocab, min(BATCH, vocab_size - len(model.vocab)))
+        taken = independent(rows, known, lambda t: t in model.vocab, min(BATCH, vocab_size - len(model.vocab)), lambda a, b: (model.vocab.get(a, math.inf), model.vocab.get(b, math.inf)))
         for left, right, _ in taken:
             model.add(left, right)
         table.merge([x[:2] for x in taken])
@@ -162,7 +177,7 @@ def continue_training(docs: DataFrame, base: BpeModel, extension_size: int, max_
         only = not whole and rows[0][2] == rows[-1][2]
         rows = rows[:1] if only else _ordered(rows, whole, lambda r: r[:2])
         taken = []
-        for left, right, freq in independent(rows, True, lambda t: t in met, BATCH):
+        for left, right, freq in independent(rows, True, lambda t: t in met, BATCH, lambda a, b: (a, b)):
             tokens.setdefault(left + right)
             units.append((left, right) if right else (left,))
             met.add(left + right)
