@@ -270,6 +270,16 @@ def few_shot_prompts(examples: DataFrame, shots: int, prefix: str, pattern: str,
     return asked.select(*by, "id", F.concat(F.coalesce("head", F.lit(prefix + "\n\n")), F.rtrim(text(F.lit("")))).alias("prompt"))
 
 
+def top_n_choice(logits: DataFrame, n: int, temperature: float, draw: Column, *by: str) -> DataFrame:
+    """(by..., token_id, logit) -> (by..., token_id): one of the ``n`` tokens of greatest logit (of equal ones the smaller id), drawn by softmax at a temperature.
+
+    ``draw`` is a number in (0, 1) for each row; the greatest of logit / temperature - ln(-ln(draw)) is such a draw. At temperature 0 it is the greatest logit.
+    """
+    ranked = logits.withColumn("_u", draw).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("logit"), "token_id"))).where(F.col("_k") <= n)
+    score = F.col("logit") / temperature - F.log(-F.log("_u")) if temperature > 0 else F.col("logit")
+    return ranked.groupBy(*by).agg(F.max_by("token_id", F.struct(score, -F.col("_k"))).alias("token_id"))
+
+
 def first_line(text: Column | str) -> Column:
     """The first line of an output, without surrounding blanks."""
     return F.trim(F.split_part(F.col(text) if isinstance(text, str) else text, F.lit("\n"), F.lit(1)))

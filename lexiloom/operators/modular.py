@@ -70,6 +70,21 @@ class ModularTokenizer:
 
         return docs.select(F.col("doc_id").cast("long"), pretokens("text").alias("words")).mapInArrow(run, "doc_id long, tokens array<int>")
 
+    def encode_parts(self, parts: DataFrame, subtoks: dict[str, str | None], bos: bool = True) -> DataFrame:
+        """(doc_id, k, side, text) -> (doc_id, tokens): the parts of each prompt in order of ``k``, each by the subtokenizer of its side.
+
+        Prompts whose questions and answers are read under different subtokenizers are made so; ids are global. ``subtoks`` names sides.
+        """
+        out = None
+        for side, subtok in subtoks.items():
+            # Both passes of one side go through the same rules; the place of a part stays with it.
+            mine = parts.where(F.col("side") == side).select("doc_id", "k", "text")
+            keyed = mine.select(F.xxhash64("doc_id", "k").alias("doc_id"), "text")
+            ids = mine.select("doc_id", "k", F.xxhash64("doc_id", "k").alias("key")).join(self.encode(keyed, subtok, False, False).withColumnRenamed("doc_id", "key"), "key").select("doc_id", "k", "tokens")
+            out = ids if out is None else out.unionByName(ids)
+        joined = out.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+        return joined.withColumn("tokens", F.concat(F.array(F.lit(self.model.vocab["<s>"])), "tokens")) if bos else joined
+
     def truncate(self, docs: DataFrame, budget: int, subtok: str | None = None) -> DataFrame:
         """(doc_id, tokens, text): the first ``budget`` tokens of each text and the text they stand for."""
         tokens = self.encode(docs, subtok, bos=False, eos=False).withColumn("tokens", F.slice("tokens", 1, budget))

@@ -158,3 +158,21 @@ def restored_stream(spark: SparkSession, folder: str) -> DataFrame:
     if faults := batches.restore_faults(stream.where("n_tokens > 0"), state, facts, facts):
         raise ValueError("; ".join(faults))
     return batches.restore(stream, state).select("lang", "subtok", "pos", "doc_id", F.col("used").cast("long").alias("used"))
+
+
+_PARTS = "SELECT DISTINCT rec_id AS doc_id, {0} AS text FROM parallel_items WHERE rec_id IS NOT NULL"
+
+
+@query(
+    f"WITH q AS MATERIALIZED ({ids_sql(_PARTS.format(chr(39) + 'en: ' + chr(39) + ' || coalesce(question, ' + chr(39) * 2 + ')'))} SELECT doc_id, ids FROM ids), "
+    f"a AS MATERIALIZED ({ids_sql(_PARTS.format(chr(39) + ' out: ' + chr(39) + ' || coalesce(answer[1], ' + chr(39) * 2 + ')'), 'rules2', 'p', _SUB)} SELECT doc_id, ids FROM ids) "
+    "SELECT doc_id, array_to_string(list_concat([(SELECT token_id FROM tok_vocab WHERE piece = '<s>')], list_concat(q.ids, a.ids)), ' ') AS ids FROM q JOIN a USING (doc_id)"
+)
+def token_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of translations whose questions are read with the whole vocabulary and whose answers with one source's subtokenizer."""
+    items = table(spark, folder, "parallel_items").where("rec_id is not null").select("rec_id", F.coalesce("question", F.lit("")).alias("q"), F.coalesce(F.get("answer", F.lit(0)), F.lit("")).alias("a")).distinct()
+    sides = F.array(F.struct(F.lit(0).alias("k"), F.lit("q").alias("side"), F.concat(F.lit("en: "), "q").alias("text")), F.struct(F.lit(1).alias("k"), F.lit("a").alias("side"), F.concat(F.lit(" out: "), "a").alias("text")))
+    parts = items.select(F.col("rec_id").alias("doc_id"), F.explode(sides).alias("x")).select("doc_id", "x.k", "x.side", "x.text")
+    mask = _mask(spark, folder).where("lang = 'news_feed'")
+    tokenizer = modular.ModularTokenizer(_model(spark, folder), {"news_feed": {r.token_id for r in mask.collect()}})
+    return tokenizer.encode_parts(parts, {"q": None, "a": "news_feed"}).select("doc_id", _shown("tokens").alias("ids"))

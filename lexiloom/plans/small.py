@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import config
 from lexiloom.functions import seeds
-from lexiloom.operators import batches, documents, masks, modular, prompts, reports, sampling, vocab
+from lexiloom.operators import batches, documents, masks, metrics, modular, prompts, reports, sampling, vocab
 from lexiloom.plans import oracles as O
 from lexiloom.plans.catalogue import _LISTS, _MASK_SQL, _docs, _mask, _model, _source_counts, _stream, _stream_sql, _word_lists
 from lexiloom.plans.registry import query
@@ -221,6 +221,19 @@ def topic_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return topics.select("task", prompts.topic_prefix("mmlu", F.col("task")).alias("prefix"))
 
 
+_U = "(('0x' || substr(md5('5/' || lang || '/' || token_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
+@query(
+    f"{_MASK_SQL}, r AS (SELECT lang, token_id, ln(n + 1) AS logit, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token_id) AS k FROM counts WHERE lang IS NOT NULL) "
+    f"SELECT lang, arg_max(token_id, logit / 0.8 - ln(-ln({_U}))) AS token_id FROM r WHERE k <= 40 GROUP BY lang"
+)
+def sampled_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """A token for each source, drawn at a temperature from the 40 most frequent ones."""
+    logits = _source_counts(spark, folder).select("lang", "token_id", F.log(F.col("n") + 1).alias("logit"))
+    return metrics.top_n_choice(logits, 40, 0.8, documents.uniform(F.lit(5), F.col("lang"), F.col("token_id")), "lang")
+
+
 # Configuration
 
 

@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom import cli
 from lexiloom.operators import bpe, modular, unigram, words
 from lexiloom.plans import oracles as O
 from lexiloom.plans.catalogue import _EM, _LISTS, _docs, _merges, _model, _nsl_sql, _piece_list, _round_sql, _sentences, _word_lists
@@ -334,3 +335,24 @@ def count_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     tokens = modular.ModularTokenizer(_model(spark, folder), {}).encode(_docs(spark, folder), bos=False, eos=False)
     each = tokens.select("doc_id", F.explode_outer("tokens").alias("token_id")).groupBy("doc_id", "token_id").agg(F.count("*").alias("n"))
     return sinks.count_snapshots(cut(each), _EVERY)
+
+
+# Commands
+
+
+@query(f"{O.bpe_merges(16)} " + " UNION ALL ".join(f'SELECT {k} AS merge_no, "left" AS a, "right" AS b FROM m{k}' for k in range(16)))
+def command_train_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The first merges that the training command finds in all documents, written as JSON lines, with its settings in a file."""
+    path = _json(_docs(spark, folder).select("text").where("text is not null"))
+    cli.run(spark, "train-bpe", [f"input_path={path}", f"output_dir={path}-model", "text_field=text", f"vocab_size={len(bpe.base_vocabulary()) + 16}"])
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(models.load_model(spark, f"{path}-model").bpe.merges)], "merge_no int, a string, b string")
+
+
+@query(
+    f"{O.encoded(O.ALL_WORDS, 'freq')}, c AS (SELECT piece, sum(freq)::BIGINT AS n FROM (SELECT freq, unnest(string_split(done[2:-2], chr(2) || chr(1))) AS piece FROM enc) GROUP BY piece) "
+    "SELECT 'all' AS lang, token_id, piece, coalesce(n, 0) AS n FROM tok_vocab LEFT JOIN c USING (piece)"
+)
+def command_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of tokens that the counting command writes for all documents."""
+    path = _json(_docs(spark, folder).select("text").where("text is not null"))
+    return cli.run(spark, "count", [f"input_path={path}", f"model_path={_bpe_folder(spark, folder)}", f"output_dir={path}-counts", "lang=all", "text_field=text"])
