@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import groupby
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +22,13 @@ from pyspark.sql import types as T
 
 from lexiloom.functions.bpe import BpeCoder
 from lexiloom.functions.text import byte_alphabet, py_to_bytes_alphabet
-from lexiloom.operators.words import byte_words, merge_pair, pair_frequencies, unigram_candidates, word_frequencies
+from lexiloom.operators.words import CLOSE, OPEN, byte_words, merge_pairs, pair_frequencies, unigram_candidates, word_frequencies
 from lexiloom.tables import cut
 
 #: Special tokens come first, in this order.
 SPECIALS = ("<s>", "</s>", "<pad>", "<unk>")
 #: Rounds between two cuts of the words, rows of the pair table that are looked at in a round, merges taken of them at most.
-CUT_EVERY, FETCH, BATCH = 8, 512, 64
+CUT_EVERY, FETCH, BATCH = 4, 512, 64
 
 Merge = tuple[str, str]
 #: What continued training finds: a pair, or a symbol that is a word of its own.
@@ -112,13 +114,12 @@ class PairTable:
         """Apply merges that are independent of each other."""
         if not merges:
             return
-        both = self.words.withColumn("old", F.col("split"))
-        for left, right in merges:
-            both = merge_pair(both, left, right)
-        sides = F.array(F.struct("split", "freq"), F.struct(F.col("old").alias("split"), (-F.col("freq")).alias("freq")))
-        moved = both.where("split != old").select(F.explode(sides).alias("x")).select("x.split", "x.freq")
+        # Only words that hold a merged pair are rewritten for the difference.
+        held = reduce(or_, (F.col("split").contains(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}") for a, b in merges))
+        changed = self.words.where(held)
+        moved = merge_pairs(changed, merges).unionByName(changed.select("split", (-F.col("freq")).alias("freq")))
         self.pairs = cut(self.pairs.unionByName(pair_frequencies(moved)).groupBy("left", "right").agg(F.sum("freq").alias("freq")).where("freq > 0"))
-        self.words, self.rounds = both.drop("old"), self.rounds + 1
+        self.words, self.rounds = merge_pairs(self.words, merges), self.rounds + 1
         if self.rounds % CUT_EVERY == 0:
             self.words = cut(self.words)
 
@@ -297,9 +298,19 @@ def token_counts(words: DataFrame, merges: Sequence[Merge], vocab: DataFrame, *b
     counts = encode_words(words, merges).select(*by, "freq", F.explode("pieces").alias("piece")).groupBy(*by, "piece").agg(F.sum("freq").alias("n"))
     if not by:
         return vocab.join(counts, "piece", "left").select("token_id", "piece", F.coalesce("n", F.lit(0)).alias("n"))
-    tokens = vocab.agg(F.collect_list(F.struct("token_id", "piece")).alias("tokens")).first().tokens  # tokenizer-sized
-    listed = F.broadcast(words.sparkSession.createDataFrame([(tokens,)], "tokens array<struct<token_id: int, piece: string>>"))
-    groups = words.select(*by).distinct().withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one").select(*by, F.inline("tokens"))
+    tokens = pa.table({"token_id": pa.array([], pa.int32()), "piece": pa.array([], pa.string())}) if vocab.isEmpty() else vocab.select(F.col("token_id").cast("int"), "piece").toArrow()  # tokenizer-sized
+    shared = words.sparkSession.sparkContext.broadcast(tokens)
+
+    def listed(batches):
+        table = shared.value.combine_chunks()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).take(pa.array([0] * table.num_rows, pa.int64()))
+                yield from pa.table([*row.columns, *table.columns], names=[*batch.schema.names, "token_id", "piece"]).to_batches()
+
+    groups = words.select(*by).distinct()
+    fields = [*groups.schema.fields, T.StructField("token_id", T.IntegerType()), T.StructField("piece", T.StringType())]
+    groups = groups.mapInArrow(listed, T.StructType(fields))
     return null_safe_join(groups, counts, [*by, "piece"], "left").select(*by, "token_id", "piece", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -70,9 +70,10 @@ def letter_prompt(question: Column, choices: Column, context: Column, gold: Colu
 def _with_shots(examples: DataFrame, shots: int, line: Column, asked: Column, between: str) -> DataFrame:
     order = Window.partitionBy("is_shot").orderBy("id")
     first = examples.where("is_shot").withColumn("k", F.row_number().over(order)).where(F.col("k") <= shots)
-    head = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]).alias("lines"))
-    rows = examples.where("not is_shot").withColumn("one", F.lit(1)).join(F.broadcast(head.withColumn("one", F.lit(1))), "one")
-    return rows.select("id", F.array_join(F.concat("lines", F.array(asked)), between).alias("prompt"))
+    # As many lines as there are shots.
+    lines = [r.line for r in first.orderBy("k").select(line.alias("line")).collect()]
+    head = F.array(*map(F.lit, lines)) if lines else F.array().cast("array<string>")
+    return examples.where("not is_shot").select("id", F.array_join(F.concat(head, F.array(asked)), between).alias("prompt"))
 
 
 def translation_prompts(examples: DataFrame, shots: int, name_q: str, name_a: str) -> DataFrame:

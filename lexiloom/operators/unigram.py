@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.operators.vocab import is_special
 from lexiloom.tables import cut
@@ -43,15 +44,37 @@ BROADCAST_PIECES = 1_000_000
 def lattice(sentences: DataFrame, pieces: DataFrame) -> DataFrame:
     """(sent_id, i, j, piece): every piece that equals sentence[i:j].
 
-    Substrings of the lengths that pieces have are joined with the pieces by equality, so no prefix tree is shared between workers. The
-    number of pieces is checked before they are broadcast.
+    Up to ``BROADCAST_PIECES`` pieces, a checked number, are held by the workers; more of them are joined with all substrings of the
+    lengths that pieces have.
     """
     sizes = pieces.agg(F.collect_set(F.length("piece")).alias("lengths"), F.count("*").alias("n")).first()
-    lengths = sorted(x for x in sizes.lengths if x) or [0]
-    known = F.broadcast(pieces) if sizes.n <= BROADCAST_PIECES else pieces
-    places = f"flatten(transform(sequence(0, length(sentence) - 1), i -> transform(filter(array({', '.join(map(str, lengths))}), n -> n > 0 and i + n <= length(sentence)), n -> struct(i, i + n as j, substring(sentence, i + 1, n) as piece))))"
-    parts = sentences.where(F.length("sentence") > 0).select("sent_id", F.explode(F.expr(places)).alias("x")).select("sent_id", "x.i", "x.j", "x.piece")
-    return parts.join(known.select("piece"), "piece").select("sent_id", "i", "j", "piece")
+    if sizes.n > BROADCAST_PIECES:
+        return _lattice_by_join(sentences, pieces, sorted(x for x in sizes.lengths if x))
+    held = sorted({r.piece for r in pieces.where("piece != ''").select("piece").collect()})
+    shared = pieces.sparkSession.sparkContext.broadcast(held)
+    kind = sentences.schema["sent_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value, pa.string())
+        known = {p: k for k, p in enumerate(shared.value)}
+        lengths = _lengths(known)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                found = [_edges(s or "", known, lengths, False) for s in part.column(1).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(x[2]) for x in found]))
+                i, j, ids = (pa.array([v for x in found for v in x[side]], pa.int32()) for side in range(3))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), i, j, names.take(ids)], ["sent_id", "i", "j", "piece"])
+
+    schema = T.StructType([T.StructField("sent_id", kind), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("piece", T.StringType())])
+    return sentences.select("sent_id", "sentence").mapInArrow(run, schema)
+
+
+def _lattice_by_join(sentences: DataFrame, pieces: DataFrame, lengths: list[int]) -> DataFrame:
+    starts = sentences.where(F.length("sentence") > 0).select("sent_id", "sentence", F.explode(F.expr("sequence(0, length(sentence) - 1)")).alias("i"))
+    parts = starts.select("sent_id", "i", F.explode(F.array(*map(F.lit, lengths))).alias("n"), "sentence").where("i + n <= length(sentence)")
+    parts = parts.select("sent_id", "i", F.expr("i + n").alias("j"), F.expr("substring(sentence, i + 1, n)").alias("piece"))
+    return parts.join(pieces.select("piece").distinct(), "piece").select("sent_id", "i", "j", "piece")
 
 
 class Lattices:
@@ -153,7 +176,7 @@ def start_scores(pieces: list[str]) -> dict[str, float]:
 
 
 #: Sentences whose lattices a worker takes through both passes at once.
-BLOCK = 256
+BLOCK = 1024
 #: Most pieces of a vocabulary that workers hold (checked).
 MAX_PIECES = 5_000_000
 
@@ -171,10 +194,7 @@ def match_lattices(sentences: DataFrame, pieces: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {p: k for k, p in enumerate(shared.value)}
-        # Lengths that pieces have, by first character: most substrings are never looked up.
-        lengths: dict[str, list[int]] = {}
-        for c, n in sorted({(p[0], len(p)) for p in known}):
-            lengths.setdefault(c, []).append(n)
+        lengths = _lengths(known)
         for batch in batches:
             rows = []
             for s, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -184,16 +204,26 @@ def match_lattices(sentences: DataFrame, pieces: list[str]) -> DataFrame:
             weight, n, *lists = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(weight, pa.float64()), pa.array(n, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], names)
 
-    return sentences.select("sentence", F.col("weight").cast("double")).mapInArrow(run, "weight double, n int, starts array<int>, ends array<int>, ids array<int>")
+    # Lattices take far more room than sentences, so they are made on all cores.
+    spread = sentences.select("sentence", F.col("weight").cast("double")).repartition(sentences.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(run, "weight double, n int, starts array<int>, ends array<int>, ids array<int>")
+
+
+def _lengths(pieces: Iterable[str]) -> dict[str, list[int]]:
+    """Lengths that pieces have, by first character: most substrings are never looked up."""
+    out: dict[str, list[int]] = {}
+    for c, n in sorted({(p[0], len(p)) for p in pieces if p}):
+        out.setdefault(c, []).append(n)
+    return out
 
 
-def _edges(s: str, known: dict[str, int], lengths: dict[str, list[int]]) -> tuple[list[int], list[int], list[int]] | None:
-    """Places of pieces that begin where the start leads to; None where the end can't be reached without a gap."""
+def _edges(s: str, known: dict[str, int], lengths: dict[str, list[int]], reachable: bool = True) -> tuple[list[int], list[int], list[int]] | None:
+    """(starts, ends, ids) of pieces. With ``reachable`` only where the start leads to, and None where the end can't be reached without a gap."""
     starts, ends, ids = [], [], []
     reached = bytearray(len(s) + 1)
     reached[0] = 1
     for i, c in enumerate(s):
-        if not reached[i]:
+        if reachable and not reached[i]:
             continue
         before = len(ids)
         for n in lengths.get(c, ()):
@@ -203,14 +233,16 @@ def _edges(s: str, known: dict[str, int], lengths: dict[str, list[int]]) -> tupl
                 ends.append(i + n)
                 ids.append(k)
                 reached[i + n] = 1
-        if len(ids) == before:
+        if reachable and len(ids) == before:
             return None
-    return (starts, ends, ids) if s and reached[-1] else None
+    return (starts, ends, ids) if not reachable or s and reached[-1] else None
 
 
 def _sweep(into: np.ndarray, owner: np.ndarray, at: np.ndarray, other: np.ndarray, score: np.ndarray, descending: bool) -> None:
     """Fill ``into`` [sentence, position]: at each position ``at`` the log of the sum over edges of exp(score + into[other end])."""
-    order = np.lexsort((owner, -at if descending else at))
+    # Edges come by sentence, so a stable sort by position (a radix sort of small numbers) keeps those of a sentence together.
+    place = int(at.max()) - at if descending else at
+    order = np.argsort(place.astype(np.int16) if into.shape[1] < 2**15 else place, kind="stable")
     owner, at, other, score = owner[order], at[order], other[order], score[order]
     bounds = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
     for a, b in zip(bounds, bounds[1:]):

@@ -37,11 +37,14 @@ def common_mask(counts: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
 
     ``counts`` is (lang, token_id, n). A ``size`` below the number of special tokens keeps just those.
     """
-    specials = vocab.where("is_special").select("token_id")
-    room = max(0, size - specials.count())
+    specials = sorted(r.token_id for r in vocab.where("is_special").select("token_id").collect())
+    room = max(0, size - len(specials))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "token_id")
-    content = counts.join(F.broadcast(specials), "token_id", "left_anti").withColumn("k", F.row_number().over(order)).where(F.col("k") <= room).select("lang", "token_id")
-    named = counts.select("lang").distinct().withColumn("one", F.lit(1)).join(F.broadcast(specials.withColumn("one", F.lit(1))), "one").select("lang", "token_id")
+    content = counts.where(~F.col("token_id").isin(specials)) if specials else counts
+    content = content.withColumn("k", F.row_number().over(order)).where(F.col("k") <= room).select("lang", "token_id")
+    if not specials:
+        return content
+    named = counts.select("lang").distinct().withColumn("token_id", F.explode(F.array(*map(F.lit, specials))))
     return content.unionByName(named)
 
 

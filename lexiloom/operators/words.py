@@ -6,6 +6,8 @@ The unit of work is the distinct word with its frequency; documents are read onc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,11 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     """``words`` after one merge, leftmost first and without overlap."""
     pair, one = f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}", f"{OPEN}{left}{right}{CLOSE}"
     return words.withColumn("split", F.replace("split", F.lit(pair), F.lit(one)))
+
+
+def merge_pairs(words: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """``words`` after several merges, one after the other; a fold over a constant list, so the plan doesn't grow with their number."""
+    if not merges:
+        return words
+    pairs = F.array(*(F.struct(F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}").alias("pair"), F.lit(f"{OPEN}{a}{b}{CLOSE}").alias("one")) for a, b in merges))
+    return words.withColumn("split", F.aggregate(pairs, F.col("split"), lambda s, m: F.replace(s, m["pair"], m["one"])))

@@ -97,7 +97,9 @@ def test_passes_over_many_lattices_equal_single_ones(spark):
     assert start < history[0]
 
 
-def test_lattice_equals_brute_force(spark):
+@pytest.mark.parametrize("held", [0, 100])
+def test_lattice_equals_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(unigram, "BROADCAST_PIECES", held)
     pieces = ["a", "b", "ab", "aba", "bb"]
     rng = random.Random(1)
     sents = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(20)]
