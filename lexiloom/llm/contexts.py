@@ -248,4 +248,20 @@ def document_languages(lines: list[tuple[int, str, list[str]]], trees: ContextTr
     main = int(chars.argmax())
     confidence *= float(chars[main] / chars.sum())
     kept = {(number, k) for (number, _, full, _), k, n in zip(parts, lang.tolist(), n_words.tolist()) if full and n >= SENTENCE_WORDS}
-    return main, confidence, sorted(kept)
+    return main, confidence, sorted(kept | _short_lines(parts, lang.tolist(), n_words.tolist(), main, {number for number, _ in kept}))
+
+
+def _short_lines(parts: list[tuple], lang: list[int], n_words: list[int], main: int, told: set[int]) -> set[tuple[int, int]]:
+    """(line, language) of lines whose full sentences are all short: that of the longer sentences around them if these agree, else the main one."""
+    out, before, following = set(), None, None
+    after = [None] * len(parts)
+    for i in range(len(parts) - 1, -1, -1):
+        after[i] = following
+        following = lang[i] if n_words[i] >= SENTENCE_WORDS else following
+    for i, (number, _, full, _) in enumerate(parts):
+        if n_words[i] >= SENTENCE_WORDS:
+            before = lang[i]
+        elif full and number not in told:
+            near = {x for x in (before, after[i]) if x is not None}
+            out.add((number, near.pop() if len(near) == 1 else main))
+    return out

@@ -421,3 +421,12 @@ def test_chunk_overlaps_equal_brute_force(spark):
             assert got[i].n_chars == len(form(t)) and got[i].shared_chars == sum(len(c) for c in parts if c in known) and 0 <= got[i].overlap <= 1
     assert got[202].overlap == 1.0 and got[109].overlap > 0.4
     assert overlaps.chunk_overlaps(df.where("false")).count() == 0
+
+
+def test_lines_of_short_sentences_go_with_those_around_them(models):
+    *_, trees = models
+    en, de = prose("en", 8, 3), prose("de", 6, 4)
+    lines = [(k + 1, t, None) for k, t in enumerate([*en[:4], "Yes.", *en[4:], de[0], "Ja.", *de[1:]])]
+    main, _, found = contexts.document_languages(lines, trees)
+    named = {n: trees.langs[k] for n, k in found}
+    assert trees.langs[main] == "en" and named[5] == "en" and named[11] == "de" and len(named) == len(lines)
