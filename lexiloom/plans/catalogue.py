@@ -15,7 +15,7 @@ from lexiloom.streaming.batches import tumbling_counts
 from lexiloom.tables import corpus, cut, table
 
 #: Parameters of the catalogue's queries.
-WORLD, MERGES, EXTENSION, MASK, N_TARGET, BATCH, CONTEXT = 8, 48, 32, 600, 64 * 129, 64, 128
+WORLD, MERGES, EXTENSION, MASK, N_TARGET, BATCH, CONTEXT = 8, 256, 64, 600, 64 * 129, 64, 128
 #: Merges of ``bpe_model``; tokens of each subtokenizer and tokens found for each language of ``sequential_bpe``.
 MODEL_MERGES, SUBTOKENIZER, LANGUAGE_EXTENSION = 1000, 320, 96
 
