@@ -18,10 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
 
     Where it is unset, one machine (a local master) takes a folder of its own; a cluster raises ValueError.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
     return str(Path(tempfile.gettempdir()) / "lexiloom-shared")
 
