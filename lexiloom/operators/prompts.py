@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,11 @@ def task_formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TASK_FORMATS), "task string, prefix string, question_pattern string, answer_pattern string, shots int")
 
 
+def format_words() -> list[str]:
+    """Pre-tokens that the patterns of the formats put into texts, whatever is filled in."""
+    return sorted({w for _, _, *patterns, _ in TASK_FORMATS for p in patterns for w in re.findall(r" ?[A-Za-z]+|:", re.sub(r"\{\w\}", "\n", p))})
+
+
 def topic_prefix(task: str, topic: Column) -> Column:
     """The opening line of a task with its topic, underscores as blanks."""
     prefix = next(p for name, p, *_ in TASK_FORMATS if name == task)

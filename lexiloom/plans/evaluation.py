@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import metrics, scoring, words
+from lexiloom.operators import metrics, prompts, scoring, words
 from lexiloom.plans import oracles as O
 from lexiloom.plans.catalogue import _TASK, _XL, _docs, _titles_and_summaries
 from lexiloom.plans.registry import query
@@ -135,8 +135,10 @@ _ROUNDED = ", ".join(f"round({k}, 9) AS {k}" for k in _KINDS)
 
 
 def _choice_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scorer = scoring.word_scorer(cut(words.word_frequencies(_docs(spark, folder))))
-    rows = table(spark, folder, "std_items").select(F.expr(_TASK).alias("task"), F.col("rec_id").alias("id"), "question", "choices", F.col("answer").alias("gold"), "context").distinct()
+    scorer = scoring.word_scorer(cut(words.word_frequencies(_docs(spark, folder))), prompts.format_words())
+    rows = table(spark, folder, "std_items").select(F.expr(_TASK).alias("task"), F.col("rec_id").alias("id"), "question", "choices", F.col("answer").alias("gold"), "context")
+    # One shuffle for this and for all that goes by question.
+    rows = rows.repartition("task", "id").distinct()
     return scoring.choice_scores(rows, scorer)
 
 
