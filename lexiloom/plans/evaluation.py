@@ -155,7 +155,9 @@ def choice_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_COSTS} SELECT sum(n_examples)::BIGINT AS n_examples, " + ", ".join(f"round(sum({k} * n_examples) / sum(n_examples), 9) AS {k}" for k in _KINDS) + " FROM g")
 def mcq_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy of choices scored by a word model of the documents, under three normalizations."""
-    return _rounded(metrics.choice_accuracy(_choice_scores(spark, folder)), *_KINDS)
+    by_task = metrics.choice_accuracy(_choice_scores(spark, folder), "task")  # an id may be in several tasks
+    n = F.sum("n_examples")
+    return _rounded(by_task.agg(n.alias("n_examples"), *((F.sum(F.col(k) * F.col("n_examples")) / n).alias(k) for k in _KINDS)), *_KINDS)
 
 
 @query(f"{_COSTS} SELECT task, n_examples, {_ROUNDED} FROM g")
